@@ -1,2 +1,53 @@
-STAGES = []
-def run(spark, sf_dir): raise NotImplementedError
+"""Corpus pipeline: quality filter, near-duplicate removal, removal of repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the
+columns of documents. Rows that share a doc_id count as one document, of which one row stays.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logloom.llm.common import table, written
+from logloom.llm.op3_suffix_dedup import suffix_dedup
+from logloom.llm.op7_quality import THRESHOLD, quality_scored, trained
+from logloom.llm.op8_jaccard import jaccard_components
+from logloom.llm.op9_pack import packed
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that the classifier doesn't reject."""
+    scored = quality_scored(docs, trained(spark, sf_dir, docs), score_col="quality score")
+    return scored.where(F.col("quality score") >= THRESHOLD).drop("quality score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of linked ones."""
+    kept = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes every 50-byte string that a document with a smaller id holds, too; a character cut apart goes with it."""
+    kept = suffix_dedup(docs, texts=True).select("doc_id", F.try_validate_utf8(F.col("kept").cast("string")).alias("whole"), "kept")
+    text = F.when(F.col("whole").isNotNull(), F.col("whole")).otherwise(F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", ""))
+    rest = docs.select([c for c in docs.columns if c not in ("text", "n_chars")])
+    out = rest.join(kept.select("doc_id", text.alias("text")), "doc_id").withColumn("n_chars", F.length("text").cast("bigint"))
+    return out.select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2048 tokens."""
+    return packed(docs)
+
+
+STAGES = [("quality", quality), ("near duplicates", near_duplicates), ("repeated passages", repeated_passages), ("packing", packing)]
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir))
+    return docs

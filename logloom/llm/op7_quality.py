@@ -23,13 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
 BITS = 18
 SIZE = 1 << BITS
-#: A text is one row of at most so many distinct features' worth of tokens at a time; longer texts are folded in steps.
-STEP = 50_000
 _SHAPE = [(re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[^\W\d_A-ZÀ-ÖØ-ÞA]+"), "a"), (re.compile(r"\d+"), "0")]
 
 
@@ -62,8 +61,8 @@ class Grams(dict):
         return np.flatnonzero(seen)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, epochs: int = 15, seed: int = 1) -> tuple[np.ndarray, float, float, float]:
-    """Weights per feature (the ratios multiplied in), bias, and slope and intercept of the score curve."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, epochs: int = 15, seed: int = 1) -> tuple:
+    """Weights per feature (the ratios multiplied in), bias, slope and intercept of the score curve, and the ratios."""
     y = np.where(labels > 0, 1.0, -1.0)
     share = float((y > 0).mean()) if len(y) else 0.5
     if len(y) < 10 or share in (0.0, 1.0):
@@ -137,17 +136,18 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     return fit([np.frombuffer(x, "<u4").astype(np.int32) for *_, x in got], np.array([y for _, y, _ in got]))
 
 
-def quality_scores(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score, 0 to 1, for every row."""
+def quality_scored(docs: DataFrame, model: tuple, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """All rows and columns of docs with score_col, 0 to 1."""
     shared = docs.sparkSession.sparkContext.broadcast(tuple(x.astype(np.float32) if isinstance(x, np.ndarray) else x for x in model))
+    at = docs.columns.index(text_col)
 
     def run(batches):
         grams, own = Grams(), shared.value
         for batch in batches:
-            s = [score(own, grams.features(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
+            s = [score(own, grams.features(t)) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, score_col])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 THRESHOLD = 0.3
@@ -163,5 +163,5 @@ def trained(spark: SparkSession, sf_dir: str, docs: DataFrame) -> tuple:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = quality_scores(docs, trained(spark, sf_dir, docs))
+    out = quality_scored(docs, trained(spark, sf_dir, docs))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
