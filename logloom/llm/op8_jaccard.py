@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +53,10 @@ class Shingler(dict):
 
     def set_of(self, text: str | None) -> np.ndarray:
         """Sorted distinct shingle hashes (uint64)."""
-        words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+        return self.set_of_bytes((text or "").encode("utf-8", "surrogatepass"))
+
+    def set_of_bytes(self, text: bytes) -> np.ndarray:
+        words = text.translate(_LOWER).split()
         if not words:
             return np.zeros(0, np.uint64)
         if len(words) < self.n:
@@ -197,28 +201,31 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     placed = placed.unionByName(own.select(F.col("lead").alias("doc_id"), F.struct("lead", "p", "q", F.lit(-1).alias("sub")).alias("at")))
     wanted = placed.groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
     n_groups = max(1, pairs.count() // group_rows)
-    texts = docs.join(wanted, "doc_id").select("doc_id", "text", "ats")
 
-    def contents(batches):
-        shingler = Shingler(words)
+    # Texts are far smaller than sets of hashes once compressed, so they travel and groups make the sets anew.
+    def compressed(batches):
+        pack = zstandard.ZstdCompressor(3)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                part = batch.slice(lo, 200)
-                sets = [shingler.set_of(t).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sets, pa.binary())], names=["doc_id", "ats", "items"])
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                packed = [pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
 
-    at = "array<struct<lead:bigint,p:int,q:int,sub:int>>"
-    members = texts.mapInArrow(contents, f"doc_id bigint, ats {at}, items binary").select("doc_id", "items", F.explode("ats").alias("at")).select("doc_id", "items", "at.*")
+    members = docs.mapInArrow(compressed, "doc_id bigint, packed binary").join(wanted, "doc_id").select("doc_id", "packed", F.explode("ats").alias("at")).select("doc_id", "packed", "at.*")
     members = members.withColumn("g", F.pmod(F.xxhash64("lead", "p", "q"), F.lit(n_groups)))
 
     def answer(f: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (lead, p, q), own in f.drop_duplicates(["lead", "p", "q", "doc_id"]).groupby(["lead", "p", "q"]):
+        out, shingler, unpack = [], Shingler(words), zstandard.ZstdDecompressor()
+        f = f.drop_duplicates(["lead", "p", "q", "doc_id"])
+        made: dict[int, np.ndarray] = {}
+        for i, x in zip(f.doc_id.tolist(), f.packed):
+            if i not in made:
+                made[i] = shingler.set_of_bytes(unpack.decompress(x))
+        for (lead, p, q), own in f.groupby(["lead", "p", "q"]):
             ids, sub = own.doc_id.to_numpy(), own["sub"].to_numpy()
-            sets = [np.frombuffer(x, np.uint64) for x in own["items"]]
             at_lead = np.flatnonzero(ids == lead)
             if len(at_lead):
-                out += answer_group(ids, sets, int(at_lead[0]), sub if p != q else None, percent)
+                out += answer_group(ids, [made[i] for i in ids.tolist()], int(at_lead[0]), sub if p != q else None, percent)
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     links = members.groupBy("g").applyInPandas(answer, "a bigint, b bigint")
