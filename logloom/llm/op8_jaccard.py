@@ -187,13 +187,22 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     rows = written(docs.mapInArrow(described, "doc_id bigint, n bigint, sig binary, prefix array<bigint>"))
     classes = rows.where("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     # Index lists over the prefixes of one document per class.
-    reps = rows.join(classes.select(F.col("rep").alias("doc_id"), F.col("sig").alias("own")), "doc_id").where("sig = own").select("doc_id", "n", "prefix").dropDuplicates(["doc_id"])
+    own = F.struct("doc_id", "sig")
+    reps = written(rows.select("n", "prefix", own.alias("own")).join(classes.select(F.struct(F.col("rep").alias("doc_id"), "sig").alias("own")), "own", "left_semi").select("own.doc_id", "n", "prefix"))
     entries = reps.select("doc_id", "n", F.explode("prefix").alias("token"))
     lists = entries.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token")
-    band = F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
-    banded = entries.join(lists, "token").select("doc_id", "token", F.explode(F.array(band, band + 1)).alias("band"))
-    leaders = banded.groupBy("token", "band").agg(F.min("doc_id").alias("lead"), F.count("*").alias("size")).where("size > 1").drop("size")
-    pairs = written(banded.join(leaders, ["token", "band"]).where("doc_id <> lead").select("doc_id", "lead").distinct())
+    band = lambda c: F.floor(F.log(c) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
+    banded = written(entries.join(lists, "token").select("doc_id", "n", "token", F.explode(F.array(band("n"), band("n") + 1)).alias("band")))
+    leaders = banded.groupBy("token", "band").agg(F.min(F.struct("doc_id", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1")
+    met = banded.join(leaders.select("token", "band", F.col("lead.doc_id").alias("lead"), F.col("lead.n").alias("lead_n")), ["token", "band"]).where("doc_id <> lead")
+    once = F.col("band") == F.greatest(band("n"), band("lead_n"))
+    pairs = written(met.groupBy("doc_id", "lead", "n", "lead_n").agg(F.count_if(once).alias("common")))
+    groups = pairs.groupBy("lead").agg(F.count("*").alias("members"))
+    # A leader with one other set is a plain pair. With c common shingles among both prefixes, the shingles of one prefix that
+    # aren't common are missing from the other set, so at most max(n - prefix length) + c are shared; too few end the pair here.
+    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("lead_n")) / (100 + percent) - 1e-6)
+    most = F.greatest(F.ceil(F.lit(percent) * F.col("n") / 100), F.ceil(F.lit(percent) * F.col("lead_n") / 100)) - 1 + F.col("common")
+    pairs = pairs.join(groups.select("lead", "members"), "lead").where((F.col("members") > 1) | (most >= need)).select("doc_id", "lead")
     groups = pairs.groupBy("lead").agg(F.ceil(F.count("*") / block).cast("int").alias("subs"))
     placed = pairs.join(groups, "lead").withColumn("sub", F.pmod(F.xxhash64("doc_id", "lead"), F.col("subs")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
     placed = placed.select("doc_id", F.struct("lead", F.least("sub", "other").alias("p"), F.greatest("sub", "other").alias("q"), "sub").alias("at"))
