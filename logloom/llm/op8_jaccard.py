@@ -7,7 +7,8 @@ n - ceil(t n) + 1 of each, so an inverted list over those prefixes holds every c
 
 Lists are cut into blocks by size band: a set of n shingles lies in bands floor(log n / log 1/t) and the next one up, so sets of
 reachable size share a block and all others are skipped. The smallest id of a block leads it. Blocks with one leader
-are one group, and a group is answered from its leader: a set that links with the leader shares its component, so
+are one group; a set without a partner that its size and the shared part of their prefixes leave within reach leaves the
+group before any text is read, and a group is answered from its leader: a set that links with the leader shares its component, so
 pairs of such sets are never computed; for the rest, d(x, y) >= |d(x, leader) - d(y, leader)| with d = 1 - Jaccard skips
 whole stretches of the group, sorted by that distance. What remains is counted exactly. Groups of over `block` sets are dealt into
 sub-blocks, each pair of which is a group of its own. Only links to local roots leave a group; components follow from them.
@@ -34,6 +35,8 @@ from .common import components, table, written
 PERCENT, WORDS, BLOCK = 85, 4, 1500
 #: Counters of the frequency table: 4 MB on its way, 1 MB as levels, whatever the size of the input.
 SLOT_BITS = 20
+#: Bits of the bitmap over ids, as a power of two: 1 MB whatever the size of the input.
+FILTER_BITS = 23
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -109,6 +112,31 @@ def linked(a: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.nd
     return 100 * a >= percent * (na + nb - a)
 
 
+def partners(prefixes: list[np.ndarray], n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether each set of a group has a partner within reach by size and by what their prefixes share."""
+    size, near = np.array([len(x) for x in prefixes]), np.zeros(len(prefixes), bool)
+    token, own = np.unique(np.concatenate(prefixes), return_inverse=True)
+    row = np.repeat(np.arange(len(prefixes)), size)
+    shared = np.bincount(own, minlength=len(token)) > 1
+    keep = shared[own]
+    row, col, width = row[keep], (np.cumsum(shared) - 1)[own[keep]], int(shared.sum())
+    for lo in range(0, len(prefixes), 512):
+        a = np.arange(lo, min(lo + 512, len(prefixes)))
+        common = np.zeros((len(a), len(prefixes)), np.float32)
+        for c0 in range(0, width, 2048):
+            on = (col >= c0) & (col < c0 + 2048)
+            m = np.zeros((len(prefixes), min(2048, width - c0)), np.float32)
+            m[row[on], col[on] - c0] = 1
+            common += m[a] @ m.T
+        most = np.maximum((n - size)[a][:, None], (n - size)[None, :]) + common
+        ok = (100 + percent) * most >= percent * (n[a][:, None] + n[None, :]) - 0.5
+        ok &= 100 * np.minimum(n[a][:, None], n[None, :]) >= percent * np.maximum(n[a][:, None], n[None, :])
+        ok &= common > 0
+        ok[np.arange(len(a)), a] = False
+        near[a] = ok.any(1)
+    return near
+
+
 def answer_group(ids: np.ndarray, sets: list[np.ndarray], lead: int, sub: np.ndarray | None, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links (id, id) that join what is linked in a group, a spanning set of them only. lead: the leader's place; sub: for pairs of sub-blocks, only pairs across count."""
     size = np.array([len(s) for s in sets])
@@ -208,20 +236,46 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     placed = placed.select("doc_id", F.struct("lead", F.least("sub", "other").alias("p"), F.greatest("sub", "other").alias("q"), "sub").alias("at"))
     own = groups.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).withColumn("q", F.explode(F.sequence("p", F.col("subs") - 1)))
     placed = placed.unionByName(own.select(F.col("lead").alias("doc_id"), F.struct("lead", "p", "q", F.lit(-1).alias("sub")).alias("at")))
-    wanted = placed.groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
     n_groups = max(1, pairs.count() // group_rows)
+    group_of = F.pmod(F.xxhash64("lead", "p", "q"), F.lit(n_groups))
+    # First pass over the groups, with prefixes cut to 31 bits: sets without a partner within reach leave. Coincidences only keep more.
+    first = reps.select("doc_id", "n", F.transform("prefix", lambda t: F.shiftright(t, 33).cast("int")).alias("prefix")).join(placed.groupBy("doc_id").agg(F.collect_set("at").alias("ats")), "doc_id")
+    first = first.select("doc_id", "n", "prefix", F.explode("ats").alias("at")).select("doc_id", "n", "prefix", "at.*").withColumn("g", group_of)
+
+    def reachable(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["lead", "p", "q", "doc_id"], kind="stable").drop_duplicates(["lead", "p", "q", "doc_id"])
+        key = f[["lead", "p", "q"]].to_numpy()
+        cut = [*np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)]).tolist(), len(f)]
+        n, lead, keep = f.n.to_numpy(), (f.doc_id == f.lead).to_numpy(), np.zeros(len(f), bool)
+        prefixes = f.prefix.to_list()
+        for lo, hi in zip(cut, cut[1:]):
+            near = partners(prefixes[lo:hi], n[lo:hi], percent)
+            keep[lo:hi] = near | (lead[lo:hi] & near.any())
+        return f.loc[keep, ["doc_id", "lead", "p", "q", "sub"]]
+
+    kept = first.groupBy("g").applyInPandas(reachable, "doc_id bigint, lead bigint, p int, q int, sub int")
+    wanted = written(kept.groupBy("doc_id").agg(F.collect_set(F.struct("lead", "p", "q", "sub")).alias("ats")))
+    # A bitmap of fixed size over hashes of the ids left keeps most other texts from the shuffle; the join decides.
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)) + 1
+    bitmap = np.zeros(1 << FILTER_BITS, bool)
+    for r in wanted.select(spot.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect():
+        bits = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")
+        bitmap[(r["at"] - 1) * len(bits) : r["at"] * len(bits)] = bits
+    left = spark.sparkContext.broadcast(np.packbits(bitmap))
+    texts = docs.select("doc_id", "text", spot.alias("h")).where("doc_id IS NOT NULL")
 
     # Texts are far smaller than sets of hashes once compressed, so they travel and groups make the sets anew.
     def compressed(batches):
-        pack = zstandard.ZstdCompressor(3)
+        pack, own = zstandard.ZstdCompressor(3), np.unpackbits(left.value).astype(bool)
         for batch in batches:
+            batch = batch.filter(pa.array(own[batch.column(2).to_numpy() - 1]))
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 packed = [pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
 
-    members = docs.mapInArrow(compressed, "doc_id bigint, packed binary").join(wanted, "doc_id").select("doc_id", "packed", F.explode("ats").alias("at")).select("doc_id", "packed", "at.*")
-    members = members.withColumn("g", F.pmod(F.xxhash64("lead", "p", "q"), F.lit(n_groups)))
+    members = texts.mapInArrow(compressed, "doc_id bigint, packed binary").join(wanted, "doc_id").select("doc_id", "packed", F.explode("ats").alias("at")).select("doc_id", "packed", "at.*")
+    members = members.withColumn("g", group_of)
 
     def answer(f: pd.DataFrame) -> pd.DataFrame:
         out, shingler, unpack = [], Shingler(words), zstandard.ZstdDecompressor()
