@@ -72,7 +72,7 @@ def match_one_to_one(candidates: DataFrame) -> DataFrame:
             return taken if taken is not None else candidates.limit(0)
         part = candidates.sparkSession.createDataFrame(rows, candidates.schema)
         taken = part if taken is None else taken.unionByName(part)
-        rest = rest.join(F.broadcast(part.select("incident_id")), "incident_id", "left_anti").join(F.broadcast(part.select("truth_id")), "truth_id", "left_anti")
+        rest = rest.join(F.broadcast(part.select("incident_id")), "incident_id", "left_anti").join(F.broadcast(part.select("truth_id")), "truth_id", "left_anti").select(candidates.columns)
 
 
 def topk_accuracy(ranked: DataFrame, by: str | None = None) -> DataFrame:
