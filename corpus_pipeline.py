@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of linked ones."""
-    kept = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """Keeps the document with the smallest id of each group of linked ones: five-word shingles, similarity of 0.8 or more."""
+    kept = jaccard_components(docs, percent=80, words=5).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
 
 
