@@ -1,7 +1,8 @@
 """Corpus pipeline: quality filter, near-duplicate removal, removal of repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the
-columns of documents. Rows that share a doc_id count as one document, of which one row stays.
+columns of documents. Rows that share a doc_id count as one document, of which one row stays. A row without a doc_id
+is a document of its own behind all ids: it takes part in every stage and keeps its null.
 """
 
 from __future__ import annotations
@@ -16,6 +17,31 @@ from logloom.llm.op8_jaccard import jaccard_components
 from logloom.llm.op9_pack import packed
 
 
+KEY = "row key"
+_PART = 33
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key: doc_id, or for rows without one consecutive numbers after the largest id."""
+    top, found = docs.agg(F.max("doc_id").cast("bigint"), F.count_if(F.col("doc_id").isNull())).first()
+    plain = docs.where("doc_id IS NOT NULL").withColumn(KEY, F.col("doc_id").cast("bigint"))
+    if not found:
+        return plain
+    top = -1 if top is None else top
+    if top + found >= 2**63 - 1:
+        raise ValueError(f"no {found} numbers are left after doc_id {top} for the rows without one")
+    # Written first, since numbers by partition change when rows are read anew.
+    rows = written(docs.where("doc_id IS NULL").withColumn(KEY, F.monotonically_increasing_id()))
+    part, begin, at = F.shiftright(KEY, _PART), [], top + 1
+    for p, n in sorted(rows.groupBy(part.alias("p")).count().collect()):
+        begin.append((p, at))
+        at += n
+    begin = docs.sparkSession.createDataFrame(begin, "`row part` bigint, `row begin` bigint")
+    own = rows.join(F.broadcast(begin), part == F.col("row part"))
+    own = own.withColumn(KEY, F.col("row begin") + F.col(KEY).bitwiseAND((1 << _PART) - 1))
+    return plain.unionByName(own.select(plain.columns))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the classifier doesn't reject."""
     scored = quality_scored(docs, trained(spark, sf_dir, docs), score_col="quality score")
@@ -24,16 +50,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of linked ones: five-word shingles, similarity of 0.8 or more."""
-    kept = jaccard_components(docs, percent=80, words=5).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    own = keyed(docs)
+    found = jaccard_components(own, percent=80, words=5, id_col=KEY)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(KEY)).distinct()
+    return own.join(kept, KEY, "left_semi").dropDuplicates([KEY]).select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes every 50-byte string that a document with a smaller id holds, too; a character cut apart goes with it."""
-    kept = suffix_dedup(docs, texts=True).select("doc_id", F.try_validate_utf8(F.col("kept").cast("string")).alias("whole"), "kept")
+    own = keyed(docs)
+    kept = suffix_dedup(own, id_col=KEY, texts=True).select(F.col("doc_id").alias(KEY), F.try_validate_utf8(F.col("kept").cast("string")).alias("whole"), "kept")
     text = F.when(F.col("whole").isNotNull(), F.col("whole")).otherwise(F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", ""))
-    rest = docs.select([c for c in docs.columns if c not in ("text", "n_chars")])
-    out = rest.join(kept.select("doc_id", text.alias("text")), "doc_id").withColumn("n_chars", F.length("text").cast("bigint"))
+    rest = own.select([c for c in own.columns if c not in ("text", "n_chars")])
+    out = rest.join(kept.select(KEY, text.alias("text")), KEY).withColumn("n_chars", F.length("text").cast("bigint"))
     return out.select(docs.columns)
 
 

@@ -52,3 +52,23 @@ def near_texts():
 def test_near_duplicates_take_five_words(spark, near_texts):
     got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame(spark, near_texts), "").collect()}
     assert got == kept_by_force(near_texts) != kept_by_force(near_texts, 4, 85)
+
+
+def test_rows_without_id_pass_all_stages(spark, near_texts):
+    """A third of the rows has no id: they lose copies like any others and no clean one goes."""
+    rng = random.Random(12)
+    alone = [" ".join(rng.choices(WORDS, k=60)) for _ in range(10)]
+    passage = " ".join(rng.choices(WORDS, k=30))
+    nulls = [*alone, alone[0], near_texts[0][1], None, f"{alone[1][:60]} {passage} {' '.join(rng.choices(WORDS, k=40))}"]
+    rows = [*near_texts, (9000, f"{passage} {' '.join(rng.choices(WORDS, k=40))}"), *((None, t) for t in nulls)]
+    docs = frame(spark, rows)
+    near = corpus_pipeline.near_duplicates(spark, docs, "")
+    got = near.collect()
+    assert near.columns == docs.columns
+    numbered = [(i if i is not None else 10_000 + k, t) for k, (i, t) in enumerate(rows)]
+    by, least = dict(numbered), kept_by_force(numbered)
+    assert {r.doc_id for r in got if r.doc_id is not None} == {i for i in least if i <= 9000}
+    assert sorted((r.text or "") for r in got if r.doc_id is None) == sorted(by[i] or "" for i in least if i > 9000)
+    rest = corpus_pipeline.repeated_passages(spark, near, "").collect()
+    assert len(rest) == len(got) and {r.text for r in rest if r.doc_id is None} >= set(alone[2:])
+    assert sum(passage in (r.text or "") for r in rest) == 1 and any(r.doc_id == 9000 and passage in r.text for r in rest)
