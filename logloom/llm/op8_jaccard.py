@@ -6,20 +6,24 @@ level, and hashes order shingles within a level. Two sets of Jaccard similarity
 n - ceil(t n) + 1 of each, so an inverted list over those prefixes holds every candidate.
 
 Lists are cut into blocks by size band: a set of n shingles lies in bands floor(log n / log 1/t) and the next one up, so sets of
-reachable size share a block and all others are skipped. The smallest id of a block leads it. Blocks with one leader
-are one group; a set without a partner that its size and the shared part of their prefixes leave within reach leaves the
-group before any text is read, and a group is answered from its leader: a set that links with the leader shares its component, so
-pairs of such sets are never computed; for the rest, d(x, y) >= |d(x, leader) - d(y, leader)| with d = 1 - Jaccard skips
-whole stretches of the group, sorted by that distance. What remains is counted exactly. Groups of over `block` sets are dealt into
-sub-blocks, each pair of which is a group of its own. Only links to local roots leave a group; components follow from them.
+reachable size share a block and all others are skipped. Of the next band, only places early enough in the order are kept: a
+set whose first common shingle is at place i shares at most n - i, which bounds the size of the partner. The smallest id of a
+block leads it. Blocks with one leader are one group; a set without a partner that its size and the shared part of their prefixes
+leave within reach leaves the group before any text is read. A group is answered from its leader: with d = 1 - Jaccard, a
+metric, the partners of x are among the sets y with |d(x, leader) - d(y, leader)| <= 1 - t, a stretch of the group sorted by that
+distance; all with d(x, leader) + d(y, leader) <= 1 - t are partners without a look, and what lies between is counted exactly. Groups
+of over `block` sets are dealt into sub-blocks, each pair of which is a group of its own. A link counts in the group of the
+smallest leader that both its sets share, so counts of links and local roots leave a group; components follow from the roots.
 
 Edge cases: a null text or one without words has an empty set and links with nothing; fewer than four words are one
-shingle; repeated rows each give a row; a null id keeps its row with a null component; an empty table gives no rows; other
+shingle; repeated rows each give a row; a null id keeps its row with null links and
+component and counts as no one's partner; an empty table gives no rows; other
 columns are ignored. A hash stands for its shingle: two shingles collide with a chance of 2^-64.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -137,70 +141,87 @@ def partners(prefixes: list[np.ndarray], n: np.ndarray, percent: int) -> np.ndar
     return near
 
 
-def answer_group(ids: np.ndarray, sets: list[np.ndarray], lead: int, sub: np.ndarray | None, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links (id, id) that join what is linked in a group, a spanning set of them only. lead: the leader's place; sub: for pairs of sub-blocks, only pairs across count."""
+def band(n: int, percent: int = PERCENT) -> int:
+    return math.floor(math.log(n) / math.log(100 / percent) + 1e-9)
+
+
+def reach(n: int, percent: int = PERCENT) -> int:
+    """How many places of the prefix may be the first common one with a set of the next size band."""
+    top = band(n, percent)
+    return next((i for i in range(prefix_length(n, percent)) if (m := (n - i) * (100 + percent) // percent - n) < n or band(m, percent) == top), prefix_length(n, percent))
+
+
+class Common:
+    """Counts of what rows share, from lists of values per row; values that a single row holds are left out."""
+
+    def __init__(self, lists: list[np.ndarray]):
+        value, own = np.unique(np.concatenate(lists), return_inverse=True)
+        row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        shared = np.bincount(own, minlength=len(value)) > 1
+        keep = shared[own]
+        by = np.argsort(own[keep], kind="stable")
+        self.row, self.col, self.width = row[keep][by], (np.cumsum(shared) - 1)[own[keep]][by], int(shared.sum())
+
+    def count(self, a: int, b: int, first: int, last: int, step: int = 4096) -> np.ndarray:
+        """Rows a to b against rows first to last."""
+        got = np.zeros((b - a, last - first), np.float32)
+        for c0 in range(0, self.width, step):
+            lo, hi = np.searchsorted(self.col, [c0, c0 + step])
+            row, col = self.row[lo:hi], self.col[lo:hi] - c0
+            left, right = (row >= a) & (row < b), (row >= first) & (row < last)
+            if left.any() and right.any():
+                m1, m2 = np.zeros((b - a, min(step, self.width - c0)), np.float32), np.zeros((last - first, min(step, self.width - c0)), np.float32)
+                m1[row[left] - a, col[left]] = 1
+                m2[row[right] - first, col[right]] = 1
+                got += m1 @ m2.T
+        return np.rint(got).astype(np.int64)
+
+
+def answer_group(sets: list[np.ndarray], lead: int, sub: np.ndarray | None, weight: np.ndarray, earlier: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted count of links and root (a place) of each set of a group; -1 as count where it has no link here. lead: the leader's
+    place; sub: for pairs of sub-blocks, only pairs across them count; earlier: the smaller leaders in whose groups a set is, too."""
     size = np.array([len(s) for s in sets])
     inter = np.array([len(np.intersect1d(s, sets[lead], assume_unique=True)) if k != lead else len(s) for k, s in enumerate(sets)])
-    near = linked(inter, size, size[lead], percent)
-    out = [(int(ids[k]), int(ids[lead])) for k in np.flatnonzero(near) if k != lead]
-    rest = np.flatnonzero(~near)
-    if not len(rest) or len(sets) < 3:
-        return out
     distance = 1 - inter / (size + size[lead] - inter)
     order = np.argsort(distance, kind="stable")
-    order = order[order != lead]
-    token, own = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
-    row = np.repeat(np.arange(len(order)), size[order])
-    shared = np.bincount(own, minlength=len(token)) > 1
-    column = np.cumsum(shared) - 1
-    keep = shared[own]
-    row, col, width = row[keep], column[own[keep]], int(shared.sum())
-    d, n, far = distance[order], size[order], 1 - percent / 100 + 1e-9
-    asked = np.flatnonzero(~near[order])
-    for lo in range(0, len(asked), 256):
-        a = asked[lo : lo + 256]
-        # Only this stretch of the group can be near enough to any of these.
-        first, last = np.searchsorted(d, d[a[0]] - far), np.searchsorted(d, d[a[-1]] + far, "right")
-        got = np.zeros((len(a), last - first), np.float32)
-        place = np.full(len(order), -1)
-        place[a] = np.arange(len(a))
-        for c0 in range(0, width, 4096):
-            on = (col >= c0) & (col < c0 + 4096)
-            left, right = on & (place[row] >= 0), on & (row >= first) & (row < last)
-            m1, m2 = np.zeros((len(a), 4096), np.float32), np.zeros((last - first, 4096), np.float32)
-            m1[place[row[left]], col[left] - c0] = 1
-            m2[row[right] - first, col[right] - c0] = 1
-            got += m1 @ m2.T
-        i, j = np.nonzero(linked(np.rint(got).astype(np.int64), n[a][:, None], n[first:last][None, :], percent))
-        i, j = order[a[i]], order[j + first]
-        keep = i != j
-        if sub is not None:
-            keep &= sub[i] != sub[j]
-        i, j = i[keep], j[keep]
-        # A spanning set: each set links with its smallest partner, and that partner with all the others of a round.
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.get(x, x) != x:
-                root[x] = x = root.get(root[x], root[x])
-            return x
-
-        for x, y in zip(i.tolist(), j.tolist()):
-            x0, y0 = find(x), find(y)
-            if x0 != y0:
-                root[max(x0, y0)] = min(x0, y0)
-                out.append((int(ids[x]), int(ids[y])))
-    return out
+    d, n, w, far = distance[order], size[order], weight[order], 1 - percent / 100
+    s = None if sub is None else sub[order]
+    tokens, others = Common([sets[k] for k in order]), Common([earlier[k] for k in order])
+    count, linked_here, root = np.zeros(len(order), np.int64), np.zeros(len(order), bool), np.arange(len(order))
+    for a in range(0, len(order), 256):
+        b = min(a + 256, len(order))
+        # Later places only, since pairs are symmetric; sets up to `sure` are partners of all of these by way of the leader.
+        last = int(np.searchsorted(d, d[b - 1] + far + 1e-9, "right"))
+        sure = min(max(int(np.searchsorted(d, far - d[b - 1] - 1e-9)), a), last)
+        ok = np.ones((b - a, last - a), bool)
+        ok[:, sure - a :] = linked(tokens.count(a, b, sure, last), n[a:b, None], n[None, sure:last], percent)
+        ok &= np.arange(a, last)[None, :] > np.arange(a, b)[:, None]
+        if s is not None:
+            ok &= (s[a:b, None] != s[None, a:last]) & (s[a:b, None] >= 0) & (s[None, a:last] >= 0)
+        for i in np.flatnonzero(ok.any(1)):
+            j = np.flatnonzero(ok[i]) + a
+            linked_here[i + a] = linked_here[j] = True
+            met = np.unique(np.append(root[j], root[i + a]))
+            if len(met) > 1:
+                root[np.isin(root, met)] = met[0]
+        if others.width:
+            ok &= others.count(a, b, a, last) == 0
+        count[a:b] += ok @ w[a:last]
+        count[a:last] += w[a:b] @ ok
+    out, at = np.full(len(order), -1), np.empty(len(order), np.int64)
+    out[order[linked_here]] = count[linked_here]
+    at[order] = order[root]
+    return out, at
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, group_rows: int = 1500) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row."""
+    """doc_id, n_shingles, component_id and n_links, the number of other documents linked with it, for every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     level = spark.sparkContext.broadcast(levels(docs, words))
 
     def described(batches):
-        shingler = Shingler(words)
+        shingler, known = Shingler(words), {0: (0, 0)}
         for batch in batches:
             sets = [shingler.set_of(t) for t in batch.column(1).to_pylist()]
             sig = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
@@ -210,27 +231,36 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
                 first.append(s[np.lexsort((s, rank))[: prefix_length(len(s), percent)]].view(np.int64))
             at = np.cumsum([0, *map(len, first)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*first, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), prefix], names=["doc_id", "n", "sig", "prefix"])
-
-    rows = written(docs.mapInArrow(described, "doc_id bigint, n bigint, sig binary, prefix array<bigint>"))
-    classes = rows.where("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"))
+            size = [len(s) for s in sets]
+            for n in set(size) - known.keys():
+                known[n] = band(n, percent), reach(n, percent)
+            own, up = zip(*[known[n] for n in size]) if size else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(own, pa.int32()), pa.array(up, pa.int64()), pa.array(sig, pa.binary()), prefix], names=["doc_id", "n", "band", "up", "sig", "prefix"])
+
+    rows = written(docs.mapInArrow(described, "doc_id bigint, n bigint, band int, up bigint, sig binary, prefix array<bigint>"))
+    classes = rows.where("sig IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "sig").distinct().groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"))
     # Index lists over the prefixes of one document per class.
     own = F.struct("doc_id", "sig")
-    reps = written(rows.select("n", "prefix", own.alias("own")).join(classes.select(F.struct(F.col("rep").alias("doc_id"), "sig").alias("own")), "own", "left_semi").select("own.doc_id", "n", "prefix"))
-    entries = reps.select("doc_id", "n", F.explode("prefix").alias("token"))
+    reps = written(rows.select("n", "band", "up", "prefix", own.alias("own")).join(classes.select(F.struct(F.col("rep").alias("doc_id"), "sig").alias("own")), "own", "left_semi").select("own.doc_id", "n", "band", "up", "prefix"))
+    # shape packs the size n, how many shingles lie behind the places that an index block holds, and whether it is the own band.
+    shape = lambda rest, own: F.shiftleft("n", 32) + 2 * rest + own
+    behind = F.col("n") - F.size("prefix")
+    entries = reps.select("doc_id", shape(behind, 1).alias("low"), shape(F.col("n") - F.col("up"), 0).alias("high"), "band", "up", F.posexplode("prefix").alias("pos", "token"))
     lists = entries.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token")
-    band = lambda c: F.floor(F.log(c) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
-    banded = written(entries.join(lists, "token").select("doc_id", "n", "token", F.explode(F.array(band("n"), band("n") + 1)).alias("band")))
-    leaders = banded.groupBy("token", "band").agg(F.min(F.struct("doc_id", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1")
-    met = banded.join(leaders.select("token", "band", F.col("lead.doc_id").alias("lead"), F.col("lead.n").alias("lead_n")), ["token", "band"]).where("doc_id <> lead")
-    once = F.col("band") == F.greatest(band("n"), band("lead_n"))
-    pairs = written(met.groupBy("doc_id", "lead", "n", "lead_n").agg(F.count_if(once).alias("common")))
+    places = F.struct("band", F.col("low").alias("shape")), F.struct((F.col("band") + 1).alias("band"), F.col("high").alias("shape"))
+    entries = entries.withColumn("at", F.when(F.col("pos") < F.col("up"), F.array(*places)).otherwise(F.array(places[0])))
+    banded = written(entries.join(lists, "token").select("doc_id", "token", F.explode("at").alias("at")).select("doc_id", "token", "at.*"))
+    leaders = banded.groupBy("token", "band").agg(F.min(F.struct("doc_id", "shape")).alias("lead"), F.count("*").alias("size")).where("size > 1")
+    met = banded.join(leaders.select("token", "band", F.col("lead.doc_id").alias("lead"), F.col("lead.shape").alias("lead_shape")), ["token", "band"]).where("doc_id <> lead")
+    # A leader with one other set is a plain pair. With c common shingles among the places both hold in the band of the larger, all
+    # other common ones lie behind those places of one of the two; too few end the pair here.
+    once = (F.col("shape").bitwiseOR(F.col("lead_shape")).bitwiseAND(1)) == 1
+    n, rest = (lambda c: F.shiftright(c, 32)), (lambda c: F.shiftright(F.col(c).bitwiseAND(0xFFFFFFFF), 1))
+    need = F.ceil(F.lit(percent) * (n("shape") + n("lead_shape")) / (100 + percent) - 1e-6)
+    short = (need - F.greatest(rest("shape"), rest("lead_shape"))).cast("bigint")
+    pairs = written(met.groupBy("doc_id", "lead").agg(F.count_if(once).alias("common"), F.max(F.when(once, short)).alias("short")))
     groups = pairs.groupBy("lead").agg(F.count("*").alias("members"))
-    # A leader with one other set is a plain pair. With c common shingles among both prefixes, the shingles of one prefix that
-    # aren't common are missing from the other set, so at most max(n - prefix length) + c are shared; too few end the pair here.
-    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("lead_n")) / (100 + percent) - 1e-6)
-    most = F.greatest(F.ceil(F.lit(percent) * F.col("n") / 100), F.ceil(F.lit(percent) * F.col("lead_n") / 100)) - 1 + F.col("common")
-    pairs = pairs.join(groups.select("lead", "members"), "lead").where((F.col("members") > 1) | (most >= need)).select("doc_id", "lead")
+    pairs = pairs.join(groups, "lead").where((F.col("members") > 1) | (F.col("common") >= F.col("short"))).select("doc_id", "lead")
     groups = pairs.groupBy("lead").agg(F.ceil(F.count("*") / block).cast("int").alias("subs"))
     placed = pairs.join(groups, "lead").withColumn("sub", F.pmod(F.xxhash64("doc_id", "lead"), F.col("subs")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
     placed = placed.select("doc_id", F.struct("lead", F.least("sub", "other").alias("p"), F.greatest("sub", "other").alias("q"), "sub").alias("at"))
@@ -254,7 +284,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
         return f.loc[keep, ["doc_id", "lead", "p", "q", "sub"]]
 
     kept = first.groupBy("g").applyInPandas(reachable, "doc_id bigint, lead bigint, p int, q int, sub int")
-    wanted = written(kept.groupBy("doc_id").agg(F.collect_set(F.struct("lead", "p", "q", "sub")).alias("ats")))
+    wanted = written(kept.groupBy("doc_id").agg(F.collect_set(F.struct("lead", "p", "q", "sub")).alias("ats")).join(classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max("weight").alias("weight")), "doc_id"))
     # A bitmap of fixed size over hashes of the ids left keeps most other texts from the shuffle; the join decides.
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)) + 1
     bitmap = np.zeros(1 << FILTER_BITS, bool)
@@ -274,7 +304,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
                 packed = [pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
 
-    members = texts.mapInArrow(compressed, "doc_id bigint, packed binary").join(wanted, "doc_id").select("doc_id", "packed", F.explode("ats").alias("at")).select("doc_id", "packed", "at.*")
+    members = texts.mapInArrow(compressed, "doc_id bigint, packed binary").join(wanted, "doc_id").select("doc_id", "packed", "weight", F.array_distinct(F.transform("ats", lambda x: x["lead"])).alias("leads"), F.explode("ats").alias("at"))
+    members = members.select("doc_id", "packed", "weight", "at.*", F.filter("leads", lambda x: x < F.col("at.lead")).alias("earlier"))
     members = members.withColumn("g", group_of)
 
     def answer(f: pd.DataFrame) -> pd.DataFrame:
@@ -288,14 +319,19 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
             ids, sub = own.doc_id.to_numpy(), own["sub"].to_numpy()
             at_lead = np.flatnonzero(ids == lead)
             if len(at_lead):
-                out += answer_group(ids, [made[i] for i in ids.tolist()], int(at_lead[0]), sub if p != q else None, percent)
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    links = members.groupBy("g").applyInPandas(answer, "a bigint, b bigint")
-    parts = components(links)
-    out = rows.select("doc_id", "n", "sig").join(classes, "sig", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
+                count, root = answer_group([made[i] for i in ids.tolist()], int(at_lead[0]), sub if p != q else None, own.weight.to_numpy(), own.earlier.to_list(), percent)
+                some = np.flatnonzero(count >= 0)
+                out += zip(ids[some].tolist(), count[some].tolist(), ids[root[some]].tolist())
+        return pd.DataFrame(out, columns=["doc_id", "links", "root"], dtype="int64")
+
+    found = written(members.groupBy("g").applyInPandas(answer, "doc_id bigint, links bigint, root bigint"))
+    links = found.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("links"))
+    parts = components(found.select(F.col("doc_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep").join(links, "rep", "left")
+    out = rows.select("doc_id", "n", "sig").join(classes, "sig", "left").join(parts, "rep", "left")
+    has_id = F.col("doc_id").isNotNull()
+    alone = F.when(has_id, F.coalesce("component", "rep", "doc_id"))
+    n_links = F.when(has_id, F.coalesce("links", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"), n_links.cast("bigint").alias("n_links"))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
