@@ -66,6 +66,17 @@ class Scanner:
             self.automaton.add_word(piece, (len(piece), uses))
         self.automaton.make_automaton()
 
+    def matches(self, which: int, text: str, lo: int, hi: int):
+        """All matches of a notice in a window: the best one first, then those in front of it and behind it, until none is left."""
+        _, notice, k = self.notices[which]
+        left = [(lo, hi)]
+        while left:
+            lo, hi = left.pop()
+            m = self.patterns[which].search(text, lo, hi) if hi - lo >= len(notice) - k else None
+            if m:
+                yield m
+                left += [(lo, m.start()), (m.end(), hi)]
+
     def fuzzy(self, text: str) -> list[tuple[str, int, int, int]]:
         windows: dict[int, list[list[int]]] = {}
         for end, (n, uses) in self.automaton.iter(text):
@@ -84,7 +95,7 @@ class Scanner:
                 else:
                     merged.append([lo, hi])
             for lo, hi in merged:
-                for m in self.patterns[which].finditer(text, lo, min(hi, len(text))):
+                for m in self.matches(which, text, lo, min(hi, len(text))):
                     found.add((self.notices[which][0], m.start(), m.end(), sum(m.fuzzy_counts), len(self.notices[which][1])))
         return sorted(found, key=lambda x: (x[1], x[2], x[0], x[3]))
 
