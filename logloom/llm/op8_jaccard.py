@@ -1,9 +1,11 @@
 """N-gram Jaccard join with set-relation skipping.
 
 A document's set holds its distinct four-word shingles as 64-bit hashes; equal sets are one class. All sets are ordered by
-one global order, rare shingles first: a fixed-size table of counters over all documents gives each shingle a frequency
-level, and hashes order shingles within a level. Two sets of Jaccard similarity t share a shingle among the first
-n - ceil(t n) + 1 of each, so an inverted list over those prefixes holds every candidate.
+one global order, rare shingles first: blocks of documents tell parts of the hash range which shingles they hold, the parts
+count them over all documents and tell the blocks back, so the order follows true document frequencies, in steps of an eighth of
+a power of two, whatever the size of the input. Two sets of Jaccard similarity t share a shingle among the first n - ceil(t n) + 1
+of each, so an inverted list over those prefixes holds every candidate. A shingle of a single set can't be shared: it keeps
+its place but enters no list, and a document whose prefix holds nothing else goes no further.
 
 Lists are cut into blocks by size band: a set of n shingles lies in bands floor(log n / log 1/t) and the next one up, so sets of
 reachable size share a block and all others are skipped. Of the next band, only places early enough in the order are kept: a
@@ -24,23 +26,21 @@ columns are ignored. A hash stands for its shingle: two shingles collide with a
 from __future__ import annotations
 
 import math
-import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, table, written
 
-PERCENT, WORDS, BLOCK = 85, 4, 1500
-#: Counters of the frequency table: 4 MB on its way, 1 MB as levels, whatever the size of the input.
-SLOT_BITS = 20
-#: Bits of the bitmap over ids, as a power of two: 1 MB whatever the size of the input.
-FILTER_BITS = 23
+PERCENT, WORDS, BLOCK, SALTS = 85, 4, 1500, 16
+#: Bytes of text in a block, and of text whose shingles one part counts.
+BLOCK_BYTES, PART_BYTES = 3_000_000, 12_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -77,35 +77,107 @@ class Shingler(dict):
         return np.unique(h ^ (h >> np.uint64(29)))
 
 
-def levels(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """Frequency level (uint8) of each slot over all documents; 0 for all but slots well above the mean."""
-    part = 1 << 16
+def planes(x: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers, packed as differences whose bytes stand apart."""
+    step = np.diff(x, prepend=np.uint32(0)).astype("<u4")
+    return zstandard.compress(np.ascontiguousarray(step.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(raw.T).view("<u4").ravel(), dtype=np.uint32)
+
+
+def keys_of(sets: list[np.ndarray], parts: int) -> np.ndarray:
+    """Part and 32 more bits of each shingle's hash; shingles that coincide only count as more frequent."""
+    h = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    return (h & np.uint64(0xFFFFFFFF)) % np.uint64(parts) << np.uint64(32) | h >> np.uint64(32)
+
+
+BLOCKS = "block bigint, docs array<struct<doc_id:bigint,n:bigint,sig:binary>>, reps array<bigint>, ends binary, texts binary, part int, low binary, counts binary"
+
+
+def blocks_of(docs: DataFrame, words: int, parts: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Two kinds of rows. Blocks: each document's id, set size and signature, then the smallest id and the text of each distinct set.
+    With a part: the block's shingles of that part and in how many of its sets each is."""
+    struct = pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary())])
+    schema = pa.schema([("block", pa.int64()), ("docs", pa.list_(struct)), ("reps", pa.list_(pa.int64())), ("ends", pa.binary()), ("texts", pa.binary()), ("part", pa.int32()), ("low", pa.binary()), ("counts", pa.binary())])
+
+    def run(batches):
+        number, rows, size, shingler = TaskContext.get().partitionId() << 32, [], 0, Shingler(words)
+
+        def emit():
+            told, least = [], {}
+            for i, t in rows:
+                own = shingler.set_of_bytes(t)
+                sig = xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None
+                told.append((i, len(own), sig))
+                if sig is not None and i is not None and (sig not in least or i < least[sig][0]):
+                    least[sig] = i, t, own
+            reps = list(least.values())
+            key, count = np.unique(keys_of([x for *_, x in reps], parts), return_counts=True)
+            part, low, count = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.minimum(count, 65_535).astype("<u2")
+            cut = [*np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist(), len(part)] if len(part) else []
+            ends = np.cumsum([len(t) for _, t, _ in reps]).astype("<i8")
+            out = [{"block": number, "docs": [dict(zip(("doc_id", "n", "sig"), x)) for x in told], "reps": [i for i, *_ in reps], "ends": ends.tobytes(), "texts": zstandard.compress(b"".join(t for _, t, _ in reps), 3)}]
+            out += [{"block": number, "part": int(part[a]), "low": planes(low[a:b]), "counts": zstandard.compress(count[a:b].tobytes(), 1)} for a, b in zip(cut, cut[1:])]
+            return pa.RecordBatch.from_pylist(out, schema)
 
-    def count(batches):
-        shingler, counts = Shingler(words), np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
-            for text in batch.column(1).to_pylist():
-                np.add.at(counts, (shingler.set_of(text) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
-        own = [zlib.compress(counts[lo : lo + part].astype("<i8").tobytes(), 1) for lo in range(0, len(counts), part)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(own)), pa.int32()), pa.array(own, pa.binary())], names=["chunk", "counts"])
-
-    def add(key, frames):
-        total = np.zeros(part, np.int64)
-        for f in frames:
-            for c in f["counts"]:
-                total += np.frombuffer(zlib.decompress(c), "<i8")
-        return pd.DataFrame({"chunk": [key[0]], "counts": [total.tobytes()]})
-
-    def add_all(f: pd.DataFrame) -> pd.DataFrame:
-        return add((f.chunk.iloc[0],), [f])
-
-    found = docs.mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInPandas(add_all, "chunk int, counts binary").collect()
-    total = np.zeros(1 << SLOT_BITS, np.int64)
-    for r in found:
-        total[r.chunk * part : (r.chunk + 1) * part] = np.frombuffer(r["counts"], "<i8")
-    mean = total.mean()
-    over = total / (mean + 1)
-    return np.where(total > 2 * mean + 16, np.floor(np.log2(np.maximum(over, 1))) + 1, 0).astype(np.uint8)
+            for lo in range(0, batch.num_rows, 500):
+                cut = batch.slice(lo, 500)
+                for i, t in zip(cut.column(0).to_pylist(), cut.column(1).to_pylist()):
+                    rows.append((i, (t or "").encode("utf-8", "surrogatepass")))
+                    size += len(rows[-1][1]) + 64
+                    if size >= block_bytes:
+                        yield emit()
+                        number, rows, size = number + 1, [], 0
+        if rows:
+            yield emit()
+
+    return docs.mapInArrow(run, BLOCKS)
+
+
+def levels(f: pd.DataFrame) -> pd.DataFrame:
+    """Frequency levels of one part's shingles for each block, in the order in which the block told them; 0 for those of a single set."""
+    low = [from_planes(x) for x in f.low]
+    size = np.array([len(x) for x in low])
+    low, count = np.concatenate(low), np.concatenate([np.frombuffer(zstandard.decompress(x), "<u2") for x in f.counts]).astype(np.int64)
+    by = np.argsort(low)
+    at = np.flatnonzero(np.r_[True, low[by][1:] != low[by][:-1]])
+    total = np.add.reduceat(count[by], at)
+    level = np.empty(len(low), np.uint8)
+    level[by] = np.repeat(np.minimum(np.rint(8 * np.log2(total)), 255).astype(np.uint8), np.diff(np.r_[at, len(low)]))
+    cut = np.r_[0, np.cumsum(size)].tolist()
+    return pd.DataFrame({"block": f.block, "part": f.part, "level": [zstandard.compress(level[a:b].tobytes(), 1) for a, b in zip(cut, cut[1:])]})
+
+
+PREFIXES = "doc_id bigint, n bigint, held bigint, band int, up bigint, sig binary, pos array<int>, token array<bigint>, packed binary"
+
+
+def prefixes(own: pd.DataFrame, told: pd.DataFrame, words: int, parts: int, percent: int) -> pd.DataFrame:
+    """For each set of a block whose prefix holds a shared shingle: prefix length, places and shingles shared with others, and the packed text."""
+    out, shingler = [], Shingler(words)
+    for row in own.itertuples():
+        data, ends = zstandard.decompress(row.texts), np.frombuffer(row.ends, "<i8")
+        texts = [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+        sets = [shingler.set_of_bytes(t) for t in texts]
+        if not sets:
+            continue
+        told = told.sort_values("part")
+        level = np.frombuffer(b"".join(zstandard.decompress(x) for x in told.level), np.uint8)
+        level = level[np.unique(keys_of(sets, parts), return_inverse=True)[1].ravel()]
+        at = 0
+        for i, t, s in zip(row.reps, texts, sets):
+            rank, n = level[at : at + len(s)], len(s)
+            at += n
+            held = prefix_length(n, percent)
+            if np.count_nonzero(rank == 0) >= held:
+                continue
+            first = np.lexsort((s, rank))[:held]
+            pos = np.flatnonzero(rank[first])
+            out.append((i, n, held, band(n, percent), reach(n, percent), xxhash.xxh3_128_digest(s.tobytes()), pos.astype(np.int32), s[first[pos]].view(np.int64), zstandard.compress(t, 3)))
+    return pd.DataFrame(out, columns=["doc_id", "n", "held", "band", "up", "sig", "pos", "token", "packed"])
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -116,11 +188,11 @@ def linked(a: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.nd
     return 100 * a >= percent * (na + nb - a)
 
 
-def partners(prefixes: list[np.ndarray], n: np.ndarray, percent: int) -> np.ndarray:
-    """Whether each set of a group has a partner within reach by size and by what their prefixes share."""
-    size, near = np.array([len(x) for x in prefixes]), np.zeros(len(prefixes), bool)
+def partners(prefixes: list[np.ndarray], n: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """Whether each set of a group has a partner within reach by size n and by what their prefixes, of `size` places, share."""
+    near = np.zeros(len(prefixes), bool)
     token, own = np.unique(np.concatenate(prefixes), return_inverse=True)
-    row = np.repeat(np.arange(len(prefixes)), size)
+    row = np.repeat(np.arange(len(prefixes)), [len(x) for x in prefixes])
     shared = np.bincount(own, minlength=len(token)) > 1
     keep = shared[own]
     row, col, width = row[keep], (np.cumsum(shared) - 1)[own[keep]], int(shared.sum())
@@ -218,34 +290,21 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     """doc_id, n_shingles, component_id and n_links, the number of other documents linked with it, for every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    level = spark.sparkContext.broadcast(levels(docs, words))
-
-    def described(batches):
-        shingler, known = Shingler(words), {0: (0, 0)}
-        for batch in batches:
-            sets = [shingler.set_of(t) for t in batch.column(1).to_pylist()]
-            sig = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            first = []
-            for s in sets:
-                rank = level.value[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
-                first.append(s[np.lexsort((s, rank))[: prefix_length(len(s), percent)]].view(np.int64))
-            at = np.cumsum([0, *map(len, first)]).astype(np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*first, np.zeros(0, np.int64)])))
-            size = [len(s) for s in sets]
-            for n in set(size) - known.keys():
-                known[n] = band(n, percent), reach(n, percent)
-            own, up = zip(*[known[n] for n in size]) if size else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(own, pa.int32()), pa.array(up, pa.int64()), pa.array(sig, pa.binary()), prefix], names=["doc_id", "n", "band", "up", "sig", "prefix"])
-
-    rows = written(docs.mapInArrow(described, "doc_id bigint, n bigint, band int, up bigint, sig binary, prefix array<bigint>"))
+    # The size of all texts only sets the number of parts.
+    parts = int(max(64, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES)))
+    told = written(blocks_of(docs, words, parts))
+    rows = told.where("part IS NULL").select(F.explode("docs").alias("d")).select("d.*")
     classes = rows.where("sig IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "sig").distinct().groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"))
+    classes = written(classes)
+    back = told.where("part IS NOT NULL").select("block", "part", "low", "counts").groupBy("part").applyInPandas(levels, "block bigint, part int, level binary")
+    texts = told.where("part IS NULL").select("block", "reps", "ends", "texts").groupBy("block")
+    found = texts.cogroup(back.groupBy("block")).applyInPandas(lambda own, told: prefixes(own, told, words, parts, percent), PREFIXES)
     # Index lists over the prefixes of one document per class.
-    own = F.struct("doc_id", "sig")
-    reps = written(rows.select("n", "band", "up", "prefix", own.alias("own")).join(classes.select(F.struct(F.col("rep").alias("doc_id"), "sig").alias("own")), "own", "left_semi").select("own.doc_id", "n", "band", "up", "prefix"))
+    reps = written(found.join(classes.select(F.col("rep").alias("doc_id"), "sig"), ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig"]))
     # shape packs the size n, how many shingles lie behind the places that an index block holds, and whether it is the own band.
     shape = lambda rest, own: F.shiftleft("n", 32) + 2 * rest + own
-    behind = F.col("n") - F.size("prefix")
-    entries = reps.select("doc_id", shape(behind, 1).alias("low"), shape(F.col("n") - F.col("up"), 0).alias("high"), "band", "up", F.posexplode("prefix").alias("pos", "token"))
+    behind = F.col("n") - F.col("held")
+    entries = reps.select("doc_id", shape(behind, 1).alias("low"), shape(F.col("n") - F.col("up"), 0).alias("high"), "band", "up", F.explode(F.arrays_zip("pos", "token")).alias("e")).select("doc_id", "low", "high", "band", "up", "e.*")
     lists = entries.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token")
     places = F.struct("band", F.col("low").alias("shape")), F.struct((F.col("band") + 1).alias("band"), F.col("high").alias("shape"))
     entries = entries.withColumn("at", F.when(F.col("pos") < F.col("up"), F.array(*places)).otherwise(F.array(places[0])))
@@ -259,52 +318,42 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     need = F.ceil(F.lit(percent) * (n("shape") + n("lead_shape")) / (100 + percent) - 1e-6)
     short = (need - F.greatest(rest("shape"), rest("lead_shape"))).cast("bigint")
     pairs = written(met.groupBy("doc_id", "lead").agg(F.count_if(once).alias("common"), F.max(F.when(once, short)).alias("short")))
-    groups = pairs.groupBy("lead").agg(F.count("*").alias("members"))
-    pairs = pairs.join(groups, "lead").where((F.col("members") > 1) | (F.col("common") >= F.col("short"))).select("doc_id", "lead")
-    groups = pairs.groupBy("lead").agg(F.ceil(F.count("*") / block).cast("int").alias("subs"))
-    placed = pairs.join(groups, "lead").withColumn("sub", F.pmod(F.xxhash64("doc_id", "lead"), F.col("subs")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+    # One leader may have a large part of all pairs, so pairs meet their leader's count by leader and salt.
+    def counted(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        groups = pairs.groupBy("lead").agg(F.count("*").alias("members"))
+        salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return groups, pairs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["lead", "salt"]).drop("salt")
+
+    _, pairs = counted(pairs)
+    pairs = written(pairs.where((F.col("members") > 1) | (F.col("common") >= F.col("short"))).select("doc_id", "lead"))
+    groups, placed = counted(pairs)
+    subs = F.ceil(F.col("members") / block).cast("int").alias("subs")
+    groups, placed = groups.select("lead", subs), placed.select("doc_id", "lead", subs)
+    placed = placed.withColumn("sub", F.pmod(F.xxhash64("doc_id", "lead"), F.col("subs")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
     placed = placed.select("doc_id", F.struct("lead", F.least("sub", "other").alias("p"), F.greatest("sub", "other").alias("q"), "sub").alias("at"))
     own = groups.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).withColumn("q", F.explode(F.sequence("p", F.col("subs") - 1)))
     placed = placed.unionByName(own.select(F.col("lead").alias("doc_id"), F.struct("lead", "p", "q", F.lit(-1).alias("sub")).alias("at")))
     n_groups = max(1, pairs.count() // group_rows)
     group_of = F.pmod(F.xxhash64("lead", "p", "q"), F.lit(n_groups))
     # First pass over the groups, with prefixes cut to 31 bits: sets without a partner within reach leave. Coincidences only keep more.
-    first = reps.select("doc_id", "n", F.transform("prefix", lambda t: F.shiftright(t, 33).cast("int")).alias("prefix")).join(placed.groupBy("doc_id").agg(F.collect_set("at").alias("ats")), "doc_id")
-    first = first.select("doc_id", "n", "prefix", F.explode("ats").alias("at")).select("doc_id", "n", "prefix", "at.*").withColumn("g", group_of)
+    first = reps.select("doc_id", "n", "held", F.transform("token", lambda t: F.shiftright(t, 33).cast("int")).alias("prefix")).join(placed.groupBy("doc_id").agg(F.collect_set("at").alias("ats")), "doc_id")
+    first = first.select("doc_id", "n", "held", "prefix", F.explode("ats").alias("at")).select("doc_id", "n", "held", "prefix", "at.*").withColumn("g", group_of)
 
     def reachable(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["lead", "p", "q", "doc_id"], kind="stable").drop_duplicates(["lead", "p", "q", "doc_id"])
         key = f[["lead", "p", "q"]].to_numpy()
         cut = [*np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)]).tolist(), len(f)]
-        n, lead, keep = f.n.to_numpy(), (f.doc_id == f.lead).to_numpy(), np.zeros(len(f), bool)
+        n, held, lead, keep = f.n.to_numpy(), f.held.to_numpy(), (f.doc_id == f.lead).to_numpy(), np.zeros(len(f), bool)
         prefixes = f.prefix.to_list()
         for lo, hi in zip(cut, cut[1:]):
-            near = partners(prefixes[lo:hi], n[lo:hi], percent)
+            near = partners(prefixes[lo:hi], n[lo:hi], held[lo:hi], percent)
             keep[lo:hi] = near | (lead[lo:hi] & near.any())
         return f.loc[keep, ["doc_id", "lead", "p", "q", "sub"]]
 
     kept = first.groupBy("g").applyInPandas(reachable, "doc_id bigint, lead bigint, p int, q int, sub int")
     wanted = written(kept.groupBy("doc_id").agg(F.collect_set(F.struct("lead", "p", "q", "sub")).alias("ats")).join(classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max("weight").alias("weight")), "doc_id"))
-    # A bitmap of fixed size over hashes of the ids left keeps most other texts from the shuffle; the join decides.
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)) + 1
-    bitmap = np.zeros(1 << FILTER_BITS, bool)
-    for r in wanted.select(spot.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect():
-        bits = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")
-        bitmap[(r["at"] - 1) * len(bits) : r["at"] * len(bits)] = bits
-    left = spark.sparkContext.broadcast(np.packbits(bitmap))
-    texts = docs.select("doc_id", "text", spot.alias("h")).where("doc_id IS NOT NULL")
-
     # Texts are far smaller than sets of hashes once compressed, so they travel and groups make the sets anew.
-    def compressed(batches):
-        pack, own = zstandard.ZstdCompressor(3), np.unpackbits(left.value).astype(bool)
-        for batch in batches:
-            batch = batch.filter(pa.array(own[batch.column(2).to_numpy() - 1]))
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                packed = [pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
-
-    members = texts.mapInArrow(compressed, "doc_id bigint, packed binary").join(wanted, "doc_id").select("doc_id", "packed", "weight", F.array_distinct(F.transform("ats", lambda x: x["lead"])).alias("leads"), F.explode("ats").alias("at"))
+    members = reps.select("doc_id", "packed").join(wanted, "doc_id").select("doc_id", "packed", "weight", F.array_distinct(F.transform("ats", lambda x: x["lead"])).alias("leads"), F.explode("ats").alias("at"))
     members = members.select("doc_id", "packed", "weight", "at.*", F.filter("leads", lambda x: x < F.col("at.lead")).alias("earlier"))
     members = members.withColumn("g", group_of)
 
@@ -326,8 +375,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
 
     found = written(members.groupBy("g").applyInPandas(answer, "doc_id bigint, links bigint, root bigint"))
     links = found.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("links"))
-    parts = components(found.select(F.col("doc_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep").join(links, "rep", "left")
-    out = rows.select("doc_id", "n", "sig").join(classes, "sig", "left").join(parts, "rep", "left")
+    joined = components(found.select(F.col("doc_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep").join(links, "rep", "left")
+    out = rows.select("doc_id", "n", "sig").join(classes, "sig", "left").join(joined, "rep", "left")
     has_id = F.col("doc_id").isNotNull()
     alone = F.when(has_id, F.coalesce("component", "rep", "doc_id"))
     n_links = F.when(has_id, F.coalesce("links", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1)
