@@ -5,10 +5,12 @@ folds runs of letters and digits, so it carries over to unseen words. Each indic
 its smoothed class frequencies, rows are set to unit length, and the weights come from dual coordinate descent for
 the hinge loss. A logistic curve fitted on a fifth of the sample kept out of the weights turns margins into scores.
 
-The model is fitted on at most `sample_rows` labelled rows, those with the smallest hash of their id (a documented bound);
-its weights have a fixed size, and scoring reads every whole text once without a shuffle.
+The model is fitted on at most `sample_rows` labelled documents, those with the smallest hash of their id (a documented bound).
+One task fits it over that sample and only its weights, of a fixed size, come to the driver; scoring reads every whole
+text once without a shuffle.
 
-Edge cases: a null or empty text has the bias alone and still gets a score; repeated rows each give a row; labels that are null
+Edge cases: a row without an id is scored like any other and never a sample; of rows that share an id, one is a sample; a column
+named like the score is replaced; a null or empty text has the bias alone and still gets a score; repeated rows each give a row; labels that are null
 or belong to no document are ignored; several labels for one id count as the smallest; an empty table gives no rows; with
 no label or a single class every score is the share of label 1 (0.5 with none); other columns are ignored.
 """
@@ -62,12 +64,12 @@ class Grams(dict):
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, epochs: int = 15, seed: int = 1) -> tuple:
-    """Weights per feature (the ratios multiplied in), bias, slope and intercept of the score curve, and the ratios."""
+    """Weights per feature (the ratios multiplied in), bias, slope and intercept of the score curve, and the ratios. Rows stay as they are; values are looked up."""
     y = np.where(labels > 0, 1.0, -1.0)
     share = float((y > 0).mean()) if len(y) else 0.5
     if len(y) < 10 or share in (0.0, 1.0):
         share = min(max(share, 1e-3), 1 - 1e-3)
-        return np.zeros(SIZE), 0.0, 0.0, math.log(share / (1 - share))
+        return np.zeros(SIZE), 0.0, 0.0, math.log(share / (1 - share)), np.zeros(SIZE)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     held, own = order[: len(y) // 5], order[len(y) // 5 :]
@@ -76,10 +78,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, epochs: int
     for i in own:
         counts[y[i]][rows[i]] += 1
     r = np.log(counts[1.0] / counts[1.0].sum()) - np.log(counts[-1.0] / counts[-1.0].sum())
-    value = []
-    for x in rows:
-        v = r[x]
-        value.append(v / max(float(np.sqrt(v @ v)), 1e-9))
+    size = np.array([max(float(np.sqrt((v := r[x]) @ v)), 1e-9) for x in rows])
     # Dual coordinate descent for the hinge loss; the rarer class weighs more.
     w, b, alpha = np.zeros(SIZE), 0.0, np.zeros(len(y))
     n1 = max(1, int((y[own] > 0).sum()))
@@ -88,7 +87,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, epochs: int
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(own):
-            x, v = rows[i], value[i]
+            x = rows[i]
+            v = r[x] / size[i]
             g = y[i] * (w[x] @ v + b) - 1
             new = min(max(alpha[i] - g / 2.0, 0.0), top[y[i]])  # each row has unit length, and the bias adds one
             if d := new - alpha[i]:
@@ -98,7 +98,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, epochs: int
                 moved = max(moved, abs(d))
         if moved < 1e-3:
             break
-    margin = np.array([w[rows[i]] @ value[i] + b for i in held])
+    margin = np.array([w[rows[i]] @ r[rows[i]] / size[i] + b for i in held])
     goal = y[held] > 0
     slope, shift = 1.0, 0.0
     for _ in range(50):  # Newton steps of a two-parameter logistic fit with a small ridge
@@ -114,14 +114,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, epochs: int
 def score(model: tuple, x: np.ndarray) -> float:
     w, b, slope, shift = model[:4]
     margin = b
-    if len(model) > 4 and len(x):
+    if len(x):
         v = model[4][x]
         margin += float(w[x].sum()) / max(float(np.sqrt(v @ v)), 1e-9)
     return 1 / (1 + math.exp(-min(max(slope * margin + shift, -30.0), 30.0)))
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 12_000) -> tuple:
-    """Fits on a bounded sample of labelled rows; features are made where the texts are, and only they come to the driver."""
+    """Fits on a bounded sample of labelled documents; features are made where the texts are, and one task fits the model over them."""
     label = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("doc_id")).agg(F.min(label_col).cast("int").alias("label"))
     sample = F.broadcast(label.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(sample, "doc_id")
@@ -132,12 +132,21 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
             x = [grams.features(t).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.binary())], names=["doc_id", "label", "x"])
 
-    got = sorted((r.doc_id, r.label, r.x) for r in rows.mapInArrow(features, "doc_id bigint, label int, x binary").toLocalIterator())
-    return fit([np.frombuffer(x, "<u4").astype(np.int32) for *_, x in got], np.array([y for _, y, _ in got]))
+    def fitted(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks().sort_by("doc_id")
+        w, b, slope, shift, r = fit([np.frombuffer(x.as_buffer(), "<u4") for x in t.column("x")], t.column("label").to_numpy())
+        return pa.table({"w": [w.astype("<f4").tobytes()], "r": [r.astype("<f4").tobytes()], "b": [b], "slope": [slope], "shift": [shift]})
+
+    found = rows.mapInArrow(features, "doc_id bigint, label int, x binary").groupBy("doc_id").agg(F.min(F.struct("label", "x")).alias("s")).select("doc_id", "s.*")
+    got = found.groupBy().applyInArrow(fitted, "w binary, r binary, b double, slope double, shift double").first()
+    if got is None:
+        return fit([], np.zeros(0))
+    return np.frombuffer(got.w, "<f4"), got.b, got.slope, got.shift, np.frombuffer(got.r, "<f4")
 
 
 def quality_scored(docs: DataFrame, model: tuple, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """All rows and columns of docs with score_col, 0 to 1."""
+    """All rows and columns of docs with score_col, 0 to 1, in place of a column of that name."""
+    docs = docs.select([c for c in docs.columns if c.lower() != score_col.lower()])
     shared = docs.sparkSession.sparkContext.broadcast(tuple(x.astype(np.float32) if isinstance(x, np.ndarray) else x for x in model))
     at = docs.columns.index(text_col)
 
