@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; a local one only where that setting is unset (tests)."""
+    """A fresh folder below spark.checkpoint.dir. Where that is unset, a local one if Spark runs in this machine alone (tests), else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="logloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -27,7 +29,17 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -47,7 +59,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         e1 = large.unionByName(kept).where("a <> b").distinct()
         low1 = e1.groupBy("a").agg(F.min("b").alias("m"))
         small = e1.join(low1, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = written(small.unionByName(low1.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        last, e = e, written(small.unionByName(low1.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        dropped(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(

@@ -1,30 +1,43 @@
 """Embedding near-duplicates by lattice hashing.
 
-Unit vectors are projected onto eight random orthonormal directions per table, scaled, and decoded to the E8
-lattice: the nearest points of D8 and of D8 + 1/2 are both computed; the nearer one is the vector's cell and the other,
-a neighbouring cell, is probed too. Vectors that meet in a cell are verified by cosine in double precision.
-
-Equal vectors are one class with a weight, so copies make no pairs. Cells are verified in blocks of at most about
-`block` vectors: a larger cell is dealt into sub-blocks, and each pair of sub-blocks is a group of its own, so no
-task holds an unbounded cell and no pair is lost. A pair that meets in several cells counts in its first one. Groups
-return counts and one link to a local root for each vector, never the pairs; components follow from those links.
-
-Edge cases: vectors null, zero, of another length than the commonest, or with null or non-finite components link with nothing and
-are their own component; repeated rows count once; several vectors under one id share a component; an empty table gives
-no rows; other columns are ignored.
+In each table, unit vectors are projected onto eight random orthonormal directions per block, scaled by the square root of
+their dimension, shifted, and decoded to the E8 lattice: the nearest points of D8 and of D8 + 1/2 are both computed; the
+nearer one is the vector's cell and the other, a neighbouring cell, is probed too. A key joins one cell of each of a table's
+blocks, with the neighbours of all blocks probed in every combination. Vectors that meet in a key are verified by cosine in
+double precision.
+
+How many blocks a key joins, how fine the lattice is and how many tables there are follow from the number of vectors and
+their length: a simulation of pairs at the threshold and of random pairs gives the chance p to meet in a block. Tables are as
+many as find a pair at the threshold with a chance of `recall`, and of all choices that do the cheapest in keys and expected
+coincidences is taken; more vectors make it sharper. Vectors of each length are a matter of their own.
+
+Equal vectors are one class with a weight, so copies make no pairs. Keys that one vector holds alone leave first, as numbers;
+then vectors travel. Keys are verified in blocks of at most about `block` vectors: a larger one is dealt into sub-blocks, and
+each pair of sub-blocks is a group of its own, so no task holds an unbounded key and no pair is lost. A pair that meets in
+several keys counts in its first one. Groups return counts and one link to a local root for each vector, never the pairs;
+components follow from those links.
+
+Edge cases: vectors null, empty, zero or with null or non-finite components link with nothing and are their own component;
+vectors of different lengths don't link; a null id keeps its row with no links and a null component, and isn't kept; repeated rows count once;
+several vectors under one id share a component; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, table, written
-from .vectors import usable
+from .common import components, dropped, table, written
+from .vectors import lengths, usable
 
-TABLES, SCALE, BLOCK = 10, 5.0, 3000
+BLOCK, RECALL = 3000, 0.98
+#: Keys of a vector in all its tables.
+MOST_KEYS = 512
 
 
 def decode_e8(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,18 +56,60 @@ def decode_e8(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (2 * np.where(near[:, None], a, b)).astype(np.int64), (2 * np.where(near[:, None], b, a)).astype(np.int64)
 
 
-def cell_keys(unit: np.ndarray, tables: int, scale: float, seed: int) -> np.ndarray:
-    """(vectors, 2 * tables) keys; a key holds its table's number and the lattice point."""
-    rng = np.random.default_rng(seed)
+@functools.lru_cache(1000)
+def meeting(dim: int, cosine: float, pairs: int = 20_000, seed: int = 3) -> list[tuple[float, float, float]]:
+    """(scale, chance that a pair at the threshold meets in a block, chance that a random pair does) for several scales, simulated."""
+    rng, dim = np.random.default_rng(seed), max(dim, 8)
+    two = []
+    for lo in range(0, pairs, 2000):
+        a, b = rng.standard_normal((2, min(2000, pairs - lo), dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(1, keepdims=True) * a
+        b /= np.linalg.norm(b, axis=1, keepdims=True)
+        near = cosine * a + math.sqrt(max(0.0, 1 - cosine * cosine)) * b
+        two.append((a[:, :8], near[:, :8]))
+    a, near = (np.concatenate(x) for x in zip(*two))
+    far, shift, out = np.roll(a, 1, 0), rng.random(8) * 2, []
+    for scale in np.arange(0.3, 1.25, 0.05):
+        cells = [decode_e8(x * scale * math.sqrt(dim) + shift) for x in (a, near, far)]
+        meet = lambda x, y: float(np.logical_or.reduce([(p == q).all(1) for p in x for q in y]).mean())
+        out.append((float(scale), meet(cells[0], cells[1]), max(meet(cells[0], cells[2]), 3 / pairs)))
+    return out
+
+
+def plan(n: int, dim: int, cosine: float, recall: float = RECALL) -> tuple[int, float, int]:
+    """Blocks in a key, scale and tables for n vectors."""
+    best = None
+    for scale, near, far in meeting(dim, cosine):
+        for blocks in range(1, 9):
+            found = near**blocks
+            tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - found))) if found < 1 else 1
+            keys = tables << blocks
+            if keys <= MOST_KEYS:
+                # Bytes moved for a vector: its keys, and vectors at which it meets by chance.
+                cost = 48 * keys + n * far**blocks * tables * 2 * (4 * dim + 100)
+                best = min(best or (math.inf,), (cost, blocks, scale, tables))
+    return best[1:]
+
+
+def cell_keys(unit: np.ndarray, blocks: int, scale: float, tables: int, seed: int) -> np.ndarray:
+    """(vectors, tables << blocks) keys; a key is a hash of its table, its length and a lattice point of each block."""
     dim, out = unit.shape[1], []
+    rng = np.random.default_rng((seed, dim))
+    mix = lambda h: (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     for t in range(tables):
-        q, _ = np.linalg.qr(rng.standard_normal((max(dim, 8), 8)))
-        for point in decode_e8(unit @ q[:dim] * scale):
-            key = np.full(len(unit), t, np.int64)
-            for c in range(8):
-                key = key * 31 + (point[:, c] + 15) % 31  # 31^8 cells per table; folding only adds candidates
-            out.append(key)
-    return np.stack(out, 1)
+        keys = [np.full(len(unit), 1 + t * 65_537 + dim, np.uint64)]
+        for _ in range(blocks):
+            q, _ = np.linalg.qr(rng.standard_normal((max(dim, 8), 8)))
+            shift, cells = rng.random(8) * 2, []
+            for point in decode_e8(unit @ q[:dim] * (scale * math.sqrt(max(dim, 8))) + shift):
+                h = np.zeros(len(unit), np.uint64)
+                for c in range(8):
+                    h = mix(h + point[:, c].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+                cells.append(h)
+            keys = [mix(mix(k) + h) for k in keys for h in cells]
+        out += keys
+    return np.stack(out, 1).view(np.int64)
 
 
 def candidates(unit: np.ndarray, cell: np.ndarray, sub: np.ndarray, cross: np.ndarray, cosine: float, small: int = 48):
@@ -112,34 +167,48 @@ def local_links(ids: np.ndarray, unit: np.ndarray, keys: np.ndarray, weight: np.
     return pd.DataFrame({"vec_id": ids[own], "links": count[own], "root": ids[root[own]]})
 
 
-def near_links(classes: DataFrame, cosine: float, tables: int = TABLES, scale: float = SCALE, block: int = BLOCK, group_rows: int = 20_000, seed: int = 11) -> DataFrame:
+def near_links(classes: DataFrame, cosine: float, recall: float = RECALL, block: int = BLOCK, group_rows: int = 20_000, seed: int = 11) -> DataFrame:
     """vec_id, links and root rows from classes(vec_id, embedding, weight) of distinct vectors."""
+    plans = {dim: plan(n, dim, cosine, recall) for dim, n in lengths(classes).items()}
+
+    def units(x: pd.Series) -> np.ndarray:
+        x = np.stack(x.to_numpy()).astype(np.float64)
+        x /= np.abs(x).max(1, keepdims=True)  # so that squares stay within range
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     def keyed(frames):
         for f in frames:
-            if len(f):
-                x = np.stack(f.embedding.to_numpy()).astype(np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                yield f.assign(keys=list(cell_keys(x, tables, scale, seed)))
-
-    own = written(classes.mapInPandas(keyed, classes.schema.simpleString()[7:-1] + ",keys:array<bigint>"))
-    entries = own.withColumn("cell", F.explode(F.array_distinct("keys")))
-    sizes = entries.groupBy("cell").count().where("count > 1")
-    parts = entries.join(sizes, "cell").withColumn("subs", F.ceil(F.col("count") / block).cast("int"))
+            for dim, own in f.groupby(f.embedding.map(len)):
+                yield pd.DataFrame({"vec_id": own.vec_id, "cells": list(cell_keys(units(own.embedding), *plans[dim], seed))})
+
+    entries = classes.select("vec_id", "embedding").mapInPandas(keyed, "vec_id bigint, cells array<bigint>")
+    entries = written(entries.select("vec_id", F.explode(F.array_distinct("cells")).alias("cell")))
+    sizes = entries.groupBy("cell").count().where("count > 1").select("cell", F.ceil(F.col("count") / block).cast("int").alias("subs"))
+    shared = written(entries.join(sizes, "cell").groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("cell", "subs"))).alias("at")))
+    dropped(entries)
+    # A vector goes once to each group, with those of its keys that the group answers.
+    groups = max(1, -(-shared.agg(F.sum(F.size("at"))).first()[0] // group_rows)) if shared.take(1) else 1
+    parts = shared.select("vec_id", F.transform("at", lambda x: x["cell"]).alias("keys"), F.explode("at").alias("at")).select("vec_id", "keys", "at.*")
     parts = parts.withColumn("sub", F.pmod(F.xxhash64("vec_id", "cell"), F.col("subs")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
-    parts = parts.select("cell", F.least("sub", "other").alias("p"), F.greatest("sub", "other").alias("q"), "sub", "vec_id", "embedding", "weight", "keys")
-    # Many cells are tiny: so many of them form one group that a group holds about group_rows rows.
-    groups = max(1, 2 * tables * own.count() // group_rows)
-    parts = parts.withColumn("g", F.pmod(F.xxhash64("cell", "p", "q"), F.lit(groups)))
+    parts = parts.select("vec_id", "keys", F.struct("cell", F.least("sub", "other").alias("p"), F.greatest("sub", "other").alias("q"), "sub").alias("at"))
+    parts = parts.groupBy("vec_id", F.pmod(F.xxhash64("at.cell", "at.p", "at.q"), F.lit(groups)).alias("g")).agg(F.any_value("keys").alias("keys"), F.collect_list("at").alias("at"))
+    rows = parts.join(classes, "vec_id")
 
     def verify(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["cell", "p", "q"], kind="stable")
-        x = np.stack(f.embedding.to_numpy()).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        part = f.groupby(["cell", "p", "q"], sort=True).ngroup().to_numpy()
-        return local_links(f.vec_id.to_numpy(), x, np.stack(f["keys"].to_numpy()), f.weight.to_numpy(), f.cell.to_numpy(), part, f["sub"].to_numpy(), (f.p != f.q).to_numpy(), cosine)
-
-    return parts.groupBy("g").applyInPandas(verify, "vec_id bigint, links bigint, root bigint")
+        found = []
+        for _, own in f.groupby(f.embedding.map(len)):
+            at = pd.DataFrame([x.asDict() if hasattr(x, "asDict") else x for xs in own["at"] for x in xs])
+            row = np.repeat(np.arange(len(own)), own["at"].map(len))
+            by = np.lexsort((row, at.q, at.p, at.cell))
+            at, row = at.iloc[by], row[by]
+            keys = np.full((len(own), own["keys"].map(len).max()), np.iinfo(np.int64).max)
+            for k, x in enumerate(own["keys"]):
+                keys[k, : len(x)] = x
+            part = at.groupby(["cell", "p", "q"], sort=True).ngroup().to_numpy()
+            found.append(local_links(own.vec_id.to_numpy()[row], units(own.embedding)[row], keys[row], own.weight.to_numpy()[row], at.cell.to_numpy(), part, at["sub"].to_numpy(), (at.p != at.q).to_numpy(), cosine))
+        return pd.concat(found)
+
+    return rows.groupBy("g").applyInPandas(verify, "vec_id bigint, links bigint, root bigint")
 
 
 def near_duplicates(rows: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", **how) -> DataFrame:

@@ -2,121 +2,167 @@
 
 A vector is the sum of one full-dimensional codeword from each codebook. Codebooks are fitted one after another by
 k-means on the residuals of a bounded sample; every vector is then encoded by beam search over all codebooks, using the
-stored products between codewords, and the norm of what is left is stored beside the code. Scores come from lookup
-tables of query-codeword products, and the best candidates are reranked exactly in double precision. All candidates
-whose looked-up score is within a margin of the last one's are reranked too, so ties and groups of near copies are whole.
+stored products between codewords, and the norm r of what is left is stored beside the code.
 
-Queries and candidates meet in blocks of fixed size: each (query block, candidate block) is one group, its best k rows
-per query go on, and a window keeps the best of those. Every row is indexed; only the fit uses a sample of `sample_rows`.
+The first codeword of a code names its list; there are about four times the square root of as many lists as vectors. Lists are
+put on shelves of about `shelf_rows` vectors, a larger list on several. A query goes to the shelves that hold one of the
+`probe_share` of lists whose words have the largest product with it, in blocks of queries, so a vector is sent once
+for each `query_block` queries that want its shelf. On a shelf, scores come from lookup tables of query-codeword products; the
+best are scored exactly in double precision, and then every other vector whose bound, lookup + |query| * r, reaches the k-th exact
+score, so nothing on a shelf is missed. With probe_share = 1 the search is exact; below, only lists that aren't probed lose any.
 
-Edge cases: vectors null, zero, of another length than the commonest, or with null or non-finite components take no part;
-repeated rows count once; fewer candidates than k give fewer rows; an empty table gives no rows; other columns are ignored.
+Every row is indexed; only the fit uses a sample of at most `sample_rows`. Vectors of each length are a matter of their own.
+
+Edge cases: vectors null, empty, zero or with null or non-finite components and rows without an id take no part; repeated rows
+count once; several vectors under one id are candidates each, and as queries share one list of k; fewer candidates than k give fewer
+rows; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .vectors import usable
+from .vectors import lengths, usable
 
 
-def fit_codebooks(x: np.ndarray, books: int = 8, words: int = 256, rounds: int = 8, seed: int = 5) -> np.ndarray:
-    """(books, words, dim) codebooks by k-means on residuals."""
+def fit_codebooks(x: np.ndarray, words: list[int], rounds: int = 8, seed: int = 5) -> list[np.ndarray]:
+    """A (words, dim) codebook for each number of words, by k-means on residuals."""
     rng = np.random.default_rng(seed)
     rest, out = x.astype(np.float32).copy(), []
-    for _ in range(books):
-        c = rest[rng.choice(len(rest), words, replace=len(rest) < words)].copy()
+
+    def nearest(c):
+        half = 0.5 * (c * c).sum(1)
+        return np.concatenate([(rest[lo : lo + 4096] @ c.T - half).argmax(1) for lo in range(0, len(rest), 4096)])
+
+    for n in words:
+        c = rest[rng.choice(len(rest), n, replace=len(rest) < n)].copy()
         for _ in range(rounds):
-            own = (rest @ c.T - 0.5 * (c * c).sum(1)).argmax(1)
+            own = nearest(c)
             total = np.zeros_like(c)
             np.add.at(total, own, rest)
-            n = np.bincount(own, minlength=words)
-            c[n > 0] = total[n > 0] / n[n > 0, None]
-        rest -= c[(rest @ c.T - 0.5 * (c * c).sum(1)).argmax(1)]
+            size = np.bincount(own, minlength=n)
+            c[size > 0] = total[size > 0] / size[size > 0, None]
+        rest -= c[nearest(c)]
         out.append(c)
-    return np.stack(out)
+    return out
 
 
-def encode(x: np.ndarray, books: np.ndarray, beam: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (uint8) and residual norms by beam search."""
-    n, (m, k, _) = len(x), books.shape
+def encode(x: np.ndarray, books: list[np.ndarray], beam: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (uint16) and residual norms by beam search."""
     x = x.astype(np.float32)
-    cross = np.einsum("ikd,jld->ijkl", books, books)
-    half = 0.5 * (books * books).sum(2)
-    codes, gain = np.zeros((n, 1, 0), np.int64), np.zeros((n, 1), np.float32)  # gain: <x, sum> - |sum|^2 / 2
-    for j in range(m):
-        new = gain[:, :, None] + (x @ books[j].T)[:, None, :] - half[j]
+    codes, gain = np.zeros((len(x), 1, 0), np.int64), np.zeros((len(x), 1), np.float32)  # gain: <x, sum> - |sum|^2 / 2
+    for j, book in enumerate(books):
+        new = gain[:, :, None] + (x @ book.T - 0.5 * (book * book).sum(1))[:, None, :]
         for i in range(j):
-            new -= cross[i, j][codes[:, :, i]]
-        flat = new.reshape(n, -1)
+            new -= (books[i] @ book.T)[codes[:, :, i]]
+        flat = new.reshape(len(x), -1)
         width = min(beam, flat.shape[1])
         best = np.argpartition(-flat, width - 1, 1)[:, :width]
         gain = np.take_along_axis(flat, best, 1)
-        from_beam, word = best // k, best % k
+        from_beam, word = best // len(book), best % len(book)
         codes = np.concatenate([np.take_along_axis(codes, from_beam[:, :, None], 1), word[:, :, None]], 2)
-    top = codes[np.arange(n), gain.argmax(1)]
-    sums = sum(books[j][top[:, j]] for j in range(m))
-    return top.astype(np.uint8), np.linalg.norm(x - sums, axis=1)
-
-
-def search_block(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, codes: np.ndarray, books: np.ndarray, k: int, rerank: int, margin: float) -> pd.DataFrame:
-    """Best k of a candidate block for each query of a query block."""
-    v = v.astype(np.float64)
-    columns, out = [codes[:, j].astype(np.int64) for j in range(codes.shape[1])], []
-    for lo in range(0, len(qid), 256):
-        tables = np.einsum("qd,mkd->mqk", q[lo : lo + 256].astype(np.float32), books)
-        for r in range(tables.shape[1]):
-            s = tables[0, r][columns[0]]
-            for j in range(1, len(columns)):
-                s += tables[j, r][columns[j]]
-            near = np.arange(len(vid))
-            own = q[lo + r].astype(np.float64)
-            if len(vid) > rerank:
-                low = np.partition(s, len(s) - rerank)[len(s) - rerank]
-                near = np.flatnonzero(s >= low - margin * np.linalg.norm(own))
+    top = codes[np.arange(len(x)), gain.argmax(1)]
+    sums = sum(book[top[:, j]] for j, book in enumerate(books))
+    return top.astype("<u2"), np.linalg.norm(x.astype(np.float64) - sums, axis=1)
+
+
+def search_shelf(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, codes: np.ndarray, residual: np.ndarray, books: list[np.ndarray], k: int) -> pd.DataFrame:
+    """The k nearest on a shelf for each query of a block: lookups first, then exact scores wherever the stored norm leaves room."""
+    v, q, out = v.astype(np.float64), q.astype(np.float64), []
+    columns = [np.ascontiguousarray(codes[:, j]) for j in range(codes.shape[1])]
+    first = min(len(vid), 4 * k + 1)
+    for lo in range(0, len(qid), 64):
+        some = q[lo : lo + 64]
+        looked = sum((some.astype(np.float32) @ book.T)[:, column] for book, column in zip(books, columns))
+        size = np.linalg.norm(some, axis=1)
+        # Lookups are sums of single precision; the margin covers their rounding.
+        bound = looked + size[:, None] * (residual[None, :] + 1e-5 * (1 + np.abs(looked) / np.maximum(size[:, None], 1e-30)))
+        start = np.argpartition(-looked, first - 1, 1)[:, :first]
+        for r, own in enumerate(some):
+            near = start[r]
             near = near[vid[near] != qid[lo + r]]
-            exact = v[near] @ own
+            least = np.sort(v[near] @ own)[-k] if len(near) >= k else -np.inf
+            near = np.flatnonzero((bound[r] >= least - 1e-9 * size[r]) & (vid != qid[lo + r]))
+            rough = v[near] @ own
+            if len(near) > k:
+                near = near[rough >= np.partition(rough, len(near) - k)[len(near) - k] - 1e-9 * (1 + np.abs(rough).max())]
+            exact = np.einsum("ij,j->i", v[near], own)  # row by row, so that equal vectors tie
             best = np.lexsort((vid[near], -exact))[:k]
-            out.append(pd.DataFrame({"query_id": qid[lo + r], "vec_id": vid[near][best], "score": exact[best]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            out.append((np.full(len(best), qid[lo + r]), vid[near][best], exact[best]))
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out)))))
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 20, sample_rows: int = 8192, rerank: int = 1200, margin: float = 0.02, query_block: int = 8192, candidate_block: int = 16_384) -> DataFrame:
-    """query_id, rank, vec_id and score: the k found candidates with the largest inner product; is_query is a predicate on vec_id."""
-    good = usable(rows)
+SCHEMA = "query_id bigint, vec_id bigint, score double"
+
+
+def found_of_length(good: DataFrame, n: int, is_query: Column, k: int, books: int, probe_share: float, sample_rows: int, shelf_rows: int, query_block: int) -> DataFrame:
+    """Candidates of vectors of one length, at most k of each shelf for each query."""
+    lists = int(min(4096, max(16, 2 ** round(math.log2(4 * math.sqrt(n))))))
     sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").toPandas()
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
-    if not len(sample):
-        return rows.sparkSession.createDataFrame([], schema)
-    books = fit_codebooks(np.stack(sample.embedding.to_numpy()), words=min(256, len(sample)))
-    shared = rows.sparkSession.sparkContext.broadcast(books)
+    x = np.stack(sample.embedding.to_numpy())
+    codebooks = fit_codebooks(x, [min(lists, len(x)), *[min(256, len(x))] * (books - 1)])
+    shared = good.sparkSession.sparkContext.broadcast(codebooks)
 
     def coded(frames):
         for f in frames:
-            for lo in range(0, len(f), 2000):
-                part = f.iloc[lo : lo + 2000]
+            for lo in range(0, len(f), 500):
+                part = f.iloc[lo : lo + 500]
                 codes, left = encode(np.stack(part.embedding.to_numpy()), shared.value)
-                yield part.assign(codes=[c.tobytes() for c in codes], residual=left.astype(np.float64))
-
-    index = written(good.mapInPandas(coded, "vec_id bigint, embedding array<float>, codes binary, residual double"))
-    n, queries = index.count(), index.where(is_query).count()
-    cb, qb = max(1, -(-n // candidate_block)), max(1, -(-queries // query_block))
+                yield part.assign(codes=[c.tobytes() for c in codes], residual=left, list=codes[:, 0].astype(np.int32))
+
+    kind = good.schema["embedding"].dataType.simpleString()
+    index = written(good.mapInPandas(coded, f"vec_id bigint, embedding {kind}, codes binary, residual double, list int"))
+    # Lists are laid onto shelves along the direction in which their words differ most; their sizes are at most 4096 numbers.
+    size = dict.fromkeys(range(lists), 0) | {r.list: r["count"] for r in index.groupBy("list").count().collect()}
+    words = codebooks[0].astype(np.float64)
+    along = np.argsort((words - words.mean(0)) @ np.linalg.svd(words - words.mean(0), full_matrices=False)[2][0], kind="stable").tolist()
+    shelf_of, subs, shelf, filled = {}, {}, 0, 0
+    for i in along:
+        if filled and filled + size[i] > shelf_rows:
+            shelf, filled = shelf + 1, 0
+        shelf_of[i], filled = shelf, filled + size[i]
+        subs[shelf] = max(1, -(-filled // shelf_rows))
+    table_ = index.sparkSession.createDataFrame([(i, s, subs[s]) for i, s in shelf_of.items()], "list int, shelf int, subs int")
     own = F.xxhash64("vec_id", F.lit(1))
-    candidates = index.select(F.pmod(own, F.lit(cb)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("q"), F.lit(False).alias("query"), "vec_id", "embedding", "codes")
-    asked = index.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("c"), F.pmod(own, F.lit(qb)).cast("int").alias("q"), F.lit(True).alias("query"), "vec_id", "embedding", "codes")
+    placed = index.join(table_, "list").withColumn("sub", F.pmod(own, F.col("subs")).cast("int"))
+    probes = max(1, math.ceil(probe_share * len(shelf_of)))
+
+    def wanted(frames):
+        for f in frames:
+            for lo in range(0, len(f), 1000):
+                part = f.iloc[lo : lo + 1000]
+                near = np.argsort(-(np.stack(part.embedding.to_numpy()).astype(np.float32) @ shared.value[0].T), 1, kind="stable")[:, :probes]
+                yield part.assign(shelf=[sorted({shelf_of[i] for i in row}) for row in near.tolist()])
+
+    asked = index.where(is_query).select("vec_id", "embedding").mapInPandas(wanted, f"vec_id bigint, embedding {kind}, shelf array<int>").withColumn("shelf", F.explode("shelf"))
+    asked = written(asked)
+    blocks = asked.groupBy("shelf").agg(F.ceil(F.count("*") / query_block).cast("int").alias("blocks"))
+    asked = asked.join(blocks, "shelf").join(table_.groupBy("shelf").agg(F.max("subs").alias("subs")), "shelf")
+    asked = asked.select("shelf", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.pmod(own, F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("query"), "vec_id", "embedding", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("residual"))
+    stored = placed.join(blocks, "shelf").select("shelf", "sub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("query"), "vec_id", "embedding", "codes", "residual")
 
     def search(f: pd.DataFrame) -> pd.DataFrame:
         q, v = f[f["query"]], f[~f["query"]]
         if not len(q) or not len(v):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        codes = np.frombuffer(b"".join(v.codes), np.uint8).reshape(len(v), -1)
-        return search_block(q.vec_id.to_numpy(), np.stack(q.embedding.to_numpy()), v.vec_id.to_numpy(), np.stack(v.embedding.to_numpy()), codes, shared.value, k, rerank, margin)
+        codes = np.frombuffer(b"".join(v.codes), "<u2").reshape(len(v), -1)
+        return search_shelf(q.vec_id.to_numpy(), np.stack(q.embedding.to_numpy()), v.vec_id.to_numpy(), np.stack(v.embedding.to_numpy()), codes, v.residual.to_numpy(), shared.value, k)
+
+    return stored.unionByName(asked).groupBy("shelf", "sub", "block").applyInPandas(search, SCHEMA)
 
-    found = candidates.unionByName(asked).groupBy("c", "q").applyInPandas(search, "query_id bigint, vec_id bigint, score double")
+
+def nearest(rows: DataFrame, is_query: Column, k: int = 20, books: int = 8, probe_share: float = 0.5, sample_rows: int = 65_536, shelf_rows: int = 16_384, query_block: int = 8192) -> DataFrame:
+    """query_id, rank, vec_id and score: the k found candidates with the largest inner product; is_query is a predicate on vec_id."""
+    good = usable(rows)
+    found = rows.sparkSession.createDataFrame([], SCHEMA)
+    for dim, n in sorted(lengths(good).items()):
+        found = found.unionByName(found_of_length(good.where(F.size("embedding") == dim), n, is_query, k, books, probe_share, sample_rows, shelf_rows, query_block))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

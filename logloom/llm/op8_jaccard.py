@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, table, written
+from .common import components, dropped, table, written
 
 PERCENT, WORDS, BLOCK, SALTS = 85, 4, 1500, 16
 #: Bytes of text in a block, and of text whose shingles one part counts.
@@ -293,7 +293,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     # The size of all texts only sets the number of parts.
     parts = int(max(64, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES)))
     told = written(blocks_of(docs, words, parts))
-    rows = told.where("part IS NULL").select(F.explode("docs").alias("d")).select("d.*")
+    rows = written(told.where("part IS NULL").select(F.explode("docs").alias("d")).select("d.*"))
     classes = rows.where("sig IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "sig").distinct().groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"))
     classes = written(classes)
     back = told.where("part IS NOT NULL").select("block", "part", "low", "counts").groupBy("part").applyInPandas(levels, "block bigint, part int, level binary")
@@ -301,6 +301,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     found = texts.cogroup(back.groupBy("block")).applyInPandas(lambda own, told: prefixes(own, told, words, parts, percent), PREFIXES)
     # Index lists over the prefixes of one document per class.
     reps = written(found.join(classes.select(F.col("rep").alias("doc_id"), "sig"), ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig"]))
+    dropped(told)
     # shape packs the size n, how many shingles lie behind the places that an index block holds, and whether it is the own band.
     shape = lambda rest, own: F.shiftleft("n", 32) + 2 * rest + own
     behind = F.col("n") - F.col("held")
@@ -317,15 +318,15 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     n, rest = (lambda c: F.shiftright(c, 32)), (lambda c: F.shiftright(F.col(c).bitwiseAND(0xFFFFFFFF), 1))
     need = F.ceil(F.lit(percent) * (n("shape") + n("lead_shape")) / (100 + percent) - 1e-6)
     short = (need - F.greatest(rest("shape"), rest("lead_shape"))).cast("bigint")
-    pairs = written(met.groupBy("doc_id", "lead").agg(F.count_if(once).alias("common"), F.max(F.when(once, short)).alias("short")))
+    met_pairs = written(met.groupBy("doc_id", "lead").agg(F.count_if(once).alias("common"), F.max(F.when(once, short)).alias("short")))
+
     # One leader may have a large part of all pairs, so pairs meet their leader's count by leader and salt.
     def counted(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         groups = pairs.groupBy("lead").agg(F.count("*").alias("members"))
         salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         return groups, pairs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["lead", "salt"]).drop("salt")
 
-    _, pairs = counted(pairs)
-    pairs = written(pairs.where((F.col("members") > 1) | (F.col("common") >= F.col("short"))).select("doc_id", "lead"))
+    pairs = written(counted(met_pairs)[1].where((F.col("members") > 1) | (F.col("common") >= F.col("short"))).select("doc_id", "lead"))
     groups, placed = counted(pairs)
     subs = F.ceil(F.col("members") / block).cast("int").alias("subs")
     groups, placed = groups.select("lead", subs), placed.select("doc_id", "lead", subs)
@@ -374,6 +375,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
         return pd.DataFrame(out, columns=["doc_id", "links", "root"], dtype="int64")
 
     found = written(members.groupBy("g").applyInPandas(answer, "doc_id bigint, links bigint, root bigint"))
+    dropped(reps, banded, met_pairs, pairs, wanted)
     links = found.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("doc_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep").join(links, "rep", "left")
     out = rows.select("doc_id", "n", "sig").join(classes, "sig", "left").join(joined, "rep", "left")

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 
 def usable(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Distinct (vec_id, embedding) rows of the commonest length that are not null, not zero and hold finite components only."""
+    """Distinct (vec_id, embedding) rows with an id whose vector is not null, not empty, not zero and holds finite components only."""
     own = rows.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0")
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    own = own.where(~bad & F.exists("embedding", lambda x: x != 0))
-    dim = own.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    return own.where(F.size("embedding") == (dim.dim if dim else 0)).distinct()
+    return own.where(~bad & F.exists("embedding", lambda x: x != 0)).distinct()
+
+
+def lengths(good: DataFrame) -> dict[int, int]:
+    """Number of vectors of each length."""
+    return {r.dim: r["count"] for r in good.groupBy(F.size("embedding").alias("dim")).count().collect()}
