@@ -6,6 +6,10 @@ Prefixes are found by rolling hashes: each turn's 120-bit hash covers its positi
 prefix is the exclusive or of its turns' hashes together with its length. Anti-joins against the distinct prefix
 hashes keep the maximal conversations. Only DataFrame functions are used.
 
+Turns are reduced to conversation, turn number and a 120-bit hash of role and text first, and everything up to the choice of
+conversations happens on those numbers. Texts are joined to the chosen ones at the end; before that, only turns that share
+a number with a different one are looked up, since their texts decide the order.
+
 Turns are numbered in blocks of `block_turns` turn numbers: windows run inside one block of one conversation and
 over block totals, so a conversation of any length never sits in one window. A rendered conversation is one row per part of
 at most `block_turns` turns.
@@ -17,57 +21,77 @@ id like any other; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 BLOCK_TURNS = 512
 
 
+def numbered(turns: DataFrame) -> DataFrame:
+    """Turns with conv and at, their conversation and number without nulls, and c1 and c2, a hash of role and text."""
+    coded = lambda c: F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)))
+    low = F.lit(-(2**63))
+    own = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
+    own = own.withColumn("conv", F.coalesce("conv_id", low)).withColumn("at", F.coalesce("turn", low))
+    return hashed(own, F.concat(coded("role"), F.lit("|"), coded("text")), "c1", "c2")
+
+
+def hashed(rows: DataFrame, value: Column, first: str, second: str) -> DataFrame:
+    """rows with 120 bits of the value's digest in two columns."""
+    digest = F.sha2(value, 256)
+    part = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("bigint")
+    return rows.withColumn(first, part(1)).withColumn(second, part(16))
+
+
 def positions(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
-    """Distinct turns with pos, their place in the conversation from 1, and block."""
-    own = turns.select(F.coalesce(F.col("conv_id").cast("bigint"), F.lit(-(2**63))).alias("conv"), F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text").distinct()
-    own = own.withColumn("block", F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-(2**62))).cast("bigint"))
+    """Distinct turns as conv, at, c1, c2 and block, with pos, their place in the conversation from 1."""
+    own = written(turns.groupBy("conv", "turn", "at", "c1", "c2").agg(F.lit(1).alias("one")).drop("one"))
+    tied = written(own.groupBy("conv", "at").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    order = Window.partitionBy("conv", "at").orderBy(F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    ties = turns.join(tied, ["conv", "at"]).select("conv", "at", "role", "text", "c1", "c2").distinct().withColumn("tie", F.row_number().over(order)).select("conv", "at", "c1", "c2", "tie")
+    own = own.join(ties, ["conv", "at", "c1", "c2"], "left").withColumn("block", F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-(2**62))).cast("bigint"))
     totals = own.groupBy("conv", "block").agg(F.count("*").alias("n"))
     before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("conv", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("conv", "block").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    inside = Window.partitionBy("conv", "block").orderBy("at", "tie")
     placed = own.withColumn("inner", F.row_number().over(inside)).join(offsets, ["conv", "block"])
-    return placed.withColumn("pos", F.col("inner") + F.col("offset"))
+    return placed.withColumn("pos", F.col("inner") + F.col("offset")).select("conv", "at", "c1", "c2", "block", "pos")
 
 
 def rolling(placed: DataFrame) -> DataFrame:
     """Adds h1 and h2, the hash of the conversation's first pos turns."""
-    coded = lambda c: F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)))
-    digest = F.sha2(F.concat(F.col("pos").cast("string"), F.lit("|"), coded("role"), F.lit("|"), coded("text")), 256)
-    part = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("bigint")
-    hashed = placed.withColumn("g1", part(1)).withColumn("g2", part(16))
+    own = hashed(placed, F.concat_ws("|", "pos", "c1", "c2"), "g1", "g2")
     inside = Window.partitionBy("conv", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = hashed.groupBy("conv", "block").agg(F.bit_xor("g1").alias("x1"), F.bit_xor("g2").alias("x2"))
+    blocks = own.groupBy("conv", "block").agg(F.bit_xor("g1").alias("x1"), F.bit_xor("g2").alias("x2"))
     before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("conv", "block", *(F.coalesce(F.bit_xor(c).over(before), F.lit(0)).alias(f"o{c}") for c in ("x1", "x2")))
-    inner = hashed.withColumn("r1", F.bit_xor("g1").over(inside)).withColumn("r2", F.bit_xor("g2").over(inside))
+    inner = own.withColumn("r1", F.bit_xor("g1").over(inside)).withColumn("r2", F.bit_xor("g2").over(inside))
     return inner.join(blocks, ["conv", "block"]).withColumn("h1", F.col("r1").bitwiseXOR(F.col("ox1"))).withColumn("h2", F.col("r2").bitwiseXOR(F.col("ox2")))
 
 
-def collapse(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
-    """Positioned turns of the maximal conversations."""
-    placed = positions(turns, block_turns)
-    hashes = rolling(placed).select("conv", "pos", "h1", "h2")
-    size = hashes.groupBy("conv").agg(F.max(F.struct("pos", "h1", "h2")).alias("last"))
-    whole = size.select("conv", F.col("last.pos").alias("pos"), F.col("last.h1").alias("h1"), F.col("last.h2").alias("h2"))
+def maximal(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
+    """conv, at, c1, c2 and pos of the turns of the maximal conversations, without texts."""
+    placed = written(positions(turns, block_turns))
+    hashes = written(rolling(placed).select("conv", "pos", "h1", "h2"))
+    whole = hashes.groupBy("conv").agg(F.max(F.struct("pos", "h1", "h2")).alias("last")).select("conv", "last.*")
     proper = hashes.join(whole.select("conv", F.col("pos").alias("length")), "conv").where("pos < length").select("pos", "h1", "h2").distinct()
     first = whole.groupBy("pos", "h1", "h2").agg(F.min("conv").alias("conv"))
-    maximal = first.join(proper, ["pos", "h1", "h2"], "left_anti").select("conv")
-    return placed.join(maximal, "conv", "left_semi")
+    return placed.drop("block").join(first.join(proper, ["pos", "h1", "h2"], "left_anti").select("conv"), "conv", "left_semi")
+
+
+def collapse(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
+    """Turns of the maximal conversations with pos; a repeated row stays repeated, with one pos."""
+    own = numbered(turns)
+    return own.join(written(maximal(own, block_turns)), ["conv", "at", "c1", "c2"]).select("conv", "conv_id", "turn", "role", "text", "pos")
 
 
 def render(placed: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
     """conv_id, part, n_turns and text: the turns of each part in order, each between role and end marks."""
     turn = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("<|end|>\n"))
     parts = placed.withColumn("part", F.floor((F.col("pos") - 1) / block_turns).cast("bigint"))
-    gathered = parts.groupBy("conv", "conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("pos", turn.alias("t")))).alias("ts"))
+    gathered = parts.groupBy("conv", "conv_id", "part").agg(F.sort_array(F.collect_set(F.struct("pos", turn.alias("t")))).alias("ts"))
     return gathered.select("conv_id", "part", F.size("ts").cast("bigint").alias("n_turns"), F.concat_ws("", F.transform("ts", lambda s: s["t"])).alias("text"))
 
 
