@@ -5,7 +5,7 @@ near equal whatever the ids look like. The permutation p of 0..n-1 is a keyed Fe
 digits in base m = ceil(sqrt(n)); a value of n or more is permuted again until it is below n. Row r goes to shard
 p(r) mod s, slot p(r) div s, so shard sizes are at most one apart (law `rows`) and both are computable from r, n
 and the key alone. Only DataFrame functions are used, and texts are never shuffled: each row is reduced to
-(doc_id, size, text_crc32) first and equal ones are counted before the shuffle.
+(doc_id, size, text_crc32) first, equal ones are counted before the shuffle and dealt out again in pieces of bounded size.
 
 Edge cases: a null text has size 16 and crc32 0; a null id is an id like any other; repeated rows each get a slot of
 their own; an empty table gives no rows; other columns are ignored.
@@ -21,6 +21,8 @@ from .common import table
 ROUNDS = 6
 #: Walks this long are an error. A step stays outside with a chance of about 2/sqrt(n), and of 1/2 at most.
 WALK = 64
+#: Copies of one row that one task makes.
+PIECE = 4096
 
 
 def feistel(x: Column, m: Column, seed: int) -> Column:
@@ -52,8 +54,11 @@ def shard(docs: DataFrame, shards: int, seed: int = 7, id_col: str = "doc_id", t
     totals = totals.select("bucket", (F.sum("in_bucket").over(before) - F.col("in_bucket")).alias("offset"), F.sum("in_bucket").over(every).alias("n"))
     inside = Window.partitionBy("bucket").orderBy("h", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     first = same.withColumn("first", F.sum("copies").over(inside) - F.col("copies"))
-    rows = first.join(totals, "bucket").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
-    rows = rows.withColumn("row", F.col("offset") + F.col("first") + F.col("copy")).withColumn("place", permuted(F.col("row"), F.col("n"), seed))
+    # One row may stand for a third of the input, so copies are dealt out in pieces before they become rows again.
+    rows = first.join(totals, "bucket").select("doc_id", "size", "text_crc32", "n", (F.col("offset") + F.col("first")).alias("begin"), "copies")
+    rows = rows.withColumn("from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1, F.lit(PIECE).cast("bigint")))).repartition(F.col("begin"), F.col("from"))
+    rows = rows.withColumn("copy", F.explode(F.sequence("from", F.least(F.col("from") + PIECE, "copies") - 1)))
+    rows = rows.withColumn("row", F.col("begin") + F.col("copy")).withColumn("place", permuted(F.col("row"), F.col("n"), seed))
     return rows.select("doc_id", "size", "text_crc32", "row", F.pmod("place", F.lit(shards)).cast("int").alias("shard"), F.expr(f"place div {int(shards)}").cast("bigint").alias("slot"))
 
 
