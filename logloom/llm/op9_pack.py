@@ -2,16 +2,16 @@
 
 Documents keep their order. Cuts may fall at document ends (free), sentence ends (a small penalty) or, in stretches
 without either, at fixed places (a larger one). With P the tokens before a cut, f its least cost and L the sequence
-length, a sequence from cut i to cut j costs L - (P[j] - P[i]) of padding, or nothing when its length is a power of
-two, so
+length, a sequence from cut i to cut j costs a price of its own, which keeps fragments away, and L - (P[j] - P[i]) of
+padding, or none when its length is a power of two, so
 
-    f(j) = penalty(j) + min( L - P[j] + min{ f(i) + P[i] : P[j] - P[i] <= L },  min{ f(i) : P[j] - P[i] = 2^k } )
+    f(j) = price + penalty(j) + min( L - P[j] + min{ f(i) + P[i] : P[j] - P[i] <= L },  min{ f(i) : P[j] - P[i] = 2^k } )
 
 and a monotone queue keeps the inner minimum in constant time per cut. Spark's input partitions are streamed in
 blocks of whole documents of about `block_tokens` tokens, so memory is bounded, no text is shuffled and a lost task is
 repeated alone. A block always ends a sequence.
 
-Edge cases: a null text counts as empty and gives the end id alone; repeated rows each give pieces; an empty table
+Edge cases: a null id is packed like any other; a null text counts as empty and gives the end id alone; repeated rows each give pieces; an empty table
 gives no rows; other columns are ignored; a text of any length is cut where needed.
 """
 
@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 LENGTH = 2048
-SENTENCE_PENALTY, FORCED_PENALTY = 6, 40
+SENTENCE_PENALTY, FORCED_PENALTY = 16, 64
+#: Price of a sequence, in tokens of padding.
+SEQUENCE_PRICE = 128
 #: A place for a forced cut at least every so many tokens.
 FORCED_EVERY = 128
 #: White space beside a space: words there don't split at spaces alone.
@@ -126,7 +128,7 @@ def cuts(ends: np.ndarray, stops: np.ndarray, length: int = LENGTH) -> list[int]
         for k in exact.get(j, ()):
             if f[k] < best:
                 best, i = f[k], k
-        best += pen[j]
+        best += pen[j] + SEQUENCE_PRICE
         f[j], back[j], key[j] = best, i, best + p
         while queue and key[queue[-1]] >= best + p:
             queue.pop()
