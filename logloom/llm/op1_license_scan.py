@@ -2,9 +2,10 @@
 
 A notice of n characters is searched with at most k edits. Cut into k + 1 pieces, at least one piece occurs
 exactly in any such match, so an automaton over all pieces finds every candidate place; only the stretch around
-a piece is then matched with the regex library's error bound, which reports span and edits.
+a piece is then matched with the regex library's error bound, which reports span and edits. A match begins and ends with
+whole words. Edits are counted in bytes of the folded text, so a letter outside ASCII counts as its UTF-8 bytes.
 
-Edge cases: a null text counts as empty and gives zero words, no labels and score 0; repeated rows each give a row;
+Edge cases: a null id keeps its row; a null text counts as empty and gives zero words, no labels and score 0; repeated rows each give a row;
 an empty table gives no rows; other columns of the input are ignored. Whole texts are searched, whatever their length.
 """
 
@@ -24,22 +25,33 @@ from .common import table
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Notices searched with errors, as words in lower case; label: notices.
 NOTICES = {
+    "artistic-2.0": ["the artistic license 2 0"],
     "agpl": ["gnu affero general public license"],
     "apache-2.0": ["licensed under the apache license version 2 0"],
     "bsd": ["redistribution and use in source and binary forms"],
     "cc-by": ["creative commons attribution 4 0", "creative commons attribution license"],
+    "boost": ["boost software license version 1 0"],
+    "cc-by-nc": ["creative commons attribution noncommercial"],
+    "cc-by-sa": ["creative commons attribution sharealike"],
     "cc0": ["creative commons zero public domain dedication"],
+    "cddl": ["common development and distribution license"],
+    "epl-2.0": ["eclipse public license version 2 0"],
+    "gfdl": ["gnu free documentation license"],
     "gpl": ["licensed under the gnu general public license"],
     "isc": ["permission to use copy modify and or distribute this software"],
     "lgpl": ["gnu lesser general public license"],
     "mit": ["released under the mit license", "permission is hereby granted free of charge"],
     "mpl-2.0": ["mozilla public license version 2 0"],
+    "ofl-1.1": ["sil open font license version 1 1"],
     "public-domain": ["released into the public domain"],
     "reserved": ["all rights are reserved by the author", "no part of this publication may be reproduced"],
     "unlicense": ["this is free and unencumbered software"],
+    "zlib": ["provided as is without any express or implied warranty"],
 }
 #: One edit is allowed for so many characters of a notice.
 CHARS_PER_EDIT = 12
+#: A window runs on to the end of a word, unless that is so far away that no notice ends there.
+LONG_WORD = 64
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SPANS = "array<struct<label:string,first_word:bigint,last_word:bigint,start:bigint,end:bigint,edits:int>>"
 SCHEMA = f"doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans {SPANS}"
@@ -56,7 +68,7 @@ class Scanner:
 
     def __init__(self, notices: dict[str, list[str]]):
         self.notices = [(label, x, max(1, len(x) // CHARS_PER_EDIT)) for label, xs in sorted(notices.items()) for x in xs]
-        self.patterns = [regex.compile(f"(?b)(?:{regex.escape(x)}){{e<={k}}}") for _, x, k in self.notices]
+        self.patterns = [regex.compile(f"(?b)(?<![^ ])(?:{regex.escape(x)}){{e<={k}}}(?![^ ])") for _, x, k in self.notices]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for n, (_, x, k) in enumerate(self.notices):
             for at, piece in pieces(x, k):
@@ -74,7 +86,8 @@ class Scanner:
             lo, hi = left.pop()
             m = self.patterns[which].search(text, lo, hi) if hi - lo >= len(notice) - k else None
             if m:
-                yield m
+                if m.end() == len(text) or text[m.end()] == " ":  # a window's end is not a word's end
+                    yield m
                 left += [(lo, m.start()), (m.end(), hi)]
 
     def fuzzy(self, text: str) -> list[tuple[str, int, int, int]]:
@@ -84,6 +97,8 @@ class Scanner:
                 _, notice, k = self.notices[which]
                 start = end - n + 1 - at - k
                 lo, hi = max(0, start), start + len(notice) + 2 * k
+                behind = text.find(" ", hi, hi + LONG_WORD)
+                hi = behind if behind >= 0 else hi + LONG_WORD
                 own = windows.setdefault(which, [])
                 own.append([lo, hi])
         found = set()
@@ -145,4 +160,4 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents")).drop("spans")
+    return license_scan(table(spark, sf_dir, "documents"))
