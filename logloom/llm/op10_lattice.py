@@ -18,7 +18,7 @@ several keys counts in its first one. Groups return counts and one link to a loc
 components follow from those links.
 
 Edge cases: vectors null, empty, zero or with null or non-finite components link with nothing and are their own component;
-vectors of different lengths don't link; a null id keeps its row with no links and a null component, and isn't kept; repeated rows count once;
+vectors of different lengths don't link; a null id keeps its row with no links and a null component, and is kept; repeated rows count once;
 several vectors under one id share a component; an empty table gives no rows; other columns are ignored.
 """
 
@@ -145,11 +145,17 @@ def local_links(ids: np.ndarray, unit: np.ndarray, keys: np.ndarray, weight: np.
             a, b = i[at : at + 100_000], j[at : at + 100_000]
             exact = np.einsum("ij,ij->i", unit[a], unit[b]) >= cosine
             a, b = a[exact], b[exact]
-            earlier = np.zeros(len(a), bool)
+            # Keys ascend in each row: a pair is done with where it shares an earlier key, or where earlier ones end.
+            own, left = np.zeros(len(a), bool), np.arange(len(a))
             for c in range(keys.shape[1]):
-                k = keys[a, c]
-                earlier |= (k < cell[a]) & (keys[b] == k[:, None]).any(1)
-            a, b = a[~earlier], b[~earlier]
+                k = keys[a[left], c]
+                own[left[k >= cell[a[left]]]] = True
+                left = left[k < cell[a[left]]]
+                left = left[~(keys[b[left]] == keys[a[left], c][:, None]).any(1)]
+                if not len(left):
+                    break
+            own[left] = True
+            a, b = a[own], b[own]
             np.add.at(count, a, weight[b])
             np.add.at(count, b, weight[a])
             pairs.append((a, b))
@@ -167,7 +173,7 @@ def local_links(ids: np.ndarray, unit: np.ndarray, keys: np.ndarray, weight: np.
     return pd.DataFrame({"vec_id": ids[own], "links": count[own], "root": ids[root[own]]})
 
 
-def near_links(classes: DataFrame, cosine: float, recall: float = RECALL, block: int = BLOCK, group_rows: int = 20_000, seed: int = 11) -> DataFrame:
+def near_links(classes: DataFrame, cosine: float, recall: float = RECALL, block: int = BLOCK, group_rows: int = 8000, seed: int = 11) -> DataFrame:
     """vec_id, links and root rows from classes(vec_id, embedding, weight) of distinct vectors."""
     plans = {dim: plan(n, dim, cosine, recall) for dim, n in lengths(classes).items()}
 
