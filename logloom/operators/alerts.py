@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.scalar import SEVERITIES, severity_rank
+from ..functions.scalar import SEVERITIES
+from ..sources.stages import stored
+from .graph import components
 from .intervals import overlap_pairs
 
 ALERT = "alert_id string, service string, anomaly_type string, start bigint, end bigint, severity string, observed double, baseline double, anomaly_ids array<string>"
@@ -21,6 +23,15 @@ def gap_groups(rows: DataFrame, keys: list[str], start: str, reach: str, gap: in
     return rows.withColumn("fresh", fresh).withColumn(name, F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("fresh")
 
 
+def stretches(rows: DataFrame, time: str, gap: int, name: str) -> DataFrame:
+    """Numbers the stretches of rows between gaps of more than `gap` in time. Rows are reduced to their buckets of `gap` first,
+    since no such gap lies inside one; only those go through a window over all."""
+    bucket = F.floor(F.col(time) / gap)
+    per = rows.groupBy(bucket.alias("bucket")).agg(F.min(time).alias("low"), F.max(time).alias("high"))
+    per = gap_groups(per.withColumn("all", F.lit(0)), ["all"], "low", "high", gap, ["bucket"], name).select("bucket", name)
+    return rows.withColumn("bucket", bucket).join(per, "bucket").drop("bucket")
+
+
 def debounce(anomalies: DataFrame, cfg: Config) -> DataFrame:
     """Alerts: an anomaly extends the last alert of its service and type when near enough and the alert stays short enough.
 
@@ -67,12 +78,16 @@ def shared_trace_edges(alerts: DataFrame, logs: DataFrame, cfg: Config) -> DataF
 def duplicates(alerts: DataFrame, edges: DataFrame, cfg: Config) -> DataFrame:
     """canonical, duplicate and reason: components of edges whose joint span stays within the limit, edges taken in a fixed order.
 
-    A union across a start gap longer than the span limit is never allowed, so stretches between such gaps are folded alone.
+    Edges of different components don't meet, and a union across a start gap longer than the span limit is never allowed, so each
+    component of the candidate edges is cut at such gaps and folded alone.
     """
-    own = alerts.select("alert_id", "service", "anomaly_type", "start", "end").withColumn("at", F.col("start"))
-    own = gap_groups(own.withColumn("all", F.lit(0)), ["all"], "start", "at", cfg.dedup_span, ["start", "alert_id"], "stretch").drop("all", "at")
-    place = own.select(F.col("alert_id").alias("a"), F.col("stretch").alias("part"), F.col("start").alias("sa"))
+    edges = stored(edges)
+    part = components(edges.select("a", "b"))
+    own = alerts.select("alert_id", "service", "anomaly_type", "start", "end").join(part.withColumnRenamed("node", "alert_id"), "alert_id").withColumn("at", F.col("start"))
+    own = gap_groups(own, ["component"], "start", "at", cfg.dedup_span, ["start", "alert_id"], "stretch").drop("at")
+    place = own.select(F.col("alert_id").alias("a"), "component", F.col("stretch").alias("part"), F.col("start").alias("sa"))
     links = edges.join(place, "a").join(own.select(F.col("alert_id").alias("b"), F.col("stretch").alias("other"), F.col("start").alias("sb")), "b").where("part = other").drop("other")
+    links = stored(links)
 
     def fold(own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         info = {r.alert_id: r for r in own.itertuples()}
@@ -101,7 +116,7 @@ def duplicates(alerts: DataFrame, edges: DataFrame, cfg: Config) -> DataFrame:
                 out.append((c.alert_id, i, "same_service_overlap" if same else "shared_trace_id"))
         return pd.DataFrame(out, columns=["canonical", "duplicate", "reason"])
 
-    return own.groupBy("stretch").cogroup(links.groupBy("part")).applyInPandas(fold, "canonical string, duplicate string, reason string")
+    return own.groupBy("component", "stretch").cogroup(links.groupBy("component", "part")).applyInPandas(fold, "canonical string, duplicate string, reason string")
 
 
 def canonical(alerts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -109,9 +124,5 @@ def canonical(alerts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def compression(alerts: DataFrame, pairs: DataFrame) -> DataFrame:
-    total, gone = alerts.agg(F.count("*").alias("total")), pairs.agg(F.count("*").alias("suppressed"))
-    return total.join(gone).withColumn("percent", F.round(F.when(F.col("total") > 0, 100 * F.col("suppressed") / F.col("total")), 1))
-
-
-def ranked(alerts: DataFrame) -> DataFrame:
-    return alerts.withColumn("rank", severity_rank(F.col("severity")))
+    both = alerts.select(F.lit(1).alias("alert"), F.lit(0).alias("gone")).unionByName(pairs.select(F.lit(0).alias("alert"), F.lit(1).alias("gone")))
+    return both.agg(F.coalesce(F.sum("alert"), F.lit(0)).alias("total"), F.coalesce(F.sum("gone"), F.lit(0)).alias("suppressed")).withColumn("percent", F.round(F.when(F.col("total") > 0, 100 * F.col("suppressed") / F.col("total")), 1))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.scalar import anomaly_type, forest_severity, robust_z, severity
+from ..sources.stages import stored
 
 COLUMNS = ["id", "service", "metric", "window_start", "size", "detector", "score", "observed", "baseline", "severity", "anomaly_type"]
 
@@ -73,32 +76,53 @@ def forest_scores(forest: list, x: np.ndarray, n: int) -> np.ndarray:
 
 def normal_windows(windows: DataFrame, truth: DataFrame) -> DataFrame:
     """Windows that overlap no labelled incident in time, of whatever service."""
-    spans = F.broadcast(truth.select(F.col("start_time").alias("a"), F.col("end_time").alias("b")))
+    spans = truth.select(F.col("start_time").alias("a"), F.col("end_time").alias("b"))
     return windows.join(spans, (F.col("window_start") < F.col("b")) & (F.col("window_start") + F.col("size") > F.col("a")), "left_anti")
 
 
-def forest_anomalies(windows: DataFrame, cfg: Config, truth: DataFrame | None = None, contamination: float = 0.05, trees: int = 100, min_rows: int = 10) -> DataFrame:
+SAMPLE = 256
+
+
+def forests(fit: DataFrame, cfg: Config, trees: int = 100, min_rows: int = 10) -> DataFrame:
+    """service, n and forest: trees of a service, each grown on SAMPLE rows drawn from all of its rows in fit. Services with fewer than min_rows have none.
+
+    Rows are drawn in Spark: those with the smallest hashes, SAMPLE for each tree, are a draw from all rows and bound what one task holds.
+    """
+    drawn = Window.partitionBy("service").orderBy(F.xxhash64("service", "window_start", F.lit(cfg.seed)), "window_start")
+    pool = fit.withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= SAMPLE * trees)
+
+    def grown(f: pd.DataFrame) -> pd.DataFrame:
+        x = f.sort_values("place")[list(FEATURES)].to_numpy()
+        if len(x) < min_rows:
+            return pd.DataFrame({"service": [], "n": [], "forest": []})
+        return pd.DataFrame({"service": [f.service.iloc[0]], "n": [len(x)], "forest": [pickle.dumps(grow_forest(x, trees, cfg.seed))]})
+
+    return pool.groupBy("service").applyInPandas(grown, "service string, n bigint, forest binary")
+
+
+def forest_anomalies(windows: DataFrame, cfg: Config, truth: DataFrame | None = None, contamination: float = 0.05, trees: int = 100, min_rows: int = 10, chunk: int = 50_000) -> DataFrame:
     """One multivariate row per window of the largest size that the service's forest isolates.
 
-    A forest is fitted on 256 normal windows per tree; trees are drawn from at most 20,000 windows of a service, those with the smallest hash.
+    Forests are fitted on normal windows and kept as a table; windows are scored in chunks of a service beside its forest. The threshold is the
+    quantile of the scores of all normal windows.
     """
     size = max(cfg.windows)
-    own = windows.where(F.col("size") == size).select("service", "size", "window_start", *(F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in FEATURES))
+    finite = ~F.exists(F.array(*FEATURES), lambda v: F.isnan(v) | (F.abs(v) == float("inf")))
+    own = windows.where(F.col("size") == size).select("service", "size", "window_start", *(F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in FEATURES)).where(finite)
+    own = stored(own)
     fit = own if truth is None else normal_windows(own, truth)
-    fit = fit.withColumn("use", F.lit(True)).select("service", "window_start", "use")
-    both = own.join(fit, ["service", "window_start"], "left")
-
-    def score(f: pd.DataFrame) -> pd.DataFrame:
-        x, use = f[list(FEATURES)].to_numpy(), f["use"].notna().to_numpy()
-        good = np.isfinite(x).all(1)
-        rows = np.flatnonzero(use & good)
-        if len(rows) < min_rows:
-            return f.iloc[:0].assign(score=0.0)[["service", "size", "window_start", "request_count", "score"]]
-        rows = rows[np.argsort(f.window_start.to_numpy()[rows] * 2654435761 % 2**32, kind="stable")][:20_000]
-        forest = grow_forest(x[rows], trees, cfg.seed)
-        cut = np.quantile(forest_scores(forest, x[rows], len(rows)), 1 - contamination)
-        s = forest_scores(forest, x, len(rows)) - cut
-        return f.assign(score=np.round(s, 4))[good & (s > 0)][["service", "size", "window_start", "request_count", "score"]]
-
-    got = both.groupBy("service").applyInPandas(score, "service string, size bigint, window_start bigint, request_count double, score double")
+    forest = stored(forests(fit, cfg, trees, min_rows))
+    chunks = own.groupBy("service").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).join(forest, "service").select("service", "n", "forest", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "chunks")
+    parts = stored(own.join(chunks.select("service", "chunks").distinct(), "service").withColumn("chunk", F.pmod(F.xxhash64("window_start"), F.col("chunks")).cast("int")))
+
+    def score(f: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        f = f[["service", "size", "window_start", "request_count", *FEATURES[1:]]]
+        if not len(f) or not len(model):
+            return f.iloc[:0].assign(raw=0.0)[["service", "size", "window_start", "request_count", "raw"]]
+        s = forest_scores(pickle.loads(model.forest.iloc[0]), f[list(FEATURES)].to_numpy(), int(model.n.iloc[0]))
+        return f.assign(raw=s)[["service", "size", "window_start", "request_count", "raw"]]
+
+    scored = stored(parts.groupBy("service", "chunk").cogroup(chunks.groupBy("service", "chunk")).applyInPandas(score, "service string, size bigint, window_start bigint, request_count double, raw double"))
+    cut = scored.join(fit.select("service", "window_start"), ["service", "window_start"], "left_semi").groupBy("service").agg(F.percentile("raw", 1 - contamination).alias("cut"))
+    got = scored.join(cut, "service").where("raw > cut").withColumn("score", F.round(F.col("raw") - F.col("cut"), 4))
     return _identified(got.select("service", F.lit("multivariate").alias("metric"), "window_start", "size", F.lit("isolation_forest").alias("detector"), "score", F.col("request_count").alias("observed"), F.lit(0.0).alias("baseline"), forest_severity(F.col("score")).alias("severity")))

@@ -7,11 +7,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import jaccard, overlap_seconds
+from ..sources.stages import stored
 
 
 def labelled_windows(windows: DataFrame, truth: DataFrame) -> DataFrame:
     """Adds label: whether a labelled incident of an affected service overlaps the window."""
-    spans = F.broadcast(truth.select(F.explode("affected").alias("service"), F.col("start_time").alias("a"), F.col("end_time").alias("b")))
+    spans = truth.select(F.explode("affected").alias("service"), F.col("start_time").alias("a"), F.col("end_time").alias("b"))
     hit = windows.join(spans, "service").where("window_start < b AND window_start + size > a").select("service", "size", "window_start").distinct().withColumn("label", F.lit(1))
     return windows.join(hit, ["service", "size", "window_start"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
@@ -26,11 +27,18 @@ def confusion(rows: DataFrame, label: str = "label", flag: str = "flag") -> Data
 
 
 def pr_curve(scored: DataFrame, points: int = 100) -> DataFrame:
-    """Precision and recall down the ranking by signed score, about `points` places of it. Ranks come from a window per detector."""
-    w = Window.partitionBy("detector").orderBy(F.desc("score"), "id")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    """Precision and recall down the ranking by signed score, about `points` places of it.
+
+    Rows are counted per detector and score first; running counts go over those, and only rows of one score are numbered by id.
+    """
+    per = scored.groupBy("detector", "score").agg(F.count("*").alias("m"), F.sum("label").alias("l"))
+    down = Window.partitionBy("detector").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
     all_ = Window.partitionBy("detector")
-    own = scored.withColumn("i", F.row_number().over(w)).withColumn("hits", F.sum("label").over(run)).withColumn("n", F.count("*").over(all_)).withColumn("positives", F.sum("label").over(all_))
+    before = lambda c: F.coalesce(F.sum(c).over(down), F.lit(0))
+    per = per.select("detector", "score", before("m").alias("rows_before"), before("l").alias("hits_before"), F.sum("m").over(all_).alias("n"), F.sum("l").over(all_).alias("positives"))
+    inside = Window.partitionBy("detector", "score").orderBy("id")
+    own = scored.withColumn("k", F.row_number().over(inside)).withColumn("h", F.sum("label").over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(per, ["detector", "score"])
+    own = own.withColumn("i", F.col("rows_before") + F.col("k")).withColumn("hits", F.col("hits_before") + F.col("h"))
     step = F.greatest(F.lit(1), F.floor(F.col("n") / points))
     return own.where(F.pmod(F.col("i") - 1, step) == 0).select("detector", F.col("i").cast("bigint").alias("place"), F.round(F.col("hits") / F.col("i"), 4).alias("precision"), F.when(F.col("positives") > 0, F.round(F.col("hits") / F.col("positives"), 4)).otherwise(0.0).alias("recall"))
 
@@ -53,7 +61,7 @@ def match_candidates(incidents: DataFrame, truth: DataFrame, minimum: float) ->
     """Pairs that share a service and overlap long enough, with coverage and Jaccard similarity."""
     t = truth.select("truth_id", F.col("start_time").alias("ts"), F.col("end_time").alias("te"), "affected")
     over = overlap_seconds(F.col("start"), F.col("end"), F.col("ts"), F.col("te"))
-    pairs = incidents.join(F.broadcast(t), F.arrays_overlap("services", "affected")).withColumn("overlap", over).where(F.col("overlap") >= minimum)
+    pairs = incidents.withColumn("service", F.explode("services")).join(t.withColumn("service", F.explode("affected")), "service").drop("service").distinct().withColumn("overlap", over).where(F.col("overlap") >= minimum)
     return pairs.select("incident_id", "truth_id", "overlap", F.round(F.col("overlap") / F.greatest(F.lit(1), F.col("te") - F.col("ts")), 6).alias("coverage"), F.round(jaccard(F.col("services"), F.col("affected")), 6).alias("jaccard"))
 
 
@@ -62,17 +70,17 @@ def match_one_to_one(candidates: DataFrame) -> DataFrame:
 
     Rounds of mutual best pairs give the greedy result without an ordered pass: a pair that is the first of both its sides is always taken.
     """
+    candidates = stored(candidates)
     order = [F.desc("coverage"), F.desc("jaccard"), "truth_id", "incident_id"]
-    rest, taken = candidates, None
+    rest, taken = candidates, candidates.limit(0)
     while True:
         first = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(*order))
         now = rest.withColumn("x", first("incident_id")).withColumn("y", first("truth_id")).where("x = 1 AND y = 1").drop("x", "y")
-        rows = now.collect()  # at most one row per labelled incident
-        if not rows:
-            return taken if taken is not None else candidates.limit(0)
-        part = candidates.sparkSession.createDataFrame(rows, candidates.schema)
-        taken = part if taken is None else taken.unionByName(part)
-        rest = rest.join(F.broadcast(part.select("incident_id")), "incident_id", "left_anti").join(F.broadcast(part.select("truth_id")), "truth_id", "left_anti").select(candidates.columns)
+        part = stored(now)
+        if not part.take(1):
+            return taken
+        taken = taken.unionByName(part)
+        rest = stored(rest.join(part.select("incident_id"), "incident_id", "left_anti").join(part.select("truth_id"), "truth_id", "left_anti").select(candidates.columns))
 
 
 def topk_accuracy(ranked: DataFrame, by: str | None = None) -> DataFrame:

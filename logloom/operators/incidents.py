@@ -8,29 +8,21 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.scalar import SEVERITIES, confidence
-from .alerts import gap_groups
+from .alerts import stretches
+from .graph import reachable
 
 INCIDENT = "incident_id string, alert_id string, start bigint, end bigint, severity string, services array<string>"
 
 
-def closure(edges: DataFrame, depth: int = 16) -> DataFrame:
-    """(upstream, reached) over at most `depth` steps, without self pairs; cycles end by the depth and the distinct.
-
-    The dependency graph has a service per node, so it is small and each round is an ordinary join.
-    """
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("logloom_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE r(upstream, reached, depth) AS (
-            SELECT upstream, downstream, 1 FROM logloom_edges
-            UNION ALL SELECT r.upstream, e.downstream, r.depth + 1 FROM r JOIN logloom_edges e ON r.reached = e.upstream WHERE r.depth < {int(depth)})
-        SELECT DISTINCT upstream, reached FROM r WHERE upstream <> reached""")
+def closure(edges: DataFrame) -> DataFrame:
+    """(upstream, reached) over any number of steps, without self pairs."""
+    return reachable(edges)
 
 
 def named_edges(dependencies: DataFrame, services: DataFrame) -> DataFrame:
     up = services.select(F.col("id").alias("upstream_id"), F.col("name").alias("upstream"))
     down = services.select(F.col("id").alias("downstream_id"), F.col("name").alias("downstream"))
-    return dependencies.join(F.broadcast(up), "upstream_id").join(F.broadcast(down), "downstream_id")
+    return dependencies.join(up, "upstream_id").join(down, "downstream_id")
 
 
 def cluster(alerts: DataFrame, pairs: DataFrame, adjacent: set[tuple[str, str]], cfg: Config) -> DataFrame:
@@ -40,8 +32,8 @@ def cluster(alerts: DataFrame, pairs: DataFrame, adjacent: set[tuple[str, str]],
     No incident takes an alert that starts more than its longest duration later, so stretches between such gaps are folded alone.
     """
     member = alerts.join(pairs.select(F.col("duplicate").alias("alert_id"), "canonical"), "alert_id", "left").withColumn("canonical", F.coalesce("canonical", "alert_id"))
-    heads = alerts.join(pairs.select(F.col("duplicate").alias("alert_id")), "alert_id", "left_anti").select("alert_id", "start", F.lit(0).alias("all"), F.col("start").alias("at"))
-    heads = gap_groups(heads, ["all"], "start", "at", cfg.incident_max, ["start", "alert_id"], "stretch")
+    heads = alerts.join(pairs.select(F.col("duplicate").alias("alert_id")), "alert_id", "left_anti").select("alert_id", "start")
+    heads = stretches(heads, "start", cfg.incident_max, "stretch")
     rows = member.join(heads.select(F.col("alert_id").alias("canonical"), "stretch"), "canonical")
 
     def fold(f: pd.DataFrame) -> pd.DataFrame:

@@ -21,7 +21,7 @@ def features(members: DataFrame, alerts: DataFrame, reach: DataFrame, anomalies:
     below = per.select("incident_id", "service").join(reach.withColumnRenamed("upstream", "service"), "service").join(per.select("incident_id", F.col("service").alias("reached")), ["incident_id", "reached"])
     below = below.groupBy("incident_id", "service").agg(F.count("*").alias("upstream_position"))
     key = ["incident_id", "service"]
-    out = per.join(first, "incident_id").join(gap, key, "left").join(power, key, "left").join(F.broadcast(blast), "service", "left").join(below, key, "left")
+    out = per.join(first, "incident_id").join(gap, key, "left").join(power, key, "left").join(blast, "service", "left").join(below, key, "left")
     earliest = F.col("f.service") == F.col("service")
     out = out.withColumn("is_earliest", F.when(earliest, 1.0).otherwise(0.0)).withColumn("earliest_seconds_gap", F.when(earliest & F.col("next_start").isNotNull(), F.greatest(F.lit(0), F.col("next_start") - F.col("f.start"))).otherwise(0).cast("double"))
     return out.select(*key, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FEATURES))
@@ -40,6 +40,30 @@ def train(rows: DataFrame, names: tuple[str, ...] = FEATURES, min_rows: int = 10
     return LogisticRegression(featuresCol="x", weightCol="w", standardization=False, regParam=1 / n, maxIter=1000, tol=1e-10).fit(data)
 
 
+def labelled(rows: DataFrame, matches: DataFrame, truth: DataFrame) -> DataFrame:
+    """Features of matched incidents with truth_id, is_cause and label: whether the service is the labelled root."""
+    roots = matches.join(truth.select("truth_id", "root"), "truth_id").select("incident_id", "truth_id", "root")
+    cause = F.col("service") == F.col("root")
+    return rows.join(roots, "incident_id").withColumn("is_cause", cause).withColumn("label", cause.cast("int")).drop("root")
+
+
+MODEL = "model string, created string, weights map<string,double>, intercept double"
+
+
+def save(spark, path: str, name: str, model, created: str, names: tuple[str, ...] = FEATURES) -> None:
+    """Adds a fitted ranker to the registry, a table of models."""
+    row = [(name, created, dict(zip(names, map(float, model.coefficients))), float(model.intercept))]
+    spark.createDataFrame(row, MODEL).coalesce(1).write.mode("append").parquet(path)
+
+
+def load(spark, path: str, name: str) -> tuple[dict[str, float], float]:
+    """Weights and intercept of the newest ranker of that name; one that isn't registered is an error."""
+    row = spark.read.schema(MODEL).parquet(path).where(F.col("model") == name).orderBy(F.desc("created")).first()
+    if row is None:
+        raise ValueError(f"no model named {name} is registered")
+    return row.weights, row.intercept
+
+
 def rank(rows: DataFrame, weights: dict[str, float], intercept: float) -> DataFrame:
     """Probability, contributions and rank of each service in its incident."""
     z = F.lit(intercept)

@@ -14,9 +14,9 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_first: tuple[st
     return both.groupBy(*keys).agg(*pick).select(old.columns)
 
 
-def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of new whose keys old doesn't have."""
-    return new.join(old.select(keys), keys, "left_anti")
+def append_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """old with those rows of new whose keys it doesn't have."""
+    return old.unionByName(new.join(old.select(keys), keys, "left_anti").select(old.columns))
 
 
 def reconcile(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -36,17 +36,29 @@ def percentiles(sized: DataFrame, qs: dict[str, float]) -> DataFrame:
     return got.select(*KEY, *(lerp(F.col(f"{n}_x"), F.col(f"{n}_y"), F.col(f"{n}_t")).cast("bigint").alias(n) for n in qs))
 
 
-def metric_windows(logs: DataFrame, cfg: Config, dense: bool = True) -> DataFrame:
-    """Closed windows with counts, error rate, p50, p95 and distinct messages; windows without logs are rows, too."""
+def resumed(old: DataFrame, logs: DataFrame, cfg: Config) -> DataFrame:
+    """old, windows of an earlier run, with those closed since: only logs behind each service's and size's last window are read."""
+    since = old.groupBy("service", "size").agg((F.max("window_start") + F.col("size")).alias("since"))
+    return old.unionByName(metric_windows(logs, cfg, since=since).select(old.columns))
+
+
+def metric_windows(logs: DataFrame, cfg: Config, dense: bool = True, since: DataFrame | None = None) -> DataFrame:
+    """Closed windows with counts, error rate, p50, p95 and distinct messages; windows without logs are rows, too.
+
+    since: (service, size, since) where an earlier run ended; windows before that are left out, and so are their logs.
+    """
     sized = logs.withColumn("size", F.explode(F.array(*(F.lit(w).cast("bigint") for w in cfg.windows)))).withColumn("window_start", floor_to(F.col("ts"), F.col("size")))
+    closed = positions(logs, cfg)
+    if since is not None:
+        sized = sized.join(since, ["service", "size"], "left").where("since IS NULL OR ts >= since").drop("since")
+        closed = closed.join(since, ["service", "size"], "left").withColumn("first", F.coalesce("since", "first")).drop("since")
     got = sized.groupBy(*KEY).agg(F.count("request_id").alias("request_count"), F.count_if(is_error()).alias("error_count"), F.count_distinct("message").alias("unique_messages"))
     got = got.join(percentiles(sized, {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95}), KEY, "left")
-    closed = positions(logs, cfg)
     if dense:
         frame = closed.where("effective_end > first").select("service", "size", F.explode(F.sequence("first", F.col("effective_end") - F.col("size"), "size")).alias("window_start"))
         got = frame.join(got, KEY, "left")
     else:
-        got = got.join(F.broadcast(closed), ["service", "size"]).where("window_start + size <= effective_end").drop("first", "effective_end")
+        got = got.join(closed, ["service", "size"]).where("window_start >= first AND window_start + size <= effective_end").drop("first", "effective_end")
     zero = {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("request_count", "error_count", "unique_messages")}
     got = got.withColumns(zero).withColumn("exact_rate", F.when(F.col("request_count") > 0, F.col("error_count") / F.col("request_count")))
     return got.withColumn("error_rate", F.round("exact_rate", 4)).withColumn("closed_at", F.col("window_start") + F.col("size") + cfg.grace)

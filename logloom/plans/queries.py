@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -11,12 +11,13 @@ from ..operators import alerts as al
 from ..operators import detect, evaluate, incidents, rootcause, upsert
 from ..operators import windows as win
 from ..sources import logs as src
-from ..sources.stages import stored
+from ..sources.stages import folder, stored
 from ..streaming import windows as live
 from . import sql
 
 CFG = Config().scaled(60)
 DAY0 = 1704067200
+NOW, RECENT = DAY0 + 29 * 86400, 300 * 60
 #: Labelled incidents for the evaluation queries: id, root, affected services, start and end in hours from the first day.
 TRUTH = [
     ("t1", "payment-service", ["payment-service", "checkout-service", "api-gateway"], 30, 42), ("t2", "auth-service", ["auth-service", "api-gateway"], 100, 112),
@@ -24,6 +25,9 @@ TRUTH = [
     ("t5", "checkout-service", ["checkout-service", "api-gateway"], 430, 445), ("t6", "api-gateway", ["api-gateway"], 560, 575),
 ]
 
+#: Labelled incidents that no ranker is fitted on.
+HELD_OUT = ("t5", "t6")
+
 
 def logs(spark, d):
     return src.from_events(spark, d)
@@ -80,12 +84,19 @@ def logs_by_trace(spark, d):
 
 
 def log_counts(spark, d):
-    return logs(spark, d).agg(F.count("*").alias("total"), F.count_if(win.is_error()).alias("errors"), F.count_if(F.col("ts") >= DAY0 + 29 * 86400).alias("recent"), F.round(F.count_if(F.col("ts") >= DAY0 + 29 * 86400) / 5, 1).alias("per_minute"))
+    """Totals, and the rate of the stretched five minutes before a fixed moment."""
+    recent = F.count_if((F.col("ts") > NOW - RECENT) & (F.col("ts") <= NOW))
+    return logs(spark, d).agg(F.count("*").alias("total"), F.count_if(win.is_error()).alias("errors"), recent.alias("recent"), F.round(recent / (RECENT // 60), 2).alias("per_minute"))
 
 
 def logs_validate(spark, d):
     """Events as API payloads, some made invalid by their values, counted by broken fields."""
-    own = logs(spark, d).select(F.timestamp_seconds("ts").cast("string").alias("timestamp"), F.when(F.col("id") % 50 != 0, F.col("service")).alias("service"), F.when(F.col("id") % 70 == 0, "TRACE").otherwise(F.col("level")).alias("level"), F.concat(F.lit("  "), "message").alias("message"), F.col("request_id").cast("string").alias("request_id"), "trace_id", (F.col("latency_ms") - 5).alias("latency_ms"), "status_code", F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("region"))
+    uuid = F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(F.col("id").cast("string"), 12, "0"))
+    own = logs(spark, d).select(
+        F.timestamp_seconds("ts").cast("string").alias("timestamp"), F.when(F.col("id") % 50 != 0, F.col("service")).alias("service"),
+        F.when(F.col("id") % 70 == 0, "TRACE").when(F.col("id") % 80 != 0, F.concat(F.lit(" "), "level", F.lit("\t"))).alias("level"),
+        F.when(F.col("id") % 60 == 0, F.lit(" \t\n")).otherwise(F.concat(F.lit("  "), "message")).alias("message"), F.when(F.col("id") % 90 == 0, "request 1").otherwise(uuid).alias("request_id"),
+        F.when(F.col("id") % 110 == 0, F.col("trace_id")).alias("trace_id"), (F.col("latency_ms") - 5).alias("latency_ms"), "status_code", F.rpad(F.lit("h"), 300, " ").alias("host"), F.lit(None).cast("string").alias("region"))
     good, bad = src.validate(own)
     return good.groupBy(F.lit("").alias("problems")).agg(F.count("*").alias("n")).unionByName(bad.groupBy(F.array_join("problems", ",").alias("problems")).agg(F.count("*").alias("n")))
 
@@ -126,15 +137,32 @@ def watermark_positions(spark, d):
 
 
 def late_logs(spark, d):
-    """Logs that a live run would drop: those in windows closed by an earlier, larger time of the same service."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("service").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    own = logs(spark, d).withColumn("seen", F.max("ts").over(w))
+    """Logs that a live run would drop: those in windows closed by a larger time that arrived earlier. Each 97th log arrives 400 places late.
+
+    The largest time before a log is that of the blocks before its block of arrivals or of those before it inside the block.
+    """
+    own = logs(spark, d).withColumn("place", F.col("id") + F.when(F.col("id") % 97 == 0, 400).otherwise(0)).withColumn("block", F.floor(F.col("place") / 10_000))
+    tops = own.groupBy("service", "block").agg(F.max("ts").alias("top"))
+    before = Window.partitionBy("service").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("service", "block", F.max("top").over(before).alias("top"))
+    inside = Window.partitionBy("service", "block").orderBy("place", "id").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("seen", F.max("ts").over(inside)).join(tops, ["service", "block"]).withColumn("seen", F.greatest("seen", "top"))
     size = min(CFG.windows)
     return own.where(F.col("ts") - F.pmod("ts", F.lit(size)) + size <= F.col("seen") - CFG.grace).groupBy("service").agg(F.count("*").alias("late"))
 
 
+def windows_resumed(spark, d):
+    """Windows of a run over ten days, carried on from where it ended over all logs."""
+    old = stored(win.metric_windows(logs(spark, d).where(F.col("ts") < DAY0 + 10 * 86400), CFG).select(_W))
+    return win.resumed(old, logs(spark, d), CFG)
+
+
+def anomalies_page(spark, d):
+    """Anomalies of one metric and severity in a range of time, newest first."""
+    rows = src.filtered(anomalies(spark, d), DAY0, NOW, "window_start", metric="request_count", severity="high", detector="mad")
+    return src.page(rows, [F.desc("window_start"), "id"], 40, 5).select("id", "service", "metric", "window_start", "size", "score", "severity", "anomaly_type")
+
+
 def baselines_median_mad(spark, d):
     return based(spark, d).select("service", "size", "window_start", *(F.round(f"{m}_{k}", 6).alias(f"{m}_{k}") for m, _ in CFG.floors for k in ("median", "mad")))
 
@@ -172,6 +200,11 @@ def alerts_debounced(spark, d):
     return alerts(spark, d).select("alert_id", "service", "anomaly_type", "start", "end", "severity", F.round("observed", 6).alias("observed"), F.round("baseline", 6).alias("baseline"), F.array_join("anomaly_ids", ",").alias("anomaly_ids"))
 
 
+def alerts_page(spark, d):
+    """Alerts of one service, newest first."""
+    return src.page(src.filtered(alerts(spark, d), service="checkout-service"), [F.desc("start"), "alert_id"], 60).select("alert_id", "service", "anomaly_type", "start", "end", "severity")
+
+
 def dedup_edges_same_service(spark, d):
     return al.same_service_edges(alerts(spark, d), CFG).select("a", "b")
 
@@ -189,6 +222,14 @@ def canonical_alerts(spark, d):
     return al.canonical(own, pairs(spark, d, own)).select("alert_id", "service", "anomaly_type", "start", "end", "severity")
 
 
+def alert_detail(spark, d):
+    """Each alert with the one it repeats, if any, and those that repeat it."""
+    own = alerts(spark, d)
+    got = pairs(spark, d, own)
+    up, down = got.select(F.col("duplicate").alias("alert_id"), F.col("canonical").alias("duplicate_of")), got.groupBy(F.col("canonical").alias("alert_id")).agg(F.array_join(F.array_sort(F.collect_list("duplicate")), ",").alias("duplicates"))
+    return own.select("alert_id", "severity").join(up, "alert_id", "left").join(down, "alert_id", "left")
+
+
 def dedup_reasons(spark, d):
     return pairs(spark, d).groupBy("reason").agg(F.count("*").alias("n"))
 
@@ -229,31 +270,52 @@ def incident_timeline(spark, d):
     return incidents.timeline(members(spark, d, own), own)
 
 
-def _features(spark, d):
-    own = alerts(spark, d)
-    return rootcause.features(members(spark, d, own), own, incidents.closure(edges(spark)), anomalies(spark, d))
+def _features(spark, d, base=None, own=None):
+    base = alerts(spark, d) if base is None else base
+    own = members(spark, d, base) if own is None else own
+    return stored(rootcause.features(own, base, incidents.closure(edges(spark)), anomalies(spark, d))), base, own
 
 
-#: Weights of a fitted ranker, for queries that only score.
-WEIGHTS = {"is_earliest": 1.2, "earliest_seconds_gap": 0.0001, "blast_radius": -0.1, "upstream_position": 0.3, "anomaly_magnitude": 0.05, "alert_count": 0.2}
+def _ranker(spark, rows, own):
+    """A ranker fitted on the labelled incidents of the training split, kept in a registry and read back from it."""
+    found = evaluate.match_one_to_one(evaluate.match_candidates(incidents.summaries(own, CFG), truth(spark), CFG.min_overlap))
+    known = stored(rootcause.labelled(rows, found, truth(spark)))
+    model = rootcause.train(known.where(~F.col("truth_id").isin(*HELD_OUT)))
+    path = folder(spark)
+    rootcause.save(spark, path, "ranker", model, "2024-01-31")
+    return known, *rootcause.load(spark, path, "ranker")
+
+
+def _ranked(spark, d, base=None, own=None):
+    rows, base, own = _features(spark, d, base, own)
+    _, weights, intercept = _ranker(spark, rows, own)
+    return rootcause.rank(rows, weights, intercept).select("incident_id", "service", F.round("score", 6).alias("score"), "rank", F.array_join(rootcause.top_features(F.col("contributions")), ", ").alias("top_features"))
 
 
 def rca_features(spark, d):
-    return _features(spark, d)
+    return _features(spark, d)[0]
 
 
 def rca_rank(spark, d):
-    return rootcause.rank(_features(spark, d), WEIGHTS, -1.0).select("incident_id", "service", F.round("score", 6).alias("score"), "rank", F.array_join(rootcause.top_features(F.col("contributions")), ", ").alias("top_features"))
+    return _ranked(spark, d)
 
 
 def rca_top3(spark, d):
-    return rca_rank(spark, d).where("rank <= 3")
+    return _ranked(spark, d).where("rank <= 3")
+
+
+def rca_accuracy(spark, d):
+    """Share of labelled incidents whose root ranks first or among three, of the training split and of the held-out ones."""
+    rows, _, own = _features(spark, d)
+    known, weights, intercept = _ranker(spark, rows, own)
+    ranked = rootcause.rank(known, weights, intercept).withColumn("split", F.when(F.col("truth_id").isin(*HELD_OUT), "held out").otherwise("training"))
+    return evaluate.topk_accuracy(ranked, "split")
 
 
 def incident_briefing(spark, d):
     base = alerts(spark, d)
     own = members(spark, d, base)
-    return incidents.briefing(incidents.summaries(own, CFG), incidents.timeline(own, base), rca_rank(spark, d))
+    return incidents.briefing(incidents.summaries(own, CFG), incidents.timeline(own, base), _ranked(spark, d, base, own))
 
 
 # -- evaluation ---------------------------------------------------------------------------------------
@@ -332,7 +394,7 @@ def stream_windows_append(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     logs_filter_page, logs_time_range, logs_by_trace, log_counts, logs_validate, logs_import, trace_spans, metric_windows_short, metric_windows_long, metric_windows_observed,
-    watermark_positions, late_logs, baselines_median_mad, mad_anomalies, anomaly_counts, iforest_anomalies, normal_windows, upsert_windows, alerts_debounced, dedup_edges_same_service,
+    watermark_positions, late_logs, windows_resumed, anomalies_page, alerts_page, alert_detail, rca_accuracy, baselines_median_mad, mad_anomalies, anomaly_counts, iforest_anomalies, normal_windows, upsert_windows, alerts_debounced, dedup_edges_same_service,
     dedup_edges_shared_trace, dedup_pairs, canonical_alerts, dedup_reasons, dedup_compression, dependencies_named, graph_closure, blast_radius, affected_callers, incident_members,
     incident_list, incident_timeline, incident_briefing, rca_features, rca_rank, rca_top3, truth_window_labels, confusion_matrix, pr_curve, pr_interpolated, truth_matches,
     overview_metrics, service_health, service_status, ingest_rate_limited, latency_summary, truth_import, stream_windows_append,

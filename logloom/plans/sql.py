@@ -57,7 +57,7 @@ def build(cfg: Config, day0: int, truth: list) -> dict[str, str]:
         FROM ord o JOIN fold f ON o.service = f.service AND o.anomaly_type = f.anomaly_type AND o.rn = f.rn GROUP BY o.service, o.anomaly_type, f.grp"""
     cte["edges"] = "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in EDGES) + ") AS t(upstream, downstream)"
     cte["services"] = "SELECT * FROM (VALUES " + ", ".join(f"('s{i}', '{n}')" for i, n in enumerate(SERVICES)) + ") AS t(id, name)"
-    cte["reach"] = "SELECT upstream, downstream AS reached, 1 AS depth FROM edges UNION ALL SELECT r.upstream, e.downstream, r.depth + 1 FROM reach r JOIN edges e ON r.reached = e.upstream WHERE r.depth < 16"
+    cte["reach"] = "SELECT upstream, downstream AS reached FROM edges UNION SELECT r.upstream, e.downstream FROM reach r JOIN edges e ON r.reached = e.upstream"
     cte["truth"] = "SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{r}', [{_q(a)}], {day0 + s * 3600}, {day0 + e * 3600})" for i, r, a, s, e in truth) + ") AS t(truth_id, root, affected, start_time, end_time)"
     cte["lw"] = f"""SELECT b.*, CASE WHEN EXISTS (SELECT 1 FROM truth t WHERE list_contains(t.affected, b.service) AND b.window_start < t.end_time AND b.window_start + b.size > t.start_time) THEN 1 ELSE 0 END AS label,
         CASE WHEN EXISTS (SELECT 1 FROM an WHERE an.service = b.service AND an.size = b.size AND an.window_start = b.window_start) THEN 1 ELSE 0 END AS flag FROM b WHERE size = {large}"""
@@ -85,15 +85,21 @@ def build(cfg: Config, day0: int, truth: list) -> dict[str, str]:
         "logs_filter_page": using("SELECT * FROM logs WHERE service = 'payment-service' AND level = 'ERROR' ORDER BY ts DESC, id DESC LIMIT 50 OFFSET 10", until="logs"),
         "logs_time_range": using(f"SELECT * FROM logs WHERE ts BETWEEN {day0 + 86400} AND {day0 + 2 * 86400}", until="logs"),
         "logs_by_trace": using(f"SELECT * FROM logs WHERE trace_id = '7-{day0 // 86400 + 3}' ORDER BY ts, id", until="logs"),
-        "log_counts": using(f"SELECT count(*) AS total, count(*) FILTER (WHERE {ERROR}) AS errors, count(*) FILTER (WHERE ts >= {now}) AS recent, round(count(*) FILTER (WHERE ts >= {now}) / 5, 1) AS per_minute FROM logs", until="logs"),
-        "logs_validate": using("""SELECT problems, count(*) AS n FROM (SELECT concat_ws(',', CASE WHEN id % 50 = 0 THEN 'service' END, CASE WHEN id % 70 = 0 THEN 'level' END, CASE WHEN latency_ms < 5 THEN 'latency_ms' END) AS problems FROM logs) GROUP BY 1""", until="logs"),
-        "logs_import": using("SELECT s.id AS service_id, CASE WHEN level = 'DEBUG' THEN 'INFO' ELSE level END AS level, count(*) AS n, count(*) AS with_metadata FROM logs JOIN services s ON s.name = service WHERE service <> 'auth-service' GROUP BY 1, 2", until="services"),
+        "log_counts": using(f"SELECT count(*) AS total, count(*) FILTER (WHERE {ERROR}) AS errors, count(*) FILTER (WHERE ts > {now - 18000} AND ts <= {now}) AS recent, round(count(*) FILTER (WHERE ts > {now - 18000} AND ts <= {now}) / 300, 2) AS per_minute FROM logs", until="logs"),
+        "logs_validate": using("""SELECT problems, count(*) AS n FROM (SELECT concat_ws(',', CASE WHEN id % 50 = 0 THEN 'service' END, CASE WHEN id % 70 = 0 OR id % 80 = 0 THEN 'level' END, CASE WHEN id % 60 = 0 THEN 'message' END, CASE WHEN id % 90 = 0 THEN 'request_id' END,
+            CASE WHEN id % 110 = 0 AND trace_id IS NOT NULL THEN 'trace_id' END, CASE WHEN latency_ms < 5 THEN 'latency_ms' END) AS problems FROM logs) GROUP BY 1""", until="logs"),
+        "logs_import": using("SELECT s.id AS service_id, CASE WHEN level = 'DEBUG' THEN 'INFO' ELSE level END AS level, count(*) AS n, CAST(0 AS BIGINT) AS with_metadata FROM logs JOIN services s ON s.name = service WHERE service <> 'auth-service' GROUP BY 1, 2", until="services"),
         "trace_spans": using(f"SELECT trace_id, min(ts) AS first, max(ts) AS last, count(DISTINCT service) AS services, count(*) FILTER (WHERE {ERROR}) AS errors FROM logs WHERE trace_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT service) > 1", until="logs"),
         "metric_windows_short": using(f"SELECT {W} FROM b WHERE size = {small}", until="b"),
         "metric_windows_long": using(f"SELECT {W}, window_start + size + {cfg.grace} AS closed_at FROM b WHERE size = {large}", until="b"),
         "metric_windows_observed": using("SELECT a.service, a.size, a.window_start, rc AS request_count, um AS unique_messages FROM agg a JOIN pos p ON a.service = p.service AND a.size = p.size WHERE a.window_start + a.size <= p.eff", until="agg"),
         "watermark_positions": using("SELECT service, size, eff - size AS last_closed_window_start, (eff - first) // size AS windows FROM pos", until="pos"),
-        "late_logs": using(f"SELECT service, count(*) AS late FROM (SELECT *, max(ts) OVER (PARTITION BY service ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM logs) WHERE ts - ts % {small} + {small} <= seen - {cfg.grace} GROUP BY 1", until="logs"),
+        "late_logs": using(f"SELECT service, count(*) AS late FROM (SELECT *, max(ts) OVER (PARTITION BY service ORDER BY id + CASE WHEN id % 97 = 0 THEN 400 ELSE 0 END, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM logs) WHERE ts - ts % {small} + {small} <= seen - {cfg.grace} GROUP BY 1", until="logs"),
+        "windows_resumed": using(f"SELECT {W} FROM b", until="b"),
+        "anomalies_page": using(f"SELECT id, service, metric, window_start, size, score, severity, anomaly_type FROM an WHERE metric = 'request_count' AND severity = 'HIGH' AND window_start BETWEEN {day0} AND {now} ORDER BY window_start DESC, id LIMIT 40 OFFSET 5", until="an"),
+        "alerts_page": using("""SELECT alert_id, service, anomaly_type, start, "end", severity FROM al WHERE service = 'checkout-service' ORDER BY start DESC, alert_id LIMIT 60""", until="al"),
+        "stream_windows_append": using(f"""SELECT service, ts - ts % {small} AS window_start, CAST({small} AS BIGINT) AS size, count(request_id) AS request_count, count(*) FILTER (WHERE {ERROR}) AS error_count FROM logs
+            GROUP BY 1, 2 HAVING CAST(1000000 AS BIGINT) * (ts - ts % {small} + {small}) <= (SELECT max(epoch_us(ts)) FROM events) - CAST(1000000 AS BIGINT) * {cfg.grace}""", until="logs"),
         "baselines_median_mad": using("SELECT service, size, window_start, " + ", ".join(f"round({m}_{k}, 6) AS {m}_{k}" for m, _ in cfg.floors for k in ("median", "mad")) + " FROM b", until="b"),
         "mad_anomalies": using("SELECT id, service, metric, window_start, size, detector, score, round(observed, 6) AS observed, round(baseline, 6) AS baseline, severity, anomaly_type FROM an", until="an"),
         "anomaly_counts": using(f"SELECT anomaly_type, severity, count(*) AS n, CAST(max({rank}) AS BIGINT) AS rank FROM an GROUP BY 1, 2", until="an"),

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+# Services, their edges, levels, field names and limits of the log format.
 SERVICES = ("api-gateway", "auth-service", "checkout-service", "payment-service", "inventory-service", "notification-service")
 #: (caller, dependency)
 EDGES = (("api-gateway", "auth-service"), ("api-gateway", "checkout-service"), ("checkout-service", "payment-service"), ("checkout-service", "inventory-service"), ("checkout-service", "notification-service"))
@@ -27,54 +29,70 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).json(path)
 
 
-def problems(c: str = "") -> Column:
-    """Names of the fields of an event that break its rules, as an array."""
-    size = lambda name, low, high: F.length(F.trim(name)).between(low, high)
+_UUID = r"^(?i:urn:uuid:)?\{?([0-9a-fA-F]{32}|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})\}?$"
+
+
+def stripped(name: str) -> Column:
+    """A string without white space of any kind at its ends."""
+    return F.regexp_replace(name, r"(?U)^\s+|\s+$", "")
+
+
+def problems() -> Column:
+    """Names of the fields of an event with stripped strings that break its rules, as an array."""
+    size = lambda name, low, high: F.length(name).between(low, high)
+    absent = lambda name, ok: F.col(name).isNull() | F.coalesce(ok, F.lit(False))
     rules = {
         "timestamp": F.try_to_timestamp("timestamp").isNotNull(),
         "service": F.coalesce(size("service", 1, 255), F.lit(False)),
-        "level": F.coalesce(F.col("level"), F.lit("INFO")).isin(*LEVELS),
+        "level": F.coalesce(F.col("level").isin(*LEVELS), F.lit(False)),
         "message": F.coalesce(size("message", 1, 4096), F.lit(False)),
-        "latency_ms": F.coalesce(F.col("latency_ms") >= 0, F.lit(True)),
-        "status_code": F.coalesce(F.col("status_code").between(100, 599), F.lit(True)),
-        "host": F.coalesce(F.length("host") <= 255, F.lit(True)),
-        "region": F.coalesce(F.length("region") <= 64, F.lit(True)),
+        "request_id": absent("request_id", F.col("request_id").rlike(_UUID)),
+        "trace_id": absent("trace_id", F.col("trace_id").rlike(_UUID)),
+        "latency_ms": absent("latency_ms", F.col("latency_ms") >= 0),
+        "status_code": absent("status_code", F.col("status_code").between(100, 599)),
+        "host": absent("host", F.length("host") <= 255),
+        "region": absent("region", F.length("region") <= 64),
     }
     return F.array_compact(F.array(*(F.when(~ok, name) for name, ok in rules.items())))
 
 
 def validate(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, quarantined); strings are trimmed, and quarantined rows keep the names of the broken fields."""
+    """(valid, quarantined); strings are stripped first, and quarantined rows keep the names of the broken fields."""
     strings = ("service", "level", "message", "request_id", "trace_id", "host", "region")
-    own = events.withColumn("problems", problems()).withColumns({c: F.trim(c) for c in strings})
+    own = events.withColumns({c: stripped(c) for c in strings}).withColumn("problems", problems())
     return own.where(F.size("problems") == 0).drop("problems"), own.where(F.size("problems") > 0)
 
 
 def import_logs(events: DataFrame, known: DataFrame) -> DataFrame:
-    """Raw logs; events of unknown services are dropped, level and message get defaults."""
-    own = events.join(F.broadcast(known.select(F.col("id").alias("service_id"), F.col("name").alias("service"))), "service")
-    meta = F.when(F.col("host").isNotNull() | F.col("region").isNotNull(), F.struct("host", "region"))
-    return own.select("service_id", "service", F.to_timestamp("timestamp").alias("timestamp"), F.coalesce("level", F.lit("INFO")).alias("level"), F.coalesce("message", F.lit("")).alias("message"), "request_id", "trace_id", "latency_ms", "status_code", meta.alias("metadata"))
+    """Raw logs; events of unknown services are dropped, level and message get defaults; host and region aren't kept."""
+    own = events.join(known.select(F.col("id").alias("service_id"), F.col("name").alias("service")), "service")
+    return own.select("service_id", "service", F.to_timestamp("timestamp").alias("timestamp"), F.coalesce("level", F.lit("INFO")).alias("level"), F.coalesce("message", F.lit("")).alias("message"), "request_id", "trace_id", "latency_ms", "status_code", F.lit(None).cast("struct<host:string,region:string>").alias("metadata"))
 
 
 def import_truth(rows: DataFrame, known: DataFrame, present: DataFrame | None = None) -> DataFrame:
     """Labelled incidents; an unknown root is an error, unknown affected services and ids already present are dropped."""
     named = known.select(F.col("id").alias("root_id"), F.col("name").alias("root_cause_service"))
-    own = rows.where("truth_incident_id IS NOT NULL").join(F.broadcast(named), "root_cause_service", "left")
+    own = rows.where("truth_incident_id IS NOT NULL").join(named, "root_cause_service", "left")
     own = own.withColumn("root_id", F.when(F.col("root_id").isNotNull(), F.col("root_id")).otherwise(F.raise_error(F.concat(F.lit("unknown root service "), "root_cause_service"))))
-    part = own.select("truth_incident_id", F.explode_outer("affected_services").alias("name")).join(F.broadcast(known), "name", "left")
+    part = own.select("truth_incident_id", F.explode_outer("affected_services").alias("name")).join(known, "name", "left")
     ids = part.groupBy("truth_incident_id").agg(F.sort_array(F.collect_set("id")).alias("affected_ids"))
     out = own.join(ids, "truth_incident_id")
     return out if present is None else out.join(present.select("truth_incident_id"), "truth_incident_id", "left_anti")
 
 
+def epoch_seconds(rows: DataFrame, name: str) -> Column:
+    """Seconds since 1970 of a time with or without zone; one without is UTC, whatever the session's zone."""
+    if rows.schema[name].dataType == T.TimestampNTZType():
+        return F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(name))
+    return F.unix_seconds(name)
+
+
 def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as logs; times are epoch seconds."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     kind, value = F.col("event_type"), F.col("value")
     key = F.get_json_object("props", "$.k")
-    ts = F.unix_seconds(F.col("ts").cast("timestamp"))
+    ts = epoch_seconds(e, "ts")
     day = F.floor(ts / 86400).cast("string")
     return e.select(
         F.col("event_id").alias("id"), F.element_at(F.array(*map(F.lit, SERVICES)), (F.pmod("user_id", F.lit(6)) + 1).cast("int")).alias("service"), ts.alias("ts"),
@@ -85,14 +103,26 @@ def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def filtered(logs: DataFrame, service: str | None = None, level: str | None = None, trace_id: str | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
-    """Optional equality filters and an inclusive time range."""
-    for name, value in (("service", service), ("level", level.upper() if level else None), ("trace_id", trace_id)):
+def filtered(rows: DataFrame, start: int | None = None, end: int | None = None, time: str = "ts", **equal: str | None) -> DataFrame:
+    """Optional equality filters, such as service, level, trace_id, metric, detector or severity, and an inclusive time range."""
+    for name, value in equal.items():
         if value is not None:
-            logs = logs.where(F.col(name) == value)
+            rows = rows.where(F.col(name) == (value.upper() if name in ("level", "severity") else value))
     if start is not None:
-        logs = logs.where(F.col("ts") >= start)
-    return logs if end is None else logs.where(F.col("ts") <= end)
+        rows = rows.where(F.col(time) >= start)
+    return rows if end is None else rows.where(F.col(time) <= end)
+
+
+def linked(edges: DataFrame, known: DataFrame, upstream: str, downstream: str) -> DataFrame:
+    """edges(upstream, downstream) with one more; an unknown service, a self edge or one that is already there is an error."""
+    missing = {upstream, downstream} - {r.name for r in known.where(F.col("name").isin(upstream, downstream)).select("name").distinct().collect()}
+    if missing:
+        raise ValueError(f"unknown service {', '.join(sorted(missing))}")
+    if upstream == downstream:
+        raise ValueError("a service can't depend on itself")
+    if edges.where((F.col("upstream") == upstream) & (F.col("downstream") == downstream)).take(1):
+        raise ValueError("this dependency is already there")
+    return edges.unionByName(edges.sparkSession.createDataFrame([(upstream, downstream)], "upstream string, downstream string"))
 
 
 def page(rows: DataFrame, order: list[Column], limit: int = 100, offset: int = 0, most: int = 1000) -> DataFrame:

@@ -1,25 +1,31 @@
-"""Streaming forms: windowed aggregation with a watermark, a rate limiter, and the batch chain per trigger."""
+"""Streaming forms: windowed aggregation with a watermark, a rate limiter, and keyed writes per micro-batch."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..config import Config
+from ..operators.upsert import upsert
 from ..operators.windows import is_error
 from ..sources.logs import SERVICES
-from ..sources.stages import folder
+from ..sources.stages import folder, stored
 
 
-def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    """The events table as a stream of logs with a timestamp column."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+def event_time(rows: DataFrame) -> Column:
+    """ts as an instant; a time without zone is UTC, whatever the session's zone."""
+    if rows.schema["ts"].dataType == T.TimestampNTZType():
+        return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")))
+    return F.col("ts")
+
+
+def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1, schema=None) -> DataFrame:
+    """The events table as a stream of logs with a timestamp column; schema: of files that aren't there yet."""
+    raw = spark.readStream.schema(schema or spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{sf_dir}/events*.parquet")
     kind = F.col("event_type")
     name = F.element_at(F.array(*map(F.lit, SERVICES)), (F.pmod("user_id", F.lit(6)) + 1).cast("int"))
     return raw.select(
-        F.col("ts").cast("timestamp").alias("timestamp"), name.alias("service"), F.when(kind != "signup", F.col("event_id")).alias("request_id"), F.col("user_id"),
+        event_time(raw).alias("timestamp"), name.alias("service"), F.when(kind != "signup", F.col("event_id")).alias("request_id"), F.col("user_id"),
         F.when(kind == "error", "ERROR").otherwise("INFO").alias("level"), F.when((kind == "error") & (F.col("value") >= 20), 500).otherwise(200).alias("status_code"),
     )
 
@@ -40,9 +46,20 @@ def run_to_parquet(stream: DataFrame, out: str | None = None) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
-def live(stream: DataFrame, stage, base: str, seconds: int = 30):
-    """Calls stage(batch, batch id) for each micro-batch every `seconds`; a batch is repeated whole after a failure, so the stage has to be idempotent (see upsert)."""
-    return stream.writeStream.foreachBatch(stage).option("checkpointLocation", f"{base}/state").trigger(processingTime=f"{seconds} seconds").start()
+class Table:
+    """A keyed table that micro-batches write to: each version is a stored table, and a repeated batch changes nothing."""
+
+    def __init__(self, keys: list[str]):
+        self.keys, self.rows = keys, None
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        self.rows = stored(batch if self.rows is None else upsert(self.rows, batch, self.keys))
+
+
+def live(stream: DataFrame, table: Table, out: str | None = None, seconds: int | None = None):
+    """Writes each micro-batch into the table, every `seconds` or until what there is is done. A batch is repeated whole after a failure."""
+    writer = stream.writeStream.outputMode("update").foreachBatch(table.write).option("checkpointLocation", f"{out or folder(stream.sparkSession)}/state")
+    return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()
 
 
 def over_limit(requests: DataFrame, limit: int, time: str = "timestamp", identity: str = "identity", seconds: int = 60) -> DataFrame:
@@ -50,7 +67,3 @@ def over_limit(requests: DataFrame, limit: int, time: str = "timestamp", identit
     own = requests.withColumn("identity_hash", F.left(F.sha2(F.col(identity).cast("string"), 256), F.lit(24)))
     got = own.groupBy(F.window(time, f"{seconds} seconds").alias("w"), "identity_hash").agg(F.count("*").alias("requests")).where(F.col("requests") > limit)
     return got.select(F.unix_seconds("w.start").alias("window_start"), "identity_hash", "requests")
-
-
-def default() -> Config:
-    return Config().scaled(60)

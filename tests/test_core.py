@@ -163,5 +163,54 @@ def test_stream_matches_batch(spark, tmp_path):
     base = datetime.datetime(2024, 1, 1)
     rows = [(i, base + datetime.timedelta(minutes=i), i % 6, "error" if i % 7 == 0 else "view", 30.0, '{"k": 1}') for i in range(600)]
     spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
-    stream = live.event_stream(spark, str(tmp_path / "events.parquet").rsplit("/", 1)[0])
-    assert stream.isStreaming
+    stream = live.windowed(live.event_stream(spark, str(tmp_path)), 3600, 300)
+    logs = src.from_events(spark, str(tmp_path))
+    own = logs.groupBy("service", (F.col("ts") - F.pmod("ts", F.lit(3600))).alias("window_start")).agg(F.count("request_id").alias("request_count"), F.count_if(windows.is_error()).alias("error_count"))
+    end = logs.agg(F.max("ts")).first()[0] - 300
+    expected = {tuple(r) for r in own.where(F.col("window_start") + 3600 <= end).collect()}
+    got = live.run_to_parquet(stream).select("service", "window_start", "request_count", "error_count").collect()
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected) > 50
+
+
+def test_micro_batches_write_by_key(spark, tmp_path):
+    from logloom.streaming import windows as live
+
+    base = datetime.datetime(2024, 1, 1)
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    rows = [(i, base + datetime.timedelta(minutes=i), i % 6, "view", 30.0, '{"k": 1}') for i in range(300)]
+    table = live.Table(["service", "window_start", "size"])
+    for k in range(2):
+        spark.createDataFrame(rows[150 * k : 150 * (k + 1)], schema).coalesce(1).write.parquet(f"{tmp_path}/events{k}.parquet")
+    stream = live.windowed(live.event_stream(spark, str(tmp_path), schema=schema), 3600, 0)
+    live.live(stream, table, f"{tmp_path}/at").awaitTermination()
+    assert table.rows.count() == table.rows.select("service", "window_start").distinct().count() == 30
+    table.write(table.rows, 9)
+    assert sum(r.request_count for r in table.rows.collect()) == 300
+
+
+def test_resumed_run_equals_a_whole_one(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "ab"[i % 2], int(t), "INFO", f"m{i % 5}", i, None, int(rng.integers(1, 99)), 200) for i, t in enumerate(np.sort(rng.integers(0, 20_000, 800)))]
+    logs = spark.createDataFrame(rows, LOG)
+    whole = windows.metric_windows(logs, CFG)
+    names = ["service", "size", "window_start", "request_count", "p95_latency_ms", "unique_messages"]
+    old = windows.metric_windows(logs.where("ts < 9000"), CFG).select(names)
+    assert sorted(map(tuple, windows.resumed(old, logs, CFG).collect())) == sorted(map(tuple, whole.select(names).collect()))
+
+
+def test_registry(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    data = [(float(y), *rng.normal(y, 1, 5).tolist(), int(y)) for y in (0, 1) for _ in range(20)]
+    model = rootcause.train(spark.createDataFrame(data, ", ".join(f"{n} double" for n in rootcause.FEATURES) + ", label int"))
+    rootcause.save(spark, f"{tmp_path}/models", "ranker", model, "2024-01-02")
+    weights, intercept = rootcause.load(spark, f"{tmp_path}/models", "ranker")
+    assert [weights[n] for n in rootcause.FEATURES] == pytest.approx(model.coefficients.toArray().tolist()) and intercept == model.intercept
+    with pytest.raises(ValueError, match="no model named other"):
+        rootcause.load(spark, f"{tmp_path}/models", "other")
+
+
+def test_absent_rows_are_added_once(spark):
+    old = spark.createDataFrame([("a", 1)], "k string, v int")
+    new = spark.createDataFrame([("a", 9), ("b", 2)], "k string, v int")
+    once = upsert.append_absent(old, new, ["k"])
+    assert sorted(map(tuple, upsert.append_absent(once, new, ["k"]).collect())) == [("a", 1), ("b", 2)]
