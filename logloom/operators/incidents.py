@@ -67,7 +67,7 @@ def summaries(members: DataFrame, cfg: Config, as_of: int | None = None) -> Data
     """One row per incident with its alert count, duration in minutes and, when quiet long enough at as_of, its closing time."""
     own = members.groupBy("incident_id", "start", "end", "severity", "services").agg(F.count("*").alias("alert_count"))
     own = own.withColumn("duration_minutes", F.round(F.greatest(F.lit(0), F.col("end") - F.col("start")) / 60, 1))
-    quiet = F.lit(as_of) if as_of is not None else F.lit(None).cast("bigint")
+    quiet = F.lit(as_of).cast("bigint")
     return own.withColumn("closed_at", F.when(F.col("end") < quiet - cfg.close_gap, quiet))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..config import Config
 from ..functions.scalar import TYPES
 from ..sources.logs import EDGES, SERVICES
+from . import fold_sql
 
 ERROR = "(level IN ('ERROR', 'CRITICAL') OR coalesce(status_code >= 500, false))"
 
@@ -63,6 +64,9 @@ def build(cfg: Config, day0: int, truth: list) -> dict[str, str]:
         CASE WHEN EXISTS (SELECT 1 FROM an WHERE an.service = b.service AND an.size = b.size AND an.window_start = b.window_start) THEN 1 ELSE 0 END AS flag FROM b WHERE size = {large}"""
     cte["sc"] = "SELECT an.*, CASE WHEN EXISTS (SELECT 1 FROM truth t WHERE list_contains(t.affected, an.service) AND an.window_start < t.end_time AND an.window_start + an.size > t.start_time) THEN 1 ELSE 0 END AS label FROM an"
 
+    near = lambda pad: f"""b.start <= a."end" + {pad} AND b."end" >= a.start - {pad} AND (a.start, a.alert_id) < (b.start, b.alert_id)"""
+    cte |= fold_sql.ctes(cfg, near)
+
     def using(body: str, *, until: str) -> str:
         out = []
         for name, text in cte.items():
@@ -78,7 +82,6 @@ def build(cfg: Config, day0: int, truth: list) -> dict[str, str]:
             SELECT {by} AS d, row_number() OVER w AS i, CAST(sum(label) OVER (PARTITION BY {by} ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS hits, count(*) OVER (PARTITION BY {by}) AS n, CAST(sum(label) OVER (PARTITION BY {by}) AS DOUBLE) AS positives
             FROM sc WINDOW w AS (PARTITION BY {by} ORDER BY score DESC, id)) WHERE (i - 1) % greatest(1, n // 100) = 0"""
 
-    near = lambda pad: f"""b.start <= a."end" + {pad} AND b."end" >= a.start - {pad} AND (a.start, a.alert_id) < (b.start, b.alert_id)"""
     ratio = lambda a, b: f"CASE WHEN {b} > 0 THEN round(CAST({a} AS DOUBLE) / ({b}), 4) ELSE 0 END"
     now = day0 + 29 * 86400
     return {
@@ -133,4 +136,4 @@ def build(cfg: Config, day0: int, truth: list) -> dict[str, str]:
         "ingest_rate_limited": using("SELECT ts - ts % 3600 AS window_start, left(sha256(service), 24) AS identity_hash, count(*) AS requests FROM logs GROUP BY 1, 2 HAVING count(*) > 5", until="logs"),
         "latency_summary": using("SELECT service, round(quantile_cont(latency_ms, 0.5), 4) AS p50, round(quantile_cont(latency_ms, 0.99), 4) AS p99, round(avg(latency_ms), 4) AS mean, min(latency_ms) AS least, max(latency_ms) AS most FROM logs WHERE latency_ms IS NOT NULL GROUP BY 1", until="logs"),
         "truth_import": using("SELECT truth_id AS truth_incident_id, r.id AS root_id, string_agg(s.id, ',' ORDER BY s.id) AS affected_ids FROM (SELECT *, unnest(affected) AS one FROM truth) t JOIN services r ON r.name = root JOIN services s ON s.name = one WHERE truth_id NOT IN ('t1', 't2') GROUP BY 1, 2", until="truth"),
-    }
+    } | fold_sql.queries(cfg, using, day0 + 31 * 86400)
