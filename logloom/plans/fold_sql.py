@@ -48,6 +48,14 @@ def ctes(cfg: Config, near) -> dict[str, str]:
     out["mal"] = "SELECT m.incident_id, al.* FROM members m JOIN al USING (alert_id)"
     out["per"] = """SELECT incident_id, service, CAST(count(*) AS DOUBLE) AS alert_count, min(start) AS own_start FROM mal GROUP BY 1, 2"""
     out["earliest"] = "SELECT incident_id, arg_min(service, {'start': start, 'id': alert_id}) AS first, min(start) AS first_start FROM mal GROUP BY 1"
+    lasts = "greatest(0, least(i.\"end\", t.end_time) - greatest(i.start, t.start_time))"
+    out["mc"] = f"""SELECT id AS incident_id, truth_id, {lasts} AS overlap, round(CAST({lasts} AS DOUBLE) / greatest(1, end_time - start_time), 6) AS coverage,
+        round(CAST(len(list_intersect(services, affected)) AS DOUBLE) / greatest(1, len(list_distinct(list_concat(services, affected)))), 6) AS jaccard
+        FROM inc i JOIN truth t ON list_has_any(services, affected) WHERE {lasts} >= {cfg.min_overlap}"""
+    pair = "{'i': incident_id, 't': truth_id}"
+    out["mo"] = f"SELECT list({{'taken': [{pair}]}} ORDER BY coverage DESC, jaccard DESC, truth_id, incident_id) AS cs FROM mc"
+    out["mt"] = """SELECT unnest(taken, recursive := true) FROM (SELECT list_reduce(list_concat([{'taken': cs[1].taken[1:0]}], cs), lambda s, e:
+        {'taken': CASE WHEN len(list_filter(s.taken, lambda x: x.i = e.taken[1].i OR x.t = e.taken[1].t)) = 0 THEN list_concat(s.taken, e.taken) ELSE s.taken END}).taken AS taken FROM mo WHERE cs IS NOT NULL)"""
     return out
 
 
@@ -62,6 +70,7 @@ def queries(cfg: Config, using, as_of: int) -> dict[str, str]:
         "incident_list": using(f"""SELECT *, round(CAST("end" - start AS DOUBLE) / 60, 1) AS duration_minutes, CASE WHEN "end" < {as_of - cfg.close_gap} THEN CAST({as_of} AS BIGINT) END AS closed_at FROM (
             SELECT incident_id, start, "end", severity, array_to_string(services, ',') AS services, count(*) AS alert_count FROM members GROUP BY ALL) ORDER BY start DESC, incident_id LIMIT 50""", until="members"),
         "incident_timeline": using("SELECT incident_id, string_agg(service || ' ' || anomaly_type || ' ' || severity, '; ' ORDER BY start, alert_id) AS timeline, count(*) AS alerts FROM mal GROUP BY 1", until="mal"),
+        "truth_matches": using("SELECT incident_id, mc.truth_id, overlap, coverage, jaccard FROM mc JOIN mt ON mt.i = incident_id AND mt.t = mc.truth_id", until="mt"),
         "rca_features": using("""SELECT p.incident_id, p.service, CASE WHEN p.service = first THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_earliest,
             CASE WHEN p.service = first THEN CAST(coalesce(greatest(0, (SELECT min(o.own_start) FROM per o WHERE o.incident_id = p.incident_id AND o.service <> p.service) - first_start), 0) AS DOUBLE) ELSE 0.0::DOUBLE END AS earliest_seconds_gap,
             (SELECT CAST(count(DISTINCT reached) AS DOUBLE) FROM reach WHERE upstream = p.service AND reached <> upstream) AS blast_radius,

@@ -108,3 +108,22 @@ def test_every_rule_of_an_event(spark):
     good, broken = src.validate(rows)
     assert [(r.level, r.host) for r in good.collect()] == [("INFO", "h")]
     assert sorted(tuple(r.problems) for r in broken.collect()) == sorted((f,) for f, _ in bad)
+
+
+@pytest.mark.parametrize("coalesced", ["true", "false"])
+def test_components_of_chains_and_random_edges(spark, coalesced):
+    """One partition ends with its forest; several need star passes."""
+    rng, name = random.Random(5), "spark.sql.adaptive.coalescePartitions.enabled"
+    chain = [(i, i + 1) for i in range(60) if i != 30]
+    for links in (chain, [(100 + rng.randrange(80), 100 + rng.randrange(80)) for _ in range(50)], []):
+        root = {x: x for link in links for x in link if link[0] != link[1]}
+        for _ in root:
+            for a, b in links:
+                if a != b:
+                    root[a] = root[b] = min(root[a], root[b])
+        spark.conf.set(name, coalesced)
+        try:
+            got = graph.components(spark.createDataFrame([(f"n{a:03}", f"n{b:03}") for a, b in links], "a string, b string")).collect()
+        finally:
+            spark.conf.unset(name)
+        assert sorted(tuple(r) for r in got) == sorted((f"n{x:03}", f"n{r:03}") for x, r in root.items())
