@@ -100,18 +100,26 @@ def forests(fit: DataFrame, cfg: Config, trees: int = 100, min_rows: int = 10) -
     return pool.groupBy("service").applyInPandas(grown, "service string, n bigint, forest binary")
 
 
-def forest_anomalies(windows: DataFrame, cfg: Config, truth: DataFrame | None = None, contamination: float = 0.05, trees: int = 100, min_rows: int = 10, chunk: int = 50_000) -> DataFrame:
+def load_forests(spark, path: str) -> DataFrame:
+    """Forests written to path; a path without any is an error."""
+    kept = spark.read.schema("service string, n bigint, forest binary").parquet(path)
+    if not kept.take(1):
+        raise ValueError(f"no forest is stored in {path}")
+    return kept
+
+
+def forest_anomalies(windows: DataFrame, cfg: Config, truth: DataFrame | None = None, contamination: float = 0.05, trees: int = 100, min_rows: int = 10, chunk: int = 50_000, forest: DataFrame | None = None) -> DataFrame:
     """One multivariate row per window of the largest size that the service's forest isolates.
 
     Forests are fitted on normal windows and kept as a table; windows are scored in chunks of a service beside its forest. The threshold is the
-    quantile of the scores of all normal windows.
+    quantile of the scores of all normal windows. forest: one that was fitted before (load_forests), which is not fitted again.
     """
     size = max(cfg.windows)
     finite = ~F.exists(F.array(*FEATURES), lambda v: F.isnan(v) | (F.abs(v) == float("inf")))
     own = windows.where(F.col("size") == size).select("service", "size", "window_start", *(F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in FEATURES)).where(finite)
     own = stored(own)
     fit = own if truth is None else normal_windows(own, truth)
-    forest = stored(forests(fit, cfg, trees, min_rows))
+    forest = stored(forests(fit, cfg, trees, min_rows)) if forest is None else forest
     chunks = own.groupBy("service").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).join(forest, "service").select("service", "n", "forest", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "chunks")
     parts = stored(own.join(chunks.select("service", "chunks").distinct(), "service").withColumn("chunk", F.pmod(F.xxhash64("window_start"), F.col("chunks")).cast("int")))
 

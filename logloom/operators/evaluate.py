@@ -65,24 +65,45 @@ def match_candidates(incidents: DataFrame, truth: DataFrame, minimum: float) ->
     return pairs.select("incident_id", "truth_id", "overlap", F.round(F.col("overlap") / F.greatest(F.lit(1), F.col("te") - F.col("ts")), 6).alias("coverage"), F.round(jaccard(F.col("services"), F.col("affected")), 6).alias("jaccard"))
 
 
-def match_one_to_one(candidates: DataFrame) -> DataFrame:
-    """Greedy one-to-one matching by coverage, Jaccard, truth id and incident id.
-
-    Rounds of mutual best pairs give the greedy result without an ordered pass: a pair that is the first of both its sides is always taken.
-    """
+def _in_rounds(candidates: DataFrame, certain) -> DataFrame:
+    """Pairs taken round by round: certain(rest) gives pairs that the ordered pass would take, and both their sides are out of the next round."""
     candidates = stored(candidates)
-    order = [F.desc("coverage"), F.desc("jaccard"), "truth_id", "incident_id"]
     rest, taken = candidates, candidates.limit(0)
     while True:
-        first = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(*order))
-        now = rest.withColumn("x", first("incident_id")).withColumn("y", first("truth_id")).where("x = 1 AND y = 1").drop("x", "y")
-        part = stored(now)
+        part = stored(certain(rest).select(candidates.columns))
         if not part.take(1):
             return taken
         taken = taken.unionByName(part)
         rest = stored(rest.join(part.select("incident_id"), "incident_id", "left_anti").join(part.select("truth_id"), "truth_id", "left_anti").select(candidates.columns))
 
 
+def _first(by: str, order: list) -> Column:
+    return F.row_number().over(Window.partitionBy(by).orderBy(*order)) == 1
+
+
+def match_one_to_one(candidates: DataFrame) -> DataFrame:
+    """Greedy one-to-one matching by coverage, Jaccard, truth id and incident id.
+
+    Rounds of mutual best pairs give the greedy result without an ordered pass: a pair that is the first of both its sides is always taken.
+    """
+    order = [F.desc("coverage"), F.desc("jaccard"), "truth_id", "incident_id"]
+    return _in_rounds(candidates, lambda rest: rest.withColumn("x", _first("incident_id", order)).withColumn("y", _first("truth_id", order)).where("x AND y"))
+
+
+def match_first_come(incidents: DataFrame, truth: DataFrame, minimum: float) -> DataFrame:
+    """Incidents in order of start and id each take the free labelled incident that they overlap longest, whatever its services.
+
+    An incident takes its longest overlap for certain once no earlier one that is still without a match overlaps the same labelled incident.
+    """
+    t = truth.select("truth_id", F.col("start_time").alias("ts"), F.col("end_time").alias("te"))
+    near = (F.col("start") <= F.col("te") - minimum) & (F.col("end") >= F.col("ts") + minimum)
+    over = overlap_seconds(F.col("start"), F.col("end"), F.col("ts"), F.col("te"))
+    pairs = incidents.select("incident_id", "start", "end").join(t, near).withColumn("overlap", over).where((F.col("overlap") >= minimum) & (F.col("overlap") > 0))
+    longest, earliest = [F.desc("overlap"), "truth_id"], ["start", "incident_id"]
+    taken = _in_rounds(pairs.select("incident_id", "truth_id", "start", "overlap"), lambda rest: rest.withColumn("x", _first("incident_id", longest)).withColumn("y", _first("truth_id", earliest)).where("x AND y"))
+    return taken.select("incident_id", "truth_id", "overlap")
+
+
 def topk_accuracy(ranked: DataFrame, by: str | None = None) -> DataFrame:
     """Share of incidents whose labelled cause ranks first, or among three; ranked has rank and is_cause."""
     per = ranked.groupBy("incident_id", *([by] if by else [])).agg(F.max(F.when(F.col("is_cause"), (F.col("rank") <= 1).cast("int"))).alias("t1"), F.max(F.when(F.col("is_cause"), (F.col("rank") <= 3).cast("int"))).alias("t3"))
@@ -101,7 +122,12 @@ def require(ok: bool, message: str) -> None:
         raise AssertionError(message)
 
 
-def gate(measured: dict[str, float], least: dict[str, float], most: dict[str, float]) -> None:
+# Bounds that a release's figures have to keep.
+GATE_LEAST = {"mad_recall": 0.80, "forest_recall": 0.75, "mad_f1": 0.75, "compression": 0.40, "training_n": 10, "held_out_n": 6, "held_out_top1": 0.75, "held_out_top3": 0.90}
+GATE_MOST = {"mad_fpr": 0.05, "forest_fpr": 0.08, "compression": 0.90}
+
+
+def gate(measured: dict[str, float], least: dict[str, float] = GATE_LEAST, most: dict[str, float] = GATE_MOST) -> None:
     """Raises for a missing or out-of-bounds figure."""
     for name, bound in least.items():
         require(measured.get(name, float("-inf")) >= bound, f"{name} is below {bound}")

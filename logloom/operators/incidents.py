@@ -78,11 +78,57 @@ def timeline(members: DataFrame, alerts: DataFrame) -> DataFrame:
     return own.groupBy("incident_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["what"]), "; ").alias("timeline"), F.count("*").alias("alerts"))
 
 
-def briefing(summary: DataFrame, lines: DataFrame, scores: DataFrame) -> DataFrame:
-    """A short markdown text per incident with its likely cause and confidence."""
-    top = scores.where("rank = 1").select("incident_id", F.col("service").alias("cause"), "score")
-    own = summary.join(lines, "incident_id").join(top, "incident_id", "left")
-    title = F.concat(F.lit("# "), "severity", F.lit(" incident affecting "), F.array_join("services", ", "))
-    cause = F.concat(F.lit("Suspected root cause: "), F.coalesce("cause", F.lit("unknown")), F.lit(" ("), confidence(F.col("score")), F.lit(" confidence)"))
-    first = F.concat(F.lit("Earliest alert: "), F.split_part("timeline", F.lit("; "), F.lit(1)))
-    return own.select("incident_id", F.concat_ws("\n", title, cause, first, F.concat(F.lit("Alerts: "), F.col("alert_count").cast("string"))).alias("markdown"))
+def service_labels(members: DataFrame, services: DataFrame, known: DataFrame, shown: int = 3) -> DataFrame:
+    """Names of each incident's services as one string, the first few and how many more. A service that isn't known shows its id."""
+    one = members.select("incident_id", F.posexplode("services").alias("at", "service")).distinct()
+    own = one.join(services.select(F.col("name").alias("service"), "id"), "service").join(known.select("id", F.col("name").alias("known")), "id", "left")
+    names = F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("known", "id").alias("what")))), lambda x: x["what"])
+    got = own.groupBy("incident_id").agg(names.alias("names"))
+    more = F.when(F.size("names") > shown, F.concat(F.lit(" +"), (F.size("names") - shown).cast("string"))).otherwise("")
+    return got.select("incident_id", F.size("names").cast("bigint").alias("services"), F.concat(F.array_join(F.slice("names", 1, shown), ", "), more).alias("label"))
+
+
+def detail(summary: DataFrame, members: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Each incident with its state and its alerts in order of start, as an array of structs."""
+    own = members.select("incident_id", "alert_id").join(alerts, "alert_id")
+    item = F.struct("start", "alert_id", "end", "service", "anomaly_type", "severity", "observed", "baseline")
+    lines = own.groupBy("incident_id").agg(F.array_sort(F.collect_list(item)).alias("alerts"))
+    return summary.join(lines, "incident_id").withColumn("status", F.when(F.col("closed_at").isNull(), "active").otherwise("closed"))
+
+
+# Texts of a briefing.
+_SCORED = "%s incident affecting %d service(s); %s is the top RCA candidate with %s confidence."
+_UNSCORED = "%s incident affecting %d service(s); RCA scoring has not run yet."
+_WHY, _WHY_PLAIN, _WHY_NONE = "Top contributing signals: %s.", "Ranked highest by the RCA model.", "No root-cause scores were available for this incident."
+_EARLIEST, _EMPHASIZED, _CLUSTERED = "Earliest alert: %s %s at %s.", "RCA feature evidence emphasized: %s.", "%d alert(s) were clustered into this incident."
+_CHECK, _RUN = "Check %s deploys, saturation, and dependency errors first.", "Run the RCA ranking job before assigning ownership."
+_ACTIONS = ("Inspect earliest correlated traces and logs around the first alert window.", "Validate whether downstream services recover after the suspected root cause is mitigated.")
+_HEAD = "# Incident Briefing\n\n**Incident:** `%s`\n**Severity:** %s\n**Status:** %s\n**Affected services:** %s\n\n"
+_BODY = "## Summary\n%s\n\n## Suspected Root Cause\n%s (%s confidence). %s\n\n## Evidence\n%s\n\n## Recommended Actions\n%s\n"
+
+
+def briefing(detailed: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Title, summary, cause, evidence, actions, impact and a markdown text of each incident of detail(); ranked has top_features as one string.
+
+    An incident that no ranker has scored gets the texts that say so.
+    """
+    top = ranked.where("rank = 1").select("incident_id", F.col("service").alias("cause"), F.round("score", 4).alias("score"), F.nullif("top_features", F.lit("")).alias("signals"))
+    own = detailed.join(top, "incident_id", "left").withColumn("confidence", confidence(F.col("score")))
+    scored, first = F.col("cause").isNotNull(), F.get("alerts", F.lit(0))
+    n = F.size("services")
+    own = own.withColumn("title", F.concat("severity", F.lit(" incident on "), F.coalesce("cause", F.lit("unknown service"))))
+    own = own.withColumn("summary", F.when(scored, F.format_string(_SCORED, "severity", n, "cause", "confidence")).otherwise(F.format_string(_UNSCORED, "severity", n)))
+    own = own.withColumn("why", F.when(~scored, _WHY_NONE).when(F.col("signals").isNull(), _WHY_PLAIN).otherwise(F.format_string(_WHY, "signals")))
+    at = F.date_format(F.timestamp_seconds(first["start"]), "yyyy-MM-dd'T'HH:mm:ssxxx")
+    evidence = F.array(
+        F.when(first.isNotNull(), F.format_string(_EARLIEST, first["service"], first["anomaly_type"], at)),
+        F.when(F.col("signals").isNotNull(), F.format_string(_EMPHASIZED, "signals")),
+        F.when(F.col("alert_count") > 0, F.format_string(_CLUSTERED, "alert_count")),
+    )
+    own = own.withColumn("evidence", F.array_compact(evidence))
+    own = own.withColumn("actions", F.array(F.when(scored, F.format_string(_CHECK, "cause")).otherwise(_RUN), *map(F.lit, _ACTIONS)))
+    lines = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n")
+    names = F.when(n > 0, F.array_join("services", ", ")).otherwise("unknown")
+    body = F.format_string(_BODY, "summary", F.coalesce("cause", F.lit("Not enough RCA data")), "confidence", "why", lines("evidence"), lines("actions"))
+    own = own.withColumn("markdown", F.concat(F.format_string(_HEAD, "incident_id", "severity", "status", names), body))
+    return own.select("incident_id", "title", "status", "severity", "summary", "cause", "score", "confidence", "why", "services", "alert_count", "duration_minutes", "evidence", "actions", "markdown")

@@ -10,6 +10,9 @@ from ..config import Config
 SPAN = """CASE WHEN s.label[e.a] <> s.label[e.b] AND greatest(s.high[s.label[e.a]], s.high[s.label[e.b]]) - least(s.low[s.label[e.a]], s.low[s.label[e.b]]) <= {span}"""
 
 
+SPANS = 'greatest(0, least(i."end", t.end_time) - greatest(i.start, t.start_time))'
+
+
 def ctes(cfg: Config, near) -> dict[str, str]:
     """Table expressions over al, logs, edges, truth, reach and an; near(pad) is the condition that alerts a and b come within pad."""
     out = {}
@@ -48,7 +51,7 @@ def ctes(cfg: Config, near) -> dict[str, str]:
     out["mal"] = "SELECT m.incident_id, al.* FROM members m JOIN al USING (alert_id)"
     out["per"] = """SELECT incident_id, service, CAST(count(*) AS DOUBLE) AS alert_count, min(start) AS own_start FROM mal GROUP BY 1, 2"""
     out["earliest"] = "SELECT incident_id, arg_min(service, {'start': start, 'id': alert_id}) AS first, min(start) AS first_start FROM mal GROUP BY 1"
-    lasts = "greatest(0, least(i.\"end\", t.end_time) - greatest(i.start, t.start_time))"
+    lasts = SPANS
     out["mc"] = f"""SELECT id AS incident_id, truth_id, {lasts} AS overlap, round(CAST({lasts} AS DOUBLE) / greatest(1, end_time - start_time), 6) AS coverage,
         round(CAST(len(list_intersect(services, affected)) AS DOUBLE) / greatest(1, len(list_distinct(list_concat(services, affected)))), 6) AS jaccard
         FROM inc i JOIN truth t ON list_has_any(services, affected) WHERE {lasts} >= {cfg.min_overlap}"""
@@ -56,6 +59,10 @@ def ctes(cfg: Config, near) -> dict[str, str]:
     out["mo"] = f"SELECT list({{'taken': [{pair}]}} ORDER BY coverage DESC, jaccard DESC, truth_id, incident_id) AS cs FROM mc"
     out["mt"] = """SELECT unnest(taken, recursive := true) FROM (SELECT list_reduce(list_concat([{'taken': cs[1].taken[1:0]}], cs), lambda s, e:
         {'taken': CASE WHEN len(list_filter(s.taken, lambda x: x.i = e.taken[1].i OR x.t = e.taken[1].t)) = 0 THEN list_concat(s.taken, e.taken) ELSE s.taken END}).taken AS taken FROM mo WHERE cs IS NOT NULL)"""
+    out["fc"] = f"""SELECT id, start, list({{'i': id, 't': truth_id}} ORDER BY {SPANS} DESC, truth_id) AS able FROM inc i JOIN truth t ON {SPANS} >= {2 * cfg.min_overlap} GROUP BY 1, 2"""
+    free = "list_filter(e.able, lambda x: NOT list_contains(list_transform(s.taken, lambda y: y.t), x.t))[1:1]"
+    out["fm"] = f"""SELECT unnest(taken, recursive := true) FROM (SELECT list_reduce(list_concat([{{'taken': es[1].able[1:0], 'able': es[1].able}}], es), lambda s, e: {{'taken': list_concat(s.taken, {free}), 'able': e.able}}).taken AS taken
+        FROM (SELECT list({{'taken': able[1:0], 'able': able}} ORDER BY start, id) AS es FROM fc) WHERE es IS NOT NULL)"""
     return out
 
 
@@ -70,6 +77,15 @@ def queries(cfg: Config, using, as_of: int) -> dict[str, str]:
         "incident_list": using(f"""SELECT *, round(CAST("end" - start AS DOUBLE) / 60, 1) AS duration_minutes, CASE WHEN "end" < {as_of - cfg.close_gap} THEN CAST({as_of} AS BIGINT) END AS closed_at FROM (
             SELECT incident_id, start, "end", severity, array_to_string(services, ',') AS services, count(*) AS alert_count FROM members GROUP BY ALL) ORDER BY start DESC, incident_id LIMIT 50""", until="members"),
         "incident_timeline": using("SELECT incident_id, string_agg(service || ' ' || anomaly_type || ' ' || severity, '; ' ORDER BY start, alert_id) AS timeline, count(*) AS alerts FROM mal GROUP BY 1", until="mal"),
+        "chain_incidents": using("""SELECT incident_id, alert_id, start, "end", severity, array_to_string(services, ',') AS services FROM members""", until="members"),
+        "incident_labels": using("""SELECT incident_id, len(names) AS services, array_to_string(names[1:3], ', ') || CASE WHEN len(names) > 3 THEN ' +' || (len(names) - 3) ELSE '' END AS label FROM (
+            SELECT incident_id, list(CASE WHEN name = 'auth-service' THEN services.id ELSE name END ORDER BY name) AS names FROM (SELECT id AS incident_id, unnest(services) AS name FROM inc) JOIN services USING (name) GROUP BY 1)""", until="inc"),
+        "incidents_overview": using(f"""SELECT count(DISTINCT id) AS incidents, count(DISTINCT CASE WHEN "end" < {as_of - cfg.close_gap} THEN NULL ELSE id END) AS active, count(DISTINCT service) AS impacted
+            FROM (SELECT id, "end", unnest(services) AS service FROM (SELECT * FROM inc ORDER BY start DESC, id LIMIT 10))""", until="inc"),
+        "incident_detail": using(f"""SELECT incident_id, CASE WHEN closed_at IS NULL THEN 'active' ELSE 'closed' END AS status, alert_count, closed_at, services, alerts FROM (
+            SELECT m.incident_id, CASE WHEN m."end" < {as_of - cfg.close_gap} THEN CAST({as_of} AS BIGINT) END AS closed_at, array_to_string(m.services, ',') AS services, count(*) AS alert_count,
+            string_agg(al.alert_id || ' ' || al."end" || ' ' || al.severity, ';' ORDER BY al.start, al.alert_id) AS alerts FROM members m JOIN al USING (alert_id) GROUP BY 1, 2, 3)""", until="members"),
+        "truth_matches_first_come": using(f"SELECT id AS incident_id, truth_id, {SPANS} AS overlap FROM fm JOIN inc i ON i.id = fm.i JOIN truth t ON t.truth_id = fm.t", until="fm"),
         "truth_matches": using("SELECT incident_id, mc.truth_id, overlap, coverage, jaccard FROM mc JOIN mt ON mt.i = incident_id AND mt.t = mc.truth_id", until="mt"),
         "rca_features": using("""SELECT p.incident_id, p.service, CASE WHEN p.service = first THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_earliest,
             CASE WHEN p.service = first THEN CAST(coalesce(greatest(0, (SELECT min(o.own_start) FROM per o WHERE o.incident_id = p.incident_id AND o.service <> p.service) - first_start), 0) AS DOUBLE) ELSE 0.0::DOUBLE END AS earliest_seconds_gap,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +16,11 @@ from ..sources import logs as src
 from ..sources.stages import folder, stored
 from ..streaming import windows as live
 from . import sql
+from .chain import Chain
 
 CFG = Config().scaled(60)
 DAY0 = 1704067200
-NOW, RECENT = DAY0 + 29 * 86400, 300 * 60
+NOW, RECENT, AS_OF = DAY0 + 29 * 86400, 300 * 60, DAY0 + 31 * 86400
 #: Labelled incidents for the evaluation queries: id, root, affected services, start and end in hours from the first day.
 TRUTH = [
     ("t1", "payment-service", ["payment-service", "checkout-service", "api-gateway"], 30, 42), ("t2", "auth-service", ["auth-service", "api-gateway"], 100, 112),
@@ -101,6 +104,16 @@ def logs_validate(spark, d):
     return good.groupBy(F.lit("").alias("problems")).agg(F.count("*").alias("n")).unionByName(bad.groupBy(F.array_join("problems", ",").alias("problems")).agg(F.count("*").alias("n")))
 
 
+def logs_jsonl(spark, d):
+    """Events as JSON lines, each 200th cut off in the middle, read and validated: a broken line lacks all required fields."""
+    path = folder(spark)
+    uuid = F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(F.col("id").cast("string"), 12, "0"))
+    line = F.to_json(F.struct(F.timestamp_seconds("ts").cast("string").alias("timestamp"), "service", "level", "message", uuid.alias("request_id"), "latency_ms", "status_code"))
+    logs(spark, d).select(F.when(F.col("id") % 200 == 0, F.left(line, F.lit(40))).otherwise(line)).write.text(path)
+    good, bad = src.validate(src.read_jsonl(spark, path))
+    return good.groupBy("service", "level", F.lit("").alias("problems")).agg(F.count("*").alias("n")).unionByName(bad.groupBy("service", "level", F.array_join("problems", ",").alias("problems")).agg(F.count("*").alias("n")))
+
+
 def logs_import(spark, d):
     """Events of the services known to the lookup, others dropped, counted by level."""
     known = src.services(spark).where("name <> 'auth-service'")
@@ -262,7 +275,7 @@ def incident_members(spark, d):
 
 
 def incident_list(spark, d):
-    return incidents.summaries(members(spark, d), CFG, DAY0 + 31 * 86400).withColumn("services", F.array_join("services", ",")).orderBy(F.desc("start"), "incident_id").limit(50)
+    return incidents.summaries(members(spark, d), CFG, AS_OF).withColumn("services", F.array_join("services", ",")).orderBy(F.desc("start"), "incident_id").limit(50)
 
 
 def incident_timeline(spark, d):
@@ -312,10 +325,52 @@ def rca_accuracy(spark, d):
     return evaluate.topk_accuracy(ranked, "split")
 
 
+def rca_ablation(spark, d):
+    """Accuracy on the held-out incidents of rankers fitted without one feature each, and with all."""
+    rows, _, own = _features(spark, d)
+    known, _, _ = _ranker(spark, rows, own)
+    training, rest, got = known.where(~F.col("truth_id").isin(*HELD_OUT)), known.where(F.col("truth_id").isin(*HELD_OUT)), []
+    for dropped in (None, *rootcause.FEATURES):
+        names = tuple(n for n in rootcause.FEATURES if n != dropped)
+        model = rootcause.train(training, names)
+        ranked = rootcause.rank(rest, dict(zip(names, map(float, model.coefficients))), float(model.intercept))
+        got.append(ranked.withColumn("dropped", F.lit(dropped or "none")))
+    return evaluate.topk_accuracy(functools.reduce(DataFrame.unionByName, got), "dropped")
+
+
+def incident_labels(spark, d):
+    """Services of each incident, the first three by name and how many more; the lookup lacks one service, whose id is shown."""
+    return incidents.service_labels(members(spark, d), src.services(spark), src.services(spark).where("name <> 'auth-service'"))
+
+
+def incidents_overview(spark, d):
+    """Of the ten newest incidents: those still active at a fixed moment, and how many services they touch."""
+    last = incidents.summaries(members(spark, d), CFG, AS_OF).orderBy(F.desc("start"), "incident_id").limit(10)
+    return last.withColumn("service", F.explode_outer("services")).agg(F.count_distinct("incident_id").alias("incidents"), F.count_distinct(F.when(F.col("closed_at").isNull(), F.col("incident_id"))).alias("active"), F.count_distinct("service").alias("impacted"))
+
+
+def _detail(spark, base, own):
+    return incidents.detail(incidents.summaries(own, CFG, AS_OF), own, base)
+
+
+def incident_detail(spark, d):
+    base = alerts(spark, d)
+    items = F.transform("alerts", lambda a: F.concat_ws(" ", a["alert_id"], a["end"].cast("string"), a["severity"]))
+    return _detail(spark, base, members(spark, d, base)).select("incident_id", "status", "alert_count", "closed_at", F.array_join("services", ",").alias("services"), F.array_join(items, ";").alias("alerts"))
+
+
 def incident_briefing(spark, d):
     base = alerts(spark, d)
     own = members(spark, d, base)
-    return incidents.briefing(incidents.summaries(own, CFG), incidents.timeline(own, base), _ranked(spark, d, base, own))
+    got = incidents.briefing(_detail(spark, base, own), _ranked(spark, d, base, own))
+    return got.withColumns({c: F.array_join(c, "\n") for c in ("services", "evidence", "actions")})
+
+
+def chain_incidents(spark, d):
+    """Incidents of a chain of stages that ran over ten days and carried on over all logs."""
+    chain, own = Chain(spark, folder(spark), CFG, set(src.EDGES)), logs(spark, d)
+    chain.run(own.where(F.col("ts") < DAY0 + 10 * 86400))
+    return chain.run(own)["incidents"].withColumn("services", F.array_join("services", ","))
 
 
 # -- evaluation ---------------------------------------------------------------------------------------
@@ -351,6 +406,10 @@ def truth_matches(spark, d):
     return evaluate.match_one_to_one(evaluate.match_candidates(incidents.summaries(members(spark, d), CFG), truth(spark), CFG.min_overlap))
 
 
+def truth_matches_first_come(spark, d):
+    return evaluate.match_first_come(incidents.summaries(members(spark, d), CFG), truth(spark), 2 * CFG.min_overlap)
+
+
 # -- overview and health ------------------------------------------------------------------------------
 
 
@@ -378,7 +437,7 @@ def ingest_rate_limited(spark, d):
 
 
 def latency_summary(spark, d):
-    return logs(spark, d).where("latency_ms IS NOT NULL").groupBy("service").agg(F.round(F.percentile("latency_ms", 0.5), 4).alias("p50"), F.round(F.percentile("latency_ms", 0.99), 4).alias("p99"), F.round(F.avg("latency_ms"), 4).alias("mean"), F.min("latency_ms").alias("least"), F.max("latency_ms").alias("most"))
+    return logs(spark, d).where("latency_ms IS NOT NULL").groupBy("service").agg(F.round(F.percentile("latency_ms", 0.5), 4).alias("p50"), F.round(F.percentile("latency_ms", 0.95), 4).alias("p95"), F.round(F.percentile("latency_ms", 0.99), 4).alias("p99"), F.round(F.avg("latency_ms"), 4).alias("mean"), F.min("latency_ms").alias("least"), F.max("latency_ms").alias("most"))
 
 
 def truth_import(spark, d):
@@ -393,10 +452,10 @@ def stream_windows_append(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    logs_filter_page, logs_time_range, logs_by_trace, log_counts, logs_validate, logs_import, trace_spans, metric_windows_short, metric_windows_long, metric_windows_observed,
+    logs_filter_page, logs_time_range, logs_by_trace, log_counts, logs_validate, logs_jsonl, logs_import, trace_spans, metric_windows_short, metric_windows_long, metric_windows_observed,
     watermark_positions, late_logs, windows_resumed, anomalies_page, alerts_page, alert_detail, rca_accuracy, baselines_median_mad, mad_anomalies, anomaly_counts, iforest_anomalies, normal_windows, upsert_windows, alerts_debounced, dedup_edges_same_service,
     dedup_edges_shared_trace, dedup_pairs, canonical_alerts, dedup_reasons, dedup_compression, dependencies_named, graph_closure, blast_radius, affected_callers, incident_members,
-    incident_list, incident_timeline, incident_briefing, rca_features, rca_rank, rca_top3, truth_window_labels, confusion_matrix, pr_curve, pr_interpolated, truth_matches,
+    incident_list, incident_labels, incidents_overview, incident_detail, chain_incidents, truth_matches_first_come, rca_ablation, incident_timeline, incident_briefing, rca_features, rca_rank, rca_top3, truth_window_labels, confusion_matrix, pr_curve, pr_interpolated, truth_matches,
     overview_metrics, service_health, service_status, ingest_rate_limited, latency_summary, truth_import, stream_windows_append,
 )}
 SQL = sql.build(CFG, DAY0, TRUTH)

@@ -91,6 +91,8 @@ def build(cfg: Config, day0: int, truth: list) -> dict[str, str]:
         "log_counts": using(f"SELECT count(*) AS total, count(*) FILTER (WHERE {ERROR}) AS errors, count(*) FILTER (WHERE ts > {now - 18000} AND ts <= {now}) AS recent, round(count(*) FILTER (WHERE ts > {now - 18000} AND ts <= {now}) / 300, 2) AS per_minute FROM logs", until="logs"),
         "logs_validate": using("""SELECT problems, count(*) AS n FROM (SELECT concat_ws(',', CASE WHEN id % 50 = 0 THEN 'service' END, CASE WHEN id % 70 = 0 OR id % 80 = 0 THEN 'level' END, CASE WHEN id % 60 = 0 THEN 'message' END, CASE WHEN id % 90 = 0 THEN 'request_id' END,
             CASE WHEN id % 110 = 0 AND trace_id IS NOT NULL THEN 'trace_id' END, CASE WHEN latency_ms < 5 THEN 'latency_ms' END) AS problems FROM logs) GROUP BY 1""", until="logs"),
+        "logs_jsonl": using("""SELECT CASE WHEN id % 200 <> 0 THEN service END AS service, CASE WHEN id % 200 <> 0 THEN level END AS level, CASE WHEN id % 200 = 0 THEN 'timestamp,service,level,message' WHEN latency_ms < 0 THEN 'latency_ms' ELSE '' END AS problems, count(*) AS n
+            FROM logs GROUP BY 1, 2, 3""", until="logs"),
         "logs_import": using("SELECT s.id AS service_id, CASE WHEN level = 'DEBUG' THEN 'INFO' ELSE level END AS level, count(*) AS n, CAST(0 AS BIGINT) AS with_metadata FROM logs JOIN services s ON s.name = service WHERE service <> 'auth-service' GROUP BY 1, 2", until="services"),
         "trace_spans": using(f"SELECT trace_id, min(ts) AS first, max(ts) AS last, count(DISTINCT service) AS services, count(*) FILTER (WHERE {ERROR}) AS errors FROM logs WHERE trace_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT service) > 1", until="logs"),
         "metric_windows_short": using(f"SELECT {W} FROM b WHERE size = {small}", until="b"),
@@ -134,6 +136,6 @@ def build(cfg: Config, day0: int, truth: list) -> dict[str, str]:
         "service_health": using(f"SELECT {W} FROM b WHERE service = 'payment-service' AND size = {small} AND window_start BETWEEN {day0 + 86400} AND {day0 + 8 * 86400} ORDER BY window_start LIMIT 200", until="b"),
         "service_status": using(f"""SELECT service, max(window_start) AS window_start, arg_max(coalesce(error_rate, 0), window_start) * 100 AS error_percent, arg_max(coalesce(coalesce(error_rate, 0) * 100 >= 5 OR p95_latency_ms >= 500, coalesce(error_rate, 0) * 100 >= 5), window_start) AS degraded FROM b WHERE size = {large} GROUP BY 1""", until="b"),
         "ingest_rate_limited": using("SELECT ts - ts % 3600 AS window_start, left(sha256(service), 24) AS identity_hash, count(*) AS requests FROM logs GROUP BY 1, 2 HAVING count(*) > 5", until="logs"),
-        "latency_summary": using("SELECT service, round(quantile_cont(latency_ms, 0.5), 4) AS p50, round(quantile_cont(latency_ms, 0.99), 4) AS p99, round(avg(latency_ms), 4) AS mean, min(latency_ms) AS least, max(latency_ms) AS most FROM logs WHERE latency_ms IS NOT NULL GROUP BY 1", until="logs"),
+        "latency_summary": using("SELECT service, round(quantile_cont(latency_ms, 0.5), 4) AS p50, round(quantile_cont(latency_ms, 0.95), 4) AS p95, round(quantile_cont(latency_ms, 0.99), 4) AS p99, round(avg(latency_ms), 4) AS mean, min(latency_ms) AS least, max(latency_ms) AS most FROM logs WHERE latency_ms IS NOT NULL GROUP BY 1", until="logs"),
         "truth_import": using("SELECT truth_id AS truth_incident_id, r.id AS root_id, string_agg(s.id, ',' ORDER BY s.id) AS affected_ids FROM (SELECT *, unnest(affected) AS one FROM truth) t JOIN services r ON r.name = root JOIN services s ON s.name = one WHERE truth_id NOT IN ('t1', 't2') GROUP BY 1, 2", until="truth"),
     } | fold_sql.queries(cfg, using, day0 + 31 * 86400)

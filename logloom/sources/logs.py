@@ -89,7 +89,11 @@ def epoch_seconds(rows: DataFrame, name: str) -> Column:
 
 def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as logs; times are epoch seconds."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return as_logs(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def as_logs(e: DataFrame) -> DataFrame:
+    """Events, of a table or a stream, as logs."""
     kind, value = F.col("event_type"), F.col("value")
     key = F.get_json_object("props", "$.k")
     ts = epoch_seconds(e, "ts")

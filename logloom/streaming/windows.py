@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..operators.upsert import upsert
 from ..operators.windows import is_error
-from ..sources.logs import SERVICES
+from ..sources.logs import SERVICES, as_logs
 from ..sources.stages import folder, stored
 
 
@@ -30,6 +30,11 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1, s
     )
 
 
+def log_stream(spark: SparkSession, sf_dir: str, schema, files_per_trigger: int = 1) -> DataFrame:
+    """Files of events as they come, as logs."""
+    return as_logs(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{sf_dir}/events*.parquet"))
+
+
 def windowed(stream: DataFrame, size: int, grace: int) -> DataFrame:
     """Counts and errors per service and tumbling window. A window is emitted once the watermark (of the whole query) passes its end; later logs are dropped."""
     own = stream.withWatermark("timestamp", f"{grace} seconds").groupBy("service", F.window("timestamp", f"{size} seconds").alias("w"))
@@ -56,9 +61,12 @@ class Table:
         self.rows = stored(batch if self.rows is None else upsert(self.rows, batch, self.keys))
 
 
-def live(stream: DataFrame, table: Table, out: str | None = None, seconds: int | None = None):
-    """Writes each micro-batch into the table, every `seconds` or until what there is is done. A batch is repeated whole after a failure."""
-    writer = stream.writeStream.outputMode("update").foreachBatch(table.write).option("checkpointLocation", f"{out or folder(stream.sparkSession)}/state")
+def live(stream: DataFrame, table, out: str | None = None, seconds: int | None = None):
+    """Writes each micro-batch into the table (a Table, or the chain of stages), every `seconds` or until what there is is done.
+
+    A batch is repeated whole after a failure. Streams without an aggregation come in append mode.
+    """
+    writer = stream.writeStream.outputMode("append" if hasattr(table, "run") else "update").foreachBatch(table.write).option("checkpointLocation", f"{out or folder(stream.sparkSession)}/state")
     return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()
 
 
