@@ -292,7 +292,7 @@ def _features(spark, d, base=None, own=None):
 def _ranker(spark, rows, own):
     """A ranker fitted on the labelled incidents of the training split, kept in a registry and read back from it."""
     found = evaluate.match_one_to_one(evaluate.match_candidates(incidents.summaries(own, CFG), truth(spark), CFG.min_overlap))
-    known = stored(rootcause.labelled(rows, found, truth(spark)))
+    known = stored(rootcause.labelled(rows, found, truth(spark)).coalesce(1))  # one row per service of a labelled incident
     model = rootcause.train(known.where(~F.col("truth_id").isin(*HELD_OUT)))
     path = folder(spark)
     rootcause.save(spark, path, "ranker", model, "2024-01-31")
