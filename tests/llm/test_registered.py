@@ -39,7 +39,8 @@ def folder(spark, texts, tmp_path_factory):
     docs.repartition(3).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(i, int(i % 4 > 0), 0) for i, _ in texts] + [(None, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     docs.limit(0).write.parquet(f"{d}/none/documents.parquet")
-    spark.createDataFrame([], "doc_id bigint, quality int").write.parquet(f"{d}/none/labels.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/none/labels.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{d}/none/benchmark.parquet")
     spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{d}/none/embeddings.parquet")
     spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{d}/none/conversations.parquet")
     return d
