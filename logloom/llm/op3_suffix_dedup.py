@@ -327,8 +327,15 @@ def wanted_of(back: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[by], hot[by]
 
 
+def cut_apart(text: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """gone and all other bytes of those UTF-8 characters that lose a byte."""
+    character = np.cumsum((text & 0xC0) != 0x80)
+    return np.bincount(character, gone, minlength=len(text) + 1)[character] > 0
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES, hot_count: int = HOT, texts: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row, and the kept bytes as kept where texts is set."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row. Where texts is set, also kept_text: the kept bytes without those
+    characters of which a byte is removed, so that each cut lies between two characters; all others stay as they are."""
     blocks = written(blocks_of(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), block_bytes))
     parts = int(max(64, -(-(blocks.agg(F.sum("bytes")).first()[0] or 0) // part_bytes)))
 
@@ -423,17 +430,18 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for i, a, b in zip(ids.tolist(), begin.tolist(), ends.tolist()):
                 g = gone[a:b]
                 kept = text[a:b][~g].tobytes()
-                done.append((b - a, int(g.sum()), int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()), kept))
+                whole = text[a:b][~cut_apart(text[a:b], g)].tobytes().decode("utf-8", "replace") if texts else None
+                done.append((b - a, int(g.sum()), int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()), whole, kept))
                 rows.append((i, *done[-1]))
             copies = np.frombuffer(row.copies, "<i8").reshape(-1, 2).tolist()
             for i, at in copies:
                 size = done[at][0]
-                rows.append((i, *(done[at] if i == ids[at] or size < LENGTH else (size, size, 1, b""))))
-        return pd.DataFrame([(i, *x, k if texts else None, hashlib.sha256(k).hexdigest()) for i, *x, k in rows], columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+                rows.append((i, *(done[at] if i == ids[at] or size < LENGTH else (size, size, 1, "" if texts else None, b""))))
+        return pd.DataFrame([(i, *x, hashlib.sha256(k).hexdigest()) for i, *x, k in rows], columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_text", "kept_sha256"])
 
-    out = blocks.drop("bytes").groupBy("block").cogroup(told.groupBy("block")).applyInPandas(remove, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
+    out = blocks.drop("bytes").groupBy("block").cogroup(told.groupBy("block")).applyInPandas(remove, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_text string, kept_sha256 string")
     out = out.withColumn("doc_id", F.when(F.col("doc_id") != int(LAST), F.col("doc_id")))
-    return out if texts else out.drop("kept")
+    return out if texts else out.drop("kept_text")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

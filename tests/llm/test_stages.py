@@ -1,5 +1,6 @@
 """Stages of the corpus pipeline by themselves."""
 
+import hashlib
 import random
 import re
 
@@ -72,3 +73,29 @@ def test_rows_without_id_pass_all_stages(spark, near_texts):
     rest = corpus_pipeline.repeated_passages(spark, near, "").collect()
     assert len(rest) == len(got) and {r.text for r in rest if r.doc_id is None} >= set(alone[2:])
     assert sum(passage in (r.text or "") for r in rest) == 1 and any(r.doc_id == 9000 and passage in r.text for r in rest)
+
+
+def test_rows_that_share_an_id(spark, near_texts):
+    """Each stage returns at most the rows it gets; of rows with one id, distinct texts stay, and in the same way for any order of rows."""
+    rng = random.Random(13)
+    one, two, three = (" ".join(rng.choices(WORDS, k=60)) for _ in range(3))
+    rows = [(1, one), (1, two), (1, two), (2, three), (2, f"{three} more"), (3, one), (4, " ".join(rng.choices(WORDS, k=60)))]
+    for shuffled in (rows, rows[::-1]):
+        docs = frame(spark, shuffled)
+        near = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+        # Ids of single rows come first, so 3 stays and its copy under id 1 goes; two stays once; one of three's two texts stays.
+        assert sorted((r.doc_id, r.text) for r in near if r.doc_id != 2) == sorted([(1, two), (3, one), rows[-1]])
+        assert [r.text for r in near if r.doc_id == 2] == [min((three, f"{three} more"), key=lambda t: hashlib.sha256(t.encode()).hexdigest())]
+        rest = corpus_pipeline.repeated_passages(spark, docs, "").collect()
+        assert len(rest) == len(rows) and sorted(r.text for r in rest if r.doc_id == 1) == sorted(["", "", two])
+        assert {r.text for r in rest if r.doc_id in (3, 4)} == {one, rows[-1][1]}
+
+
+def test_cuts_fall_between_characters(spark):
+    """Replacement characters of a document stay; of a character that a cut splits nothing is left, also at both ends of a cut."""
+    filler = "plain words that are long enough to make up a passage of fifty bytes"
+    rows = [(1, f"ä{filler}ö"), (2, f"keep � this ã{filler}õ and � that"), (3, f"�{filler}"), (4, "��")]
+    got = {r.doc_id: r for r in corpus_pipeline.repeated_passages(spark, frame(spark, rows), "").collect()}
+    assert got[1].text == rows[0][1] and got[4].text == rows[3][1] and got[3].text == "�"
+    # ö is c3 b6 and õ is c3 b5: the shared c3 goes, and the rest of õ with it.
+    assert got[2].text == "keep � this ã and � that" and got[2].n_chars == len(got[2].text)
