@@ -10,7 +10,7 @@ from ..config import Config
 from ..functions.scalar import SEVERITIES
 from ..sources.stages import stored
 from .graph import components
-from .intervals import overlap_pairs
+from .intervals import bucketed, overlap_pairs
 
 ALERT = "alert_id string, service string, anomaly_type string, start bigint, end bigint, severity string, observed double, baseline double, anomaly_ids array<string>"
 
@@ -23,15 +23,6 @@ def gap_groups(rows: DataFrame, keys: list[str], start: str, reach: str, gap: in
     return rows.withColumn("fresh", fresh).withColumn(name, F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("fresh")
 
 
-def stretches(rows: DataFrame, time: str, gap: int, name: str) -> DataFrame:
-    """Numbers the stretches of rows between gaps of more than `gap` in time. Rows are reduced to their buckets of `gap` first,
-    since no such gap lies inside one; only those go through a window over all."""
-    bucket = F.floor(F.col(time) / gap)
-    per = rows.groupBy(bucket.alias("bucket")).agg(F.min(time).alias("low"), F.max(time).alias("high"))
-    per = gap_groups(per.withColumn("all", F.lit(0)), ["all"], "low", "high", gap, ["bucket"], name).select("bucket", name)
-    return rows.withColumn("bucket", bucket).join(per, "bucket").drop("bucket")
-
-
 def debounce(anomalies: DataFrame, cfg: Config) -> DataFrame:
     """Alerts: an anomaly extends the last alert of its service and type when near enough and the alert stays short enough.
 
@@ -69,10 +60,46 @@ def alert_traces(alerts: DataFrame, logs: DataFrame, width: int) -> DataFrame:
     return own.join(spread, ["service", "bucket"]).where("ts BETWEEN start AND end").select("alert_id", "service", "start", "end", "trace_id").distinct()
 
 
-def shared_trace_edges(alerts: DataFrame, logs: DataFrame, cfg: Config) -> DataFrame:
+#: Classes whose members are marked in the bits of one long, and about as many classes are numbered together.
+_BITS, _LANE = 60, 600
+
+
+def trace_classes(held: DataFrame, width: int, pad: int) -> DataFrame:
+    """held(alert_id, service, start, end, trace_id) as rows per alert, bucket of time and chunk of classes, with the classes as bits.
+
+    Traces that hold the same alerts in a bucket are one class there; classes of a single service are left out, since they make no
+    pair. Sets are compared by two 64-bit sums without carry (xor) of their members' hashes and by size, so no trace is gathered in one
+    place. Classes with the same first alert are numbered near each other. An alert is in each bucket that it touches within pad.
+    """
+    own = bucketed(held.withColumn("until", F.col("end") + pad), "start", "until", width, "bucket").drop("until")
+    sign = [F.bit_xor(F.xxhash64(F.lit(k), "alert_id")).alias(f"h{k}") for k in (1, 2)]
+    sets = own.groupBy("bucket", "trace_id").agg(F.count("*").alias("n"), *sign, F.min("service").alias("s1"), F.max("service").alias("s2"), F.min("alert_id").alias("first"))
+    one = sets.where("s1 <> s2").groupBy("bucket", "n", "h1", "h2").agg(F.min("trace_id").alias("trace_id"), F.min("first").alias("first"))
+    many = one.groupBy("bucket").agg(F.ceil(F.count("*") / _LANE).alias("lanes"))
+    one = one.join(many, "bucket").withColumn("lane", F.pmod(F.xxhash64("first"), F.col("lanes")))
+    place = F.row_number().over(Window.partitionBy("bucket", "lane").orderBy("first", "h1", "h2", "n")) - 1
+    one = one.select("bucket", "trace_id", "lane", F.floor(place / _BITS).alias("chunk"), F.pmod(place, F.lit(_BITS)).alias("bit"))
+    bits = F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")
+    return own.join(one, ["bucket", "trace_id"]).groupBy("bucket", "lane", "chunk", "alert_id", "service", "start", "end").agg(bits)
+
+
+def shared_trace_pairs(alerts: DataFrame, logs: DataFrame, cfg: Config) -> DataFrame:
+    """Pairs (a, b) of alerts of different services that come near in time and share a trace, once for each chunk of classes with such a trace."""
     width = max(cfg.alert_max, cfg.dedup_trace)
-    pairs = overlap_pairs(alert_traces(alerts, logs, width), ["trace_id"], cfg.dedup_trace, width)
-    return pairs.where("a_service <> b_service").select(F.col("a_alert_id").alias("a"), F.col("b_alert_id").alias("b"), F.lit(1).alias("rule")).distinct()
+    own = trace_classes(alert_traces(alerts, logs, width), width, cfg.dedup_trace)
+    chunk = ["bucket", "lane", "chunk"]
+    side = lambda name: own.select(*chunk, *(F.col(c).alias(f"{name}_{c}") for c in ("alert_id", "service", "start", "end", "bits")))
+    near = (F.col("b_start") <= F.col("a_end") + cfg.dedup_trace) & (F.col("b_end") >= F.col("a_start") - cfg.dedup_trace)
+    # A pair belongs to the first bucket that both touch, so buckets make no pair twice.
+    first = F.col("bucket") == F.floor(F.greatest("a_start", "b_start") / width)
+    before = F.struct("a_start", "a_alert_id") < F.struct("b_start", "b_alert_id")
+    shared = F.col("a_bits").bitwiseAND(F.col("b_bits")) != 0
+    pairs = side("a").join(side("b"), chunk).where(near & first & before & shared & (F.col("a_service") != F.col("b_service")))
+    return pairs.select(F.col("a_alert_id").alias("a"), F.col("b_alert_id").alias("b"), F.lit(1).alias("rule"))
+
+
+def shared_trace_edges(alerts: DataFrame, logs: DataFrame, cfg: Config) -> DataFrame:
+    return shared_trace_pairs(alerts, logs, cfg).distinct()
 
 
 def duplicates(alerts: DataFrame, edges: DataFrame, cfg: Config) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.scalar import SEVERITIES, confidence
-from .alerts import stretches
-from .graph import reachable
+from ..sources.stages import stored
+from .alerts import gap_groups
+from .graph import components, reachable
 
 INCIDENT = "incident_id string, alert_id string, start bigint, end bigint, severity string, services array<string>"
 
@@ -25,42 +28,123 @@ def named_edges(dependencies: DataFrame, services: DataFrame) -> DataFrame:
     return dependencies.join(up, "upstream_id").join(down, "downstream_id")
 
 
-def cluster(alerts: DataFrame, pairs: DataFrame, adjacent: set[tuple[str, str]], cfg: Config) -> DataFrame:
-    """Incident of each alert. Groups (a canonical alert with its duplicates) go in order of start; each joins the open incidents that are
-    near in time and share or neighbour a service: none opens one, several are merged into the oldest.
+def neighbours(adjacent: set[tuple[str, str]]) -> set[tuple[str, str]]:
+    """Ordered pairs of services with an edge in either direction."""
+    return adjacent | {(b, a) for a, b in adjacent}
+
+
+def attach(open_: list[dict], group: dict, near: set[tuple[str, str]], cfg: Config) -> dict:
+    """Takes a group of alerts into the open incidents that are near in time and share or neighbour a service: none opens one, several are merged into the oldest.
+
+    group: id, start and end of its first alert, and alerts as (id, service, end, rank of severity). Returns the incident, which is in open_.
+    """
+
+    def fits(i: dict) -> bool:
+        if group["start"] > i["end"] + cfg.proximity or group["start"] < i["start"] - cfg.proximity or group["end"] > i["start"] + cfg.incident_max:
+            return False
+        return any(service == s or (service, s) in near for _, service, _, _ in group["alerts"] for s in i["services"])
+
+    found = sorted(filter(fits, open_), key=lambda i: (i["start"], i["id"]))
+    if not found:
+        found = [{"id": "I|" + group["id"], "start": group["start"], "end": group["end"], "rank": 0, "services": [], "alerts": []}]
+        open_ += found
+    target, *others = found
+    for o in others:
+        target["alerts"] += o["alerts"]
+        target["services"] += [s for s in o["services"] if s not in target["services"]]
+        target["start"], target["end"], target["rank"] = min(target["start"], o["start"]), max(target["end"], o["end"]), max(target["rank"], o["rank"])
+        open_.remove(o)
+    for alert, service, end, rank in group["alerts"]:
+        target["alerts"].append(alert)
+        target["services"] += [service] if service not in target["services"] else []
+        target["end"], target["rank"] = max(target["end"], end), max(target["rank"], rank)
+    return target
+
+
+def grouped(alerts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row per canonical alert: group, start and end of it, last (the end of all its alerts), services, and alerts as structs."""
+    member = alerts.join(pairs.select(F.col("duplicate").alias("alert_id"), "canonical"), "alert_id", "left").withColumn("group", F.coalesce("canonical", "alert_id"))
+    head = F.when(F.col("alert_id") == F.col("group"), F.struct("start", "end"))
+    item = F.struct("start", "alert_id", "service", "end", "severity")
+    own = member.groupBy("group").agg(F.max(head).alias("head"), F.max("end").alias("last"), F.collect_set("service").alias("services"), F.array_sort(F.collect_list(item)).alias("alerts"))
+    return own.select("group", "head.start", "head.end", "last", "services", "alerts")
+
+
+def interacting(groups: DataFrame, adjacent: set[tuple[str, str]], cfg: Config) -> DataFrame:
+    """groups with a part: groups of different parts never meet in an incident.
+
+    A group joins an incident only if some member shares or neighbours one of its services and starts at most the longest duration
+    away, so parts are the components of such pairs. Pairs aren't built: of the groups around a service, all that start in one
+    bucket of that duration are linked with one that has the service, and with those of the buckets before and behind if near enough.
+    """
+    spark = groups.sparkSession
+    around = spark.createDataFrame(sorted(neighbours(adjacent)), "own string, other string")
+    has = groups.select("group", "start", F.explode("services").alias("service"))
+    entry = has.unionByName(has.join(F.broadcast(around), F.col("service") == F.col("own")).select("group", "start", F.col("other").alias("service")))
+    bucket = F.floor(F.col("start") / cfg.incident_max)
+    entry, has = entry.withColumn("bucket", bucket), has.withColumn("bucket", bucket)
+    per = has.groupBy("service", "bucket").agg(F.min("group").alias("one"), F.min("start").alias("low"), F.max("start").alias("high"))
+    shifted = [per.withColumn("bucket", F.col("bucket") + k) for k in (-1, 0, 1)]
+    near = F.greatest(F.col("low") - F.col("start"), F.col("start") - F.col("high")) <= cfg.incident_max
+    edges = entry.join(shifted[0].unionByName(shifted[1]).unionByName(shifted[2]), ["service", "bucket"]).where(near).select(F.col("group").alias("a"), F.col("one").alias("b"))
+    part = components(edges).select(F.col("node").alias("group"), F.col("component").alias("part"))
+    return groups.join(part, "group", "left").withColumn("part", F.coalesce("part", "group"))
+
+
+def folds(alerts: DataFrame, pairs: DataFrame, adjacent: set[tuple[str, str]], cfg: Config, segment: int) -> DataFrame:
+    """Groups of alerts with part, stretch and segment: each (part, stretch) is folded apart from all others.
+
+    A group joins no incident when it starts later than every member's last end and proximity, or start and longest duration,
+    whichever is less; parts are cut at such places. segment numbers spans of that many seconds inside a stretch.
+    """
+    own = interacting(stored(grouped(alerts, pairs)), adjacent, cfg)
+    own = own.withColumn("reach", F.least(F.col("last") + cfg.proximity, F.col("start") + cfg.incident_max))
+    return gap_groups(own, ["part"], "start", "reach", 0, ["start", "group"], "stretch").drop("reach").withColumn("segment", F.floor(F.col("start") / segment))
+
+
+_PLACE = ["part", "stretch", "segment"]
+_FOLDED = f"part string, stretch bigint, segment bigint, {INCIDENT}, state string"
+
+
+def cluster(alerts: DataFrame, pairs: DataFrame, adjacent: set[tuple[str, str]], cfg: Config, segment: int | None = None) -> DataFrame:
+    """Incident of each alert. Groups (a canonical alert with its duplicates) go in order of start into open incidents, as attach() says.
 
-    No incident takes an alert that starts more than its longest duration later, so stretches between such gaps are folded alone.
+    Steady alerts make stretches without an end, so a stretch is folded in segments at the same time: each begins with the incidents
+    that the one before leaves open, at first with none. Segments whose beginning turns out otherwise are folded again, until all
+    agree, which gives the result of one fold over all. Incidents are short against a segment, so what a segment leaves open rarely
+    depends on its beginning, and rounds are few; there are at most as many as a stretch has segments.
     """
-    member = alerts.join(pairs.select(F.col("duplicate").alias("alert_id"), "canonical"), "alert_id", "left").withColumn("canonical", F.coalesce("canonical", "alert_id"))
-    heads = alerts.join(pairs.select(F.col("duplicate").alias("alert_id")), "alert_id", "left_anti").select("alert_id", "start")
-    heads = stretches(heads, "start", cfg.incident_max, "stretch")
-    rows = member.join(heads.select(F.col("alert_id").alias("canonical"), "stretch"), "canonical")
-
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        near = lambda a, b: a == b or (a, b) in adjacent or (b, a) in adjacent
-        groups, open_ = {}, []
-        for r in f.sort_values(["start", "alert_id"]).itertuples():
-            groups.setdefault(r.canonical, []).append(r)
-        order = sorted(groups, key=lambda c: next((r.start, r.alert_id) for r in groups[c] if r.alert_id == c))
-        for c in order:
-            head, mine = next(r for r in groups[c] if r.alert_id == c), groups[c]
-            fits = [i for i in open_ if head.start <= i["end"] + cfg.proximity and head.start >= i["start"] - cfg.proximity and head.end <= i["start"] + cfg.incident_max and any(near(r.service, s) for r in mine for s in i["services"])]
-            if not fits:
-                fits = [{"id": "I|" + c, "start": head.start, "end": head.end, "rank": 0, "services": [], "alerts": []}]
-                open_ += fits
-            target, *others = sorted(fits, key=lambda i: (i["start"], i["id"]))
-            for o in others:
-                target["alerts"] += o["alerts"]
-                target["services"] += [s for s in o["services"] if s not in target["services"]]
-                target["start"], target["end"], target["rank"] = min(target["start"], o["start"]), max(target["end"], o["end"]), max(target["rank"], o["rank"])
-                open_.remove(o)
-            for r in mine:
-                target["alerts"].append(r.alert_id)
-                target["services"] += [r.service] if r.service not in target["services"] else []
-                target["end"], target["rank"] = max(target["end"], r.end), max(target["rank"], SEVERITIES.index(r.severity))
-        return pd.DataFrame([(i["id"], a, i["start"], i["end"], SEVERITIES[i["rank"]], sorted(i["services"])) for i in open_ for a in i["alerts"]], columns=[x.split()[0] for x in INCIDENT.split(", ")])
-
-    return rows.select("alert_id", "canonical", "service", "start", "end", "severity", "stretch").groupBy("stretch").applyInPandas(fold, INCIDENT)
+    segment, near = segment or 8 * cfg.incident_max, neighbours(adjacent)
+    names = [x.split()[0] for x in _FOLDED.split(", ")]
+
+    def fold(f: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
+        open_: list[dict] = json.loads(begin.state.iloc[0])
+        place = [begin[c].iloc[0] for c in _PLACE]
+        for r in f.sort_values(["start", "group"]).itertuples():
+            attach(open_, {"id": r.group, "start": r.start, "end": r.end, "alerts": [(a["alert_id"], a["service"], a["end"], SEVERITIES.index(a["severity"])) for a in r.alerts]}, near, cfg)
+        ahead = begin["next"].iloc[0]
+        alive = [] if pd.isna(ahead) else [i for i in open_ if min(i["end"] + cfg.proximity, i["start"] + cfg.incident_max) >= ahead * segment]
+        rows = [(*place, i["id"], a, i["start"], i["end"], SEVERITIES[i["rank"]], sorted(i["services"]), None) for i in open_ if i not in alive for a in i["alerts"]]
+        left = json.dumps(sorted(alive, key=lambda i: i["id"]))
+        return pd.DataFrame([*rows, (*place, None, None, 0, 0, None, [], left)], columns=names)
+
+    rows = stored(folds(alerts, pairs, adjacent, cfg, segment).select("group", "start", "end", "alerts", *_PLACE))
+    places = rows.select(_PLACE).distinct().withColumn("next", F.lead("segment").over(Window.partitionBy("part", "stretch").orderBy("segment")))
+    begins = stored(places.withColumn("state", F.lit("[]")))
+    folded = lambda rows, begins: stored(rows.groupBy(_PLACE).cogroup(begins.groupBy(_PLACE)).applyInPandas(fold, _FOLDED))
+    members = [x.split()[0] for x in INCIDENT.split(", ")]
+    made = done = folded(rows, begins)
+    if not begins.where("next IS NOT NULL").take(1):
+        return done.where("state IS NULL").select(members)
+    while True:
+        left = made.where("state IS NOT NULL").select(*_PLACE, "state").join(begins.select(*_PLACE, "next"), _PLACE).where("next IS NOT NULL")
+        left = left.select("part", "stretch", F.col("next").alias("segment"), F.col("state").alias("new"))
+        todo = stored(begins.join(left, _PLACE).where("state <> new").select(*_PLACE, "next", F.col("new").alias("state")))
+        if not todo.take(1):
+            return done.where("state IS NULL").select(members)
+        begins = stored(begins.join(todo.select(_PLACE), _PLACE, "left_anti").select(todo.columns).unionByName(todo))
+        made = folded(rows.join(todo.select(_PLACE), _PLACE, "left_semi"), todo)
+        done = stored(done.join(todo.select(_PLACE), _PLACE, "left_anti").select(made.columns).unionByName(made))
 
 
 def summaries(members: DataFrame, cfg: Config, as_of: int | None = None) -> DataFrame:
