@@ -42,16 +42,19 @@ def resumed(old: DataFrame, logs: DataFrame, cfg: Config) -> DataFrame:
     return old.unionByName(metric_windows(logs, cfg, since=since).select(old.columns))
 
 
-def metric_windows(logs: DataFrame, cfg: Config, dense: bool = True, since: DataFrame | None = None) -> DataFrame:
+def metric_windows(logs: DataFrame, cfg: Config, dense: bool = True, since: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """Closed windows with counts, error rate, p50, p95 and distinct messages; windows without logs are rows, too.
 
     since: (service, size, since) where an earlier run ended; windows before that are left out, and so are their logs.
+    most: windows of a service and size at most, the earliest ones.
     """
     sized = logs.withColumn("size", F.explode(F.array(*(F.lit(w).cast("bigint") for w in cfg.windows)))).withColumn("window_start", floor_to(F.col("ts"), F.col("size")))
     closed = positions(logs, cfg)
     if since is not None:
         sized = sized.join(since, ["service", "size"], "left").where("since IS NULL OR ts >= since").drop("since")
         closed = closed.join(since, ["service", "size"], "left").withColumn("first", F.coalesce("since", "first")).drop("since")
+    if most is not None:
+        closed = closed.withColumn("effective_end", F.least("effective_end", F.col("first") + most * F.col("size")))
     got = sized.groupBy(*KEY).agg(F.count("request_id").alias("request_count"), F.count_if(is_error()).alias("error_count"), F.count_distinct("message").alias("unique_messages"))
     got = got.join(percentiles(sized, {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95}), KEY, "left")
     if dense:

@@ -13,10 +13,11 @@ from ..operators import alerts as al
 from ..operators import detect, evaluate, incidents, rootcause, upsert
 from ..operators import windows as win
 from ..sources import logs as src
+from ..sources.days import LogStore
 from ..sources.stages import folder, stored
 from ..streaming import windows as live
 from . import sql
-from .chain import Chain
+from .chain import AGGREGATE, STAGES, Chain
 
 CFG = Config().scaled(60)
 DAY0 = 1704067200
@@ -32,8 +33,8 @@ TRUTH = [
 HELD_OUT = ("t5", "t6")
 
 
-def logs(spark, d):
-    return src.from_events(spark, d)
+def logs(spark, d, start=None, end=None):
+    return src.from_events(spark, d, start, end)
 
 
 def truth(spark) -> DataFrame:
@@ -78,7 +79,7 @@ def logs_filter_page(spark, d):
 
 
 def logs_time_range(spark, d):
-    return src.filtered(logs(spark, d), start=DAY0 + 86400, end=DAY0 + 2 * 86400)
+    return logs(spark, d, DAY0 + 86400, DAY0 + 2 * 86400)
 
 
 def logs_by_trace(spark, d):
@@ -164,10 +165,19 @@ def late_logs(spark, d):
     return own.where(F.col("ts") - F.pmod("ts", F.lit(size)) + size <= F.col("seen") - CFG.grace).groupBy("service").agg(F.count("*").alias("late"))
 
 
+def _chain(spark, d, stages) -> DataFrame:
+    """The last of the stages after three batches of logs into a store: each run reads the days behind the one before."""
+    chain, every = Chain(spark, folder(spark), CFG, set(src.EDGES)), logs(spark, d)
+    store = LogStore(spark, f"{chain.base}/logs", every.schema)
+    for k, (start, end) in enumerate(((None, 10), (10, 20), (20, None))):
+        store.append(logs(spark, d, start and DAY0 + start * 86400, end and DAY0 + end * 86400 - 1), k)
+        got = chain.run(store, stages, number=k)
+    return got[stages[-1]]
+
+
 def windows_resumed(spark, d):
-    """Windows of a run over ten days, carried on from where it ended over all logs."""
-    old = stored(win.metric_windows(logs(spark, d).where(F.col("ts") < DAY0 + 10 * 86400), CFG).select(_W))
-    return win.resumed(old, logs(spark, d), CFG)
+    """Windows of three runs, of which the later ones read only the days behind the windows that are there."""
+    return _chain(spark, d, AGGREGATE).select(_W)
 
 
 def anomalies_page(spark, d):
@@ -198,11 +208,10 @@ def normal_windows(spark, d):
 
 def upsert_windows(spark, d):
     """Windows of a first run, replaced by a second run over more logs; the closing time of the first run stays."""
-    all_logs = logs(spark, d)
     size = [max(CFG.windows)]
     cfg = Config(windows=tuple(size), grace=CFG.grace)
-    old = win.metric_windows(all_logs.where(F.col("ts") < DAY0 + 10 * 86400), cfg).select("service", "window_start", "request_count", F.lit(1).alias("run"), F.lit(1).alias("first_run"))
-    new = win.metric_windows(all_logs.where(F.col("ts") < DAY0 + 20 * 86400), cfg).where(F.col("window_start") >= DAY0 + 5 * 86400).select("service", "window_start", "request_count", F.lit(2).alias("run"), F.lit(2).alias("first_run"))
+    old = win.metric_windows(logs(spark, d, end=DAY0 + 10 * 86400 - 1), cfg).select("service", "window_start", "request_count", F.lit(1).alias("run"), F.lit(1).alias("first_run"))
+    new = win.metric_windows(logs(spark, d, end=DAY0 + 20 * 86400 - 1), cfg).where(F.col("window_start") >= DAY0 + 5 * 86400).select("service", "window_start", "request_count", F.lit(2).alias("run"), F.lit(2).alias("first_run"))
     return upsert.upsert(old, new, ["service", "window_start"], keep_first=("first_run",)).groupBy("service", "run", "first_run").agg(F.count("*").alias("n"), F.sum("request_count").alias("requests"))
 
 
@@ -367,10 +376,8 @@ def incident_briefing(spark, d):
 
 
 def chain_incidents(spark, d):
-    """Incidents of a chain of stages that ran over ten days and carried on over all logs."""
-    chain, own = Chain(spark, folder(spark), CFG, set(src.EDGES)), logs(spark, d)
-    chain.run(own.where(F.col("ts") < DAY0 + 10 * 86400))
-    return chain.run(own)["incidents"].withColumn("services", F.array_join("services", ","))
+    """Incidents of a chain of stages that ran over ten days, carried on over ten more and then over the rest."""
+    return _chain(spark, d, STAGES).withColumn("services", F.array_join("services", ","))
 
 
 # -- evaluation ---------------------------------------------------------------------------------------

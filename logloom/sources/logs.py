@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,9 +89,18 @@ def epoch_seconds(rows: DataFrame, name: str) -> Column:
     return F.unix_seconds(name)
 
 
-def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as logs; times are epoch seconds."""
-    return as_logs(spark.read.parquet(f"{sf_dir}/events.parquet"))
+def in_range(e: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Events from start to end (epoch seconds, both included). The bounds are on ts itself, so that they reach the scan."""
+    zoneless = e.schema["ts"].dataType == T.TimestampNTZType()
+    bound = lambda s: F.lit(datetime.datetime(1970, 1, 1) + datetime.timedelta(seconds=s)).cast("timestamp_ntz") if zoneless else F.timestamp_seconds(F.lit(s))
+    if start is not None:
+        e = e.where(F.col("ts") >= bound(start))
+    return e if end is None else e.where(F.col("ts") < bound(end + 1))
+
+
+def from_events(spark: SparkSession, sf_dir: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    """The events table, or those from start to end, as logs; times are epoch seconds."""
+    return as_logs(in_range(spark.read.parquet(f"{sf_dir}/events.parquet"), start, end))
 
 
 def as_logs(e: DataFrame) -> DataFrame:

@@ -23,4 +23,18 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or folder(spark)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for t in tables:
+        removed(t.sparkSession, t.stored_path)
