@@ -23,6 +23,14 @@ def gap_groups(rows: DataFrame, keys: list[str], start: str, reach: str, gap: in
     return rows.withColumn("fresh", fresh).withColumn(name, F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("fresh")
 
 
+def extended(alert: dict | None, anomaly: str, at: int, size: int, severity: str, cfg: Config) -> dict | None:
+    """The last alert of a service and type with one more anomaly, or None if that is too far away or the alert would last too long."""
+    if not alert or alert["end"] < at - cfg.debounce or alert["start"] > at + cfg.debounce or at + size > alert["start"] + cfg.alert_max:
+        return None
+    ids = alert["anomaly_ids"]
+    return {**alert, "end": max(alert["end"], at + size), "rank": max(alert["rank"], SEVERITIES.index(severity)), "anomaly_ids": ids if anomaly in ids else [*ids, anomaly]}
+
+
 def debounce(anomalies: DataFrame, cfg: Config) -> DataFrame:
     """Alerts: an anomaly extends the last alert of its service and type when near enough and the alert stays short enough.
 
@@ -34,14 +42,11 @@ def debounce(anomalies: DataFrame, cfg: Config) -> DataFrame:
     def fold(f: pd.DataFrame) -> pd.DataFrame:
         f, out = f.sort_values(["window_start", "id"]), []
         for r in f.itertuples():
-            t, end, rank = r.window_start, r.window_start + r.size, SEVERITIES.index(r.severity)
-            a = out[-1] if out else None
-            if a and a["end"] >= t - cfg.debounce and a["start"] <= t + cfg.debounce and end <= a["start"] + cfg.alert_max:
-                a["end"], a["rank"] = max(a["end"], end), max(a["rank"], rank)
-                if r.id not in a["anomaly_ids"]:
-                    a["anomaly_ids"].append(r.id)
+            longer = extended(out[-1] if out else None, r.id, r.window_start, r.size, r.severity, cfg)
+            if longer is not None:
+                out[-1] = longer
             else:
-                out.append({"alert_id": "A|" + r.id, "service": r.service, "anomaly_type": r.anomaly_type, "start": t, "end": end, "rank": rank, "observed": r.observed, "baseline": r.baseline, "anomaly_ids": [r.id]})
+                out.append({"alert_id": "A|" + r.id, "service": r.service, "anomaly_type": r.anomaly_type, "start": r.window_start, "end": r.window_start + r.size, "rank": SEVERITIES.index(r.severity), "observed": r.observed, "baseline": r.baseline, "anomaly_ids": [r.id]})
         return pd.DataFrame([{**a, "severity": SEVERITIES[a["rank"]]} for a in out])[[x.split()[0] for x in ALERT.split(", ")]]
 
     cols = ["id", "service", "anomaly_type", "window_start", "size", "severity", "observed", "baseline", "stretch"]

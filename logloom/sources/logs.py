@@ -27,41 +27,44 @@ def dependencies(spark: SparkSession) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Blank lines are skipped by the JSON reader; no schema is inferred."""
-    return spark.read.schema(LOG_SCHEMA).json(path)
+    """Blank lines are skipped by the JSON reader; no schema is inferred. A line that isn't an event keeps its text in _corrupt_record."""
+    return spark.read.schema(f"{LOG_SCHEMA}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
 
 
 _UUID = r"^(?i:urn:uuid:)?\{?([0-9a-fA-F]{32}|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})\}?$"
 
 
-def stripped(name: str) -> Column:
+def stripped(name: str | Column) -> Column:
     """A string without white space of any kind at its ends."""
     return F.regexp_replace(name, r"(?U)^\s+|\s+$", "")
 
 
-def problems() -> Column:
-    """Names of the fields of an event with stripped strings that break its rules, as an array."""
-    size = lambda name, low, high: F.length(name).between(low, high)
-    absent = lambda name, ok: F.col(name).isNull() | F.coalesce(ok, F.lit(False))
+def problems(field=F.col) -> Column:
+    """Names of the fields of an event with stripped strings that break its rules, as an array. field: gives a field's value by its name."""
+    size = lambda name, low, high: F.length(field(name)).between(low, high)
+    absent = lambda name, ok: field(name).isNull() | F.coalesce(ok, F.lit(False))
     rules = {
-        "timestamp": F.try_to_timestamp("timestamp").isNotNull(),
+        "timestamp": F.try_to_timestamp(field("timestamp")).isNotNull(),
         "service": F.coalesce(size("service", 1, 255), F.lit(False)),
-        "level": F.coalesce(F.col("level").isin(*LEVELS), F.lit(False)),
+        "level": F.coalesce(field("level").isin(*LEVELS), F.lit(False)),
         "message": F.coalesce(size("message", 1, 4096), F.lit(False)),
-        "request_id": absent("request_id", F.col("request_id").rlike(_UUID)),
-        "trace_id": absent("trace_id", F.col("trace_id").rlike(_UUID)),
-        "latency_ms": absent("latency_ms", F.col("latency_ms") >= 0),
-        "status_code": absent("status_code", F.col("status_code").between(100, 599)),
-        "host": absent("host", F.length("host") <= 255),
-        "region": absent("region", F.length("region") <= 64),
+        "request_id": absent("request_id", field("request_id").rlike(_UUID)),
+        "trace_id": absent("trace_id", field("trace_id").rlike(_UUID)),
+        "latency_ms": absent("latency_ms", field("latency_ms") >= 0),
+        "status_code": absent("status_code", field("status_code").between(100, 599)),
+        "host": absent("host", F.length(field("host")) <= 255),
+        "region": absent("region", F.length(field("region")) <= 64),
     }
     return F.array_compact(F.array(*(F.when(~ok, name) for name, ok in rules.items())))
 
 
+#: Fields of an event that are stripped before they are judged.
+STRINGS = ("service", "level", "message", "request_id", "trace_id", "host", "region")
+
+
 def validate(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, quarantined); strings are stripped first, and quarantined rows keep the names of the broken fields."""
-    strings = ("service", "level", "message", "request_id", "trace_id", "host", "region")
-    own = events.withColumns({c: stripped(c) for c in strings}).withColumn("problems", problems())
+    own = events.withColumns({c: stripped(c) for c in STRINGS}).withColumn("problems", problems())
     return own.where(F.size("problems") == 0).drop("problems"), own.where(F.size("problems") > 0)
 
 
