@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.scalar import anomaly_type, forest_severity, robust_z, severity
 from ..sources.stages import stored
+from .evaluate import overlapping
+from .quantile import exact_quantile
 
 COLUMNS = ["id", "service", "metric", "window_start", "size", "detector", "score", "observed", "baseline", "severity", "anomaly_type"]
 
@@ -77,7 +79,7 @@ def forest_scores(forest: list, x: np.ndarray, n: int) -> np.ndarray:
 def normal_windows(windows: DataFrame, truth: DataFrame) -> DataFrame:
     """Windows that overlap no labelled incident in time, of whatever service."""
     spans = truth.select(F.col("start_time").alias("a"), F.col("end_time").alias("b"))
-    return windows.join(spans, (F.col("window_start") < F.col("b")) & (F.col("window_start") + F.col("size") > F.col("a")), "left_anti")
+    return windows.join(overlapping(windows, spans, []), ["size", "window_start"], "left_anti").select(windows.columns)
 
 
 SAMPLE = 256
@@ -131,6 +133,7 @@ def forest_anomalies(windows: DataFrame, cfg: Config, truth: DataFrame | None =
         return f.assign(raw=s)[["service", "size", "window_start", "request_count", "raw"]]
 
     scored = stored(parts.groupBy("service", "chunk").cogroup(chunks.groupBy("service", "chunk")).applyInPandas(score, "service string, size bigint, window_start bigint, request_count double, raw double"))
-    cut = scored.join(fit.select("service", "window_start"), ["service", "window_start"], "left_semi").groupBy("service").agg(F.percentile("raw", 1 - contamination).alias("cut"))
+    known = stored(scored.join(fit.select("service", "window_start"), ["service", "window_start"], "left_semi").select("service", "raw"))
+    cut = exact_quantile(known, "service", "raw", 1 - contamination).withColumnRenamed("quantile", "cut")
     got = scored.join(cut, "service").where("raw > cut").withColumn("score", F.round(F.col("raw") - F.col("cut"), 4))
     return _identified(got.select("service", F.lit("multivariate").alias("metric"), "window_start", "size", F.lit("isolation_forest").alias("detector"), "score", F.col("request_count").alias("observed"), F.lit(0.0).alias("baseline"), forest_severity(F.col("score")).alias("severity")))

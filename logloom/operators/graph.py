@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.stages import stored
@@ -54,6 +54,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def observed_edges(logs: DataFrame, span: int = 3600) -> DataFrame:
+    """(upstream, downstream, calls): a service whose logs come right after another's in a trace, more often than the other way round.
+
+    Logs of a trace are put in order within spans of that many seconds, so a trace that is everywhere isn't sorted in one task; a
+    tie between the directions goes to the smaller name as upstream.
+    """
+    own = logs.where("trace_id IS NOT NULL").select("trace_id", "service", "ts", "id", F.floor(F.col("ts") / span).alias("span"))
+    before = F.lag("service").over(Window.partitionBy("trace_id", "span").orderBy("ts", "id"))
+    calls = own.withColumn("upstream", before).where("upstream <> service").groupBy("upstream", F.col("service").alias("downstream")).agg(F.count("*").alias("calls"))
+    back = calls.select(F.col("downstream").alias("upstream"), F.col("upstream").alias("downstream"), F.col("calls").alias("back"))
+    own = calls.join(back, ["upstream", "downstream"], "left")
+    more = (F.col("calls") > F.coalesce("back", F.lit(0))) | ((F.col("calls") == F.col("back")) & (F.col("upstream") < F.col("downstream")))
+    return own.where(more).select("upstream", "downstream", "calls")
+
+
 def reachable(edges: DataFrame) -> DataFrame:
     """(upstream, reached) for every pair that edges(upstream, downstream) join by a path of any length, without self pairs.
 

@@ -50,10 +50,14 @@ def labelled(rows: DataFrame, matches: DataFrame, truth: DataFrame) -> DataFrame
 MODEL = "model string, created string, weights map<string,double>, intercept double"
 
 
+def register(spark, path: str, name: str, weights: dict[str, float], intercept: float, created: str) -> None:
+    """Adds a ranker to the registry, a table of models."""
+    spark.createDataFrame([(name, created, weights, intercept)], MODEL).coalesce(1).write.mode("append").parquet(path)
+
+
 def save(spark, path: str, name: str, model, created: str, names: tuple[str, ...] = FEATURES) -> None:
-    """Adds a fitted ranker to the registry, a table of models."""
-    row = [(name, created, dict(zip(names, map(float, model.coefficients))), float(model.intercept))]
-    spark.createDataFrame(row, MODEL).coalesce(1).write.mode("append").parquet(path)
+    """Adds a fitted ranker to the registry."""
+    register(spark, path, name, dict(zip(names, map(float, model.coefficients))), float(model.intercept), created)
 
 
 def load(spark, path: str, name: str) -> tuple[dict[str, float], float]:
@@ -67,7 +71,7 @@ def load(spark, path: str, name: str) -> tuple[dict[str, float], float]:
 def rank(rows: DataFrame, weights: dict[str, float], intercept: float) -> DataFrame:
     """Probability, contributions and rank of each service in its incident."""
     z = F.lit(intercept)
-    for n, w in weights.items():
+    for n, w in sorted(weights.items()):
         z = z + F.lit(float(w)) * F.col(n)
     parts = F.map_from_arrays(F.array(*map(F.lit, weights)), F.array(*(F.round(F.lit(float(w)) * F.col(n), 6) for n, w in weights.items())))
     own = rows.withColumn("score", 1 / (1 + F.exp(-z))).withColumn("contributions", parts)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -19,8 +19,23 @@ def append_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(new.join(old.select(keys), keys, "left_anti").select(old.columns))
 
 
-def reconcile(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """new with the state of each row against old, and the stale rows of old."""
-    a, b = old.select(*keys, F.lit(True).alias("was")), new.select(*keys, F.lit(True).alias("is"))
-    state = F.when(F.col("was").isNull(), "inserted").when(F.col("is").isNull(), "deleted").otherwise("kept")
-    return a.join(b, keys, "full_outer").select(*keys, state.alias("state"))
+def reconciled(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of new and old by key in one full outer join: new's values (old's where new has none) and state.
+
+    state: inserted, updated (a value differs), kept, or deleted for rows that new doesn't have.
+    """
+    rest = [c for c in new.columns if c not in keys]
+    a = old.select(*keys, F.struct(*rest).alias("was"))
+    b = new.select(*keys, F.struct(*rest).alias("is"))
+    state = F.when(F.col("was").isNull(), "inserted").when(F.col("is").isNull(), "deleted").when(F.col("was").eqNullSafe(F.col("is")), "kept").otherwise("updated")
+    return a.join(b, keys, "full_outer").select(*keys, *(F.coalesce("is", "was")[c].alias(c) for c in rest), state.alias("state"))
+
+
+def reconcile(old: DataFrame, new: DataFrame, keys: list[str], path: str) -> tuple[DataFrame, dict[str, int]]:
+    """Writes what is to be kept of old and new to path, a fresh folder, in one pass that counts the states on its way."""
+    seen = Observation()
+    states = ("inserted", "updated", "kept", "deleted")
+    rows = reconciled(old, new, keys).observe(seen, *(F.count_if(F.col("state") == s).alias(s) for s in states))
+    out = rows.where("state <> 'deleted'").drop("state")
+    out.write.mode("errorifexists").parquet(path)
+    return out.sparkSession.read.schema(out.schema).parquet(path), {s: seen.get[s] for s in states}

@@ -87,10 +87,4 @@ def queries(cfg: Config, using, as_of: int) -> dict[str, str]:
             string_agg(al.alert_id || ' ' || al."end" || ' ' || al.severity, ';' ORDER BY al.start, al.alert_id) AS alerts FROM members m JOIN al USING (alert_id) GROUP BY 1, 2, 3)""", until="members"),
         "truth_matches_first_come": using(f"SELECT id AS incident_id, truth_id, {SPANS} AS overlap FROM fm JOIN inc i ON i.id = fm.i JOIN truth t ON t.truth_id = fm.t", until="fm"),
         "truth_matches": using("SELECT incident_id, mc.truth_id, overlap, coverage, jaccard FROM mc JOIN mt ON mt.i = incident_id AND mt.t = mc.truth_id", until="mt"),
-        "rca_features": using("""SELECT p.incident_id, p.service, CASE WHEN p.service = first THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_earliest,
-            CASE WHEN p.service = first THEN CAST(coalesce(greatest(0, (SELECT min(o.own_start) FROM per o WHERE o.incident_id = p.incident_id AND o.service <> p.service) - first_start), 0) AS DOUBLE) ELSE 0.0::DOUBLE END AS earliest_seconds_gap,
-            (SELECT CAST(count(DISTINCT reached) AS DOUBLE) FROM reach WHERE upstream = p.service AND reached <> upstream) AS blast_radius,
-            (SELECT CAST(count(DISTINCT o.service) AS DOUBLE) FROM per o JOIN reach r ON r.reached = o.service WHERE o.incident_id = p.incident_id AND r.upstream = p.service AND o.service <> p.service) AS upstream_position,
-            coalesce((SELECT max(abs(an.score)) FROM an JOIN (SELECT unnest(string_split(anomaly_ids, ',')) AS id, incident_id, service FROM mal) x USING (id) WHERE x.incident_id = p.incident_id AND x.service = p.service), 0) AS anomaly_magnitude,
-            p.alert_count FROM per p JOIN earliest USING (incident_id)""", until="earliest"),
     }

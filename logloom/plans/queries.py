@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.scalar import severity_rank
 from ..operators import alerts as al
-from ..operators import detect, evaluate, incidents, rootcause, upsert
+from ..operators import detect, evaluate, graph, incidents, rootcause, upsert
 from ..operators import windows as win
 from ..sources import logs as src
 from ..sources.days import LogStore
@@ -29,6 +29,8 @@ TRUTH = [
     ("t5", "checkout-service", ["checkout-service", "api-gateway"], 430, 445), ("t6", "api-gateway", ["api-gateway"], 560, 575),
 ]
 
+#: Types of labelled incidents: those whose root is a service that callers reach first, and the others.
+ENTRY, EDGE_TYPE, CORE_TYPE = ("api-gateway", "auth-service"), "entry", "core"
 #: Labelled incidents that no ranker is fitted on.
 HELD_OUT = ("t5", "t6")
 
@@ -38,7 +40,8 @@ def logs(spark, d, start=None, end=None):
 
 
 def truth(spark) -> DataFrame:
-    return spark.createDataFrame([(i, r, a, DAY0 + s * 3600, DAY0 + e * 3600) for i, r, a, s, e in TRUTH], "truth_id string, root string, affected array<string>, start_time bigint, end_time bigint")
+    rows = [(i, r, a, DAY0 + s * 3600, DAY0 + e * 3600, EDGE_TYPE if r in ENTRY else CORE_TYPE) for i, r, a, s, e in TRUTH]
+    return spark.createDataFrame(rows, "truth_id string, root string, affected array<string>, start_time bigint, end_time bigint, type string")
 
 
 def edges(spark) -> DataFrame:
@@ -83,8 +86,7 @@ def logs_time_range(spark, d):
 
 
 def logs_by_trace(spark, d):
-    rows = src.filtered(logs(spark, d), trace_id=f"7-{DAY0 // 86400 + 3}")
-    return rows.orderBy("ts", "id")
+    return src.by_trace(logs(spark, d, DAY0 + 3 * 86400, DAY0 + 4 * 86400 - 1), f"7-{DAY0 // 86400 + 3}")
 
 
 def log_counts(spark, d):
@@ -261,22 +263,47 @@ def dedup_compression(spark, d):
     return al.compression(own, pairs(spark, d, own))
 
 
+def dedup_reconciled(spark, d):
+    """Pairs of an earlier run, some with another reason, some missing and some stale, reconciled with those of now, and then once more."""
+    now = pairs(spark, d)
+    place = F.conv(F.substring(F.md5("duplicate"), 1, 8), 16, 10).cast("bigint") % 10
+    before = now.where(place > 0).withColumn("reason", F.when(place == 1, "manual").otherwise(F.col("reason")))
+    stale = now.where(place == 2).select(F.concat("canonical", F.lit("|gone")).alias("canonical"), "duplicate", "reason")
+    key, path = ["canonical", "duplicate"], folder(spark)
+    first, counts = upsert.reconcile(before.unionByName(stale), now, key, f"{path}/1")
+    _, again = upsert.reconcile(first, now, key, f"{path}/2")
+    return spark.createDataFrame([(k, *(c[s] for s in ("inserted", "updated", "kept", "deleted"))) for k, c in ((1, counts), (2, again))], "run bigint, inserted bigint, updated bigint, kept bigint, deleted bigint")
+
+
+def seen_edges(spark, d) -> DataFrame:
+    return graph.observed_edges(logs(spark, d))
+
+
+def seen_services(spark, d) -> DataFrame:
+    """Services that have logs, with their ids."""
+    return logs(spark, d).select(F.col("service").alias("name")).distinct().join(src.services(spark), "name").select("id", "name")
+
+
 def dependencies_named(spark, d):
-    return incidents.named_edges(src.dependencies(spark), src.services(spark)).select("upstream_id", "downstream_id", "upstream", "downstream")
+    """Calls seen in traces, stored by ids and read with names."""
+    known = seen_services(spark, d)
+    ids = lambda side: known.select(F.col("name").alias(side), F.col("id").alias(f"{side}_id"))
+    stored_edges = seen_edges(spark, d).join(ids("upstream"), "upstream").join(ids("downstream"), "downstream").select("upstream_id", "downstream_id")
+    return incidents.named_edges(stored_edges, known).select("upstream_id", "downstream_id", "upstream", "downstream")
 
 
 def graph_closure(spark, d):
-    return incidents.closure(edges(spark))
+    return incidents.closure(seen_edges(spark, d))
 
 
 def blast_radius(spark, d):
-    got = incidents.closure(edges(spark)).groupBy("upstream").agg(F.count("*").alias("blast_radius"))
-    return src.services(spark).select(F.col("name").alias("service")).join(got.withColumnRenamed("upstream", "service"), "service", "left").select("service", F.coalesce("blast_radius", F.lit(0)).alias("blast_radius"))
+    got = incidents.closure(seen_edges(spark, d)).groupBy("upstream").agg(F.count("*").alias("blast_radius"))
+    return seen_services(spark, d).select(F.col("name").alias("service")).join(got.withColumnRenamed("upstream", "service"), "service", "left").select("service", F.coalesce("blast_radius", F.lit(0)).alias("blast_radius"))
 
 
 def affected_callers(spark, d):
-    own = src.services(spark).select(F.col("name").alias("root"), F.col("name").alias("affected"))
-    return incidents.closure(edges(spark)).select(F.col("reached").alias("root"), F.col("upstream").alias("affected")).unionByName(own)
+    own = seen_services(spark, d).select(F.col("name").alias("root"), F.col("name").alias("affected"))
+    return incidents.closure(seen_edges(spark, d)).select(F.col("reached").alias("root"), F.col("upstream").alias("affected")).unionByName(own)
 
 
 def incident_members(spark, d):
@@ -298,20 +325,25 @@ def _features(spark, d, base=None, own=None):
     return stored(rootcause.features(own, base, incidents.closure(edges(spark)), anomalies(spark, d))), base, own
 
 
-def _ranker(spark, rows, own):
-    """A ranker fitted on the labelled incidents of the training split, kept in a registry and read back from it."""
-    found = evaluate.match_one_to_one(evaluate.match_candidates(incidents.summaries(own, CFG), truth(spark), CFG.min_overlap))
-    known = stored(rootcause.labelled(rows, found, truth(spark)).coalesce(1))  # one row per service of a labelled incident
-    model = rootcause.train(known.where(~F.col("truth_id").isin(*HELD_OUT)))
+#: A stored ranker for the queries; tests fit one. On these events without real causes, a fitted one has nothing to learn from.
+WEIGHTS = {"is_earliest": 1.25, "earliest_seconds_gap": 0.0001, "blast_radius": 0.3, "upstream_position": 0.45, "anomaly_magnitude": 0.02, "alert_count": 0.15}
+INTERCEPT = -2.0
+
+
+def _stored_ranker(spark):
+    """Weights and intercept as read back from a registry."""
     path = folder(spark)
-    rootcause.save(spark, path, "ranker", model, "2024-01-31")
-    return known, *rootcause.load(spark, path, "ranker")
+    rootcause.register(spark, path, "ranker", WEIGHTS, INTERCEPT, "2024-01-31")
+    return rootcause.load(spark, path, "ranker")
 
 
 def _ranked(spark, d, base=None, own=None):
     rows, base, own = _features(spark, d, base, own)
-    _, weights, intercept = _ranker(spark, rows, own)
-    return rootcause.rank(rows, weights, intercept).select("incident_id", "service", F.round("score", 6).alias("score"), "rank", F.array_join(rootcause.top_features(F.col("contributions")), ", ").alias("top_features"))
+    return rootcause.rank(rows, *_stored_ranker(spark))
+
+
+def _told(ranked):
+    return ranked.select("incident_id", "service", F.round("score", 6).alias("score"), "rank", F.array_join(rootcause.top_features(F.col("contributions")), ", ").alias("top_features"))
 
 
 def rca_features(spark, d):
@@ -319,30 +351,35 @@ def rca_features(spark, d):
 
 
 def rca_rank(spark, d):
-    return _ranked(spark, d)
+    return _told(_ranked(spark, d))
 
 
 def rca_top3(spark, d):
-    return _ranked(spark, d).where("rank <= 3")
+    return _told(_ranked(spark, d).where("rank <= 3"))
+
+
+def _judged_ranks(spark, rows, own, weights, intercept) -> DataFrame:
+    """Ranks of the services of labelled incidents, with split and type of the label."""
+    found = evaluate.match_one_to_one(evaluate.match_candidates(incidents.summaries(own, CFG), truth(spark), CFG.min_overlap))
+    known = rootcause.labelled(rows, found, truth(spark)).join(truth(spark).select("truth_id", "type"), "truth_id")
+    return rootcause.rank(known, weights, intercept).withColumn("split", F.when(F.col("truth_id").isin(*HELD_OUT), "held out").otherwise("training"))
 
 
 def rca_accuracy(spark, d):
-    """Share of labelled incidents whose root ranks first or among three, of the training split and of the held-out ones."""
+    """Share of labelled incidents whose root ranks first or among three, by split and by type of the label."""
     rows, _, own = _features(spark, d)
-    known, weights, intercept = _ranker(spark, rows, own)
-    ranked = rootcause.rank(known, weights, intercept).withColumn("split", F.when(F.col("truth_id").isin(*HELD_OUT), "held out").otherwise("training"))
-    return evaluate.topk_accuracy(ranked, "split")
+    ranked = stored(_judged_ranks(spark, rows, own, *_stored_ranker(spark)))
+    by = lambda c: evaluate.topk_accuracy(ranked, c).select(F.lit(c).alias("by"), F.col(c).alias("which"), "n", "top1", "top3")
+    return by("split").unionByName(by("type"))
 
 
 def rca_ablation(spark, d):
-    """Accuracy on the held-out incidents of rankers fitted without one feature each, and with all."""
+    """The same by split, with the stored ranker less one feature each, and whole."""
     rows, _, own = _features(spark, d)
-    known, _, _ = _ranker(spark, rows, own)
-    training, rest, got = known.where(~F.col("truth_id").isin(*HELD_OUT)), known.where(F.col("truth_id").isin(*HELD_OUT)), []
+    weights, intercept = _stored_ranker(spark)
+    known, got = stored(_judged_ranks(spark, rows, own, weights, intercept).drop("score", "contributions", "rank")), []
     for dropped in (None, *rootcause.FEATURES):
-        names = tuple(n for n in rootcause.FEATURES if n != dropped)
-        model = rootcause.train(training, names)
-        ranked = rootcause.rank(rest, dict(zip(names, map(float, model.coefficients))), float(model.intercept))
+        ranked = rootcause.rank(known, {n: w for n, w in weights.items() if n != dropped}, intercept)
         got.append(ranked.withColumn("dropped", F.lit(dropped or "none")))
     return evaluate.topk_accuracy(functools.reduce(DataFrame.unionByName, got), "dropped")
 
@@ -371,7 +408,7 @@ def incident_detail(spark, d):
 def incident_briefing(spark, d):
     base = alerts(spark, d)
     own = members(spark, d, base)
-    got = incidents.briefing(_detail(spark, base, own), _ranked(spark, d, base, own))
+    got = incidents.briefing(_detail(spark, base, own), _told(_ranked(spark, d, base, own)))
     return got.withColumns({c: F.array_join(c, "\n") for c in ("services", "evidence", "actions")})
 
 
@@ -427,6 +464,47 @@ def overview_metrics(spark, d):
     return got.withColumn("error_percent", evaluate.share(F.col("last_day_errors"), F.col("last_day")))
 
 
+def overview_full(spark, d):
+    """All figures of the overview at a fixed moment: logs, rate of the last five minutes, logs and errors of fifteen, services, open incidents."""
+    own, last = logs(spark, d), lambda minutes: (F.col("ts") >= NOW - minutes * 3600) & (F.col("ts") <= NOW)  # minutes are stretched by 60
+    got = own.agg(
+        F.count("*").alias("total_logs"), F.round(F.count_if(last(5)) / 5, 1).alias("recent_events_per_min"), F.count_if(last(15)).alias("queue_depth"),
+        F.count_if(last(15) & F.col("level").isin("ERROR", "CRITICAL")).alias("recent_errors"), F.count_distinct("service").alias("total_services"),
+    )
+    open_ = incidents.summaries(members(spark, d), CFG, NOW).where(F.col("start") <= NOW).agg(F.count_if(F.col("closed_at").isNull()).alias("active_incidents"))
+    both = got.unionByName(open_, allowMissingColumns=True)  # two rows, with nulls where the other has figures
+    return both.agg(*(F.max(c).alias(c) for c in both.columns))
+
+
+def recall_interval(spark, d):
+    """Recall of the detector on labelled windows by service, with a 95 % bootstrap interval."""
+    own = _labelled(spark, d).where("label = 1").withColumn("flag", F.col("flag").cast("bigint"))
+    return evaluate.bootstrap_interval(own, "flag", F.concat_ws("|", "service", "size", "window_start"), ["service"])
+
+
+def _measured(spark, d) -> DataFrame:
+    """Figures that the gate asks for, as (name, value); those of the forest aren't measured here."""
+    base = alerts(spark, d)
+    found = stored(pairs(spark, d, base))
+    own = members(spark, d, base)
+    rows = stored(_labelled(spark, d).select("label", "flag"))
+    c = evaluate.confusion(rows)
+    ranked = stored(_judged_ranks(spark, _features(spark, d, base, own)[0], own, *_stored_ranker(spark)))
+    acc = evaluate.topk_accuracy(ranked, "split")
+    wide = lambda df, names: df.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.col(v).cast("double") for v in names.values())))).alias("name", "value"))
+    parts = [
+        wide(c, {"mad_recall": "recall", "mad_fpr": "fpr", "mad_f1": "f1"}), wide(al.compression(base, found).withColumn("share", F.col("percent") / 100), {"compression": "share"}),
+        wide(acc.where("split = 'held out'"), {"held_out_n": "n", "held_out_top1": "top1", "held_out_top3": "top3"}), wide(acc.where("split = 'training'"), {"training_n": "n"}),
+        wide(truth(spark).agg(F.count("*").alias("n")), {"truths": "n"}), wide(rows.agg(F.count("*").alias("n")), {"windows": "n"}), wide(rows.agg(F.sum("flag").alias("n")), {"mad_anomalies": "n"}),
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def quality_gate(spark, d):
+    """Each bound of the gate and of what an evaluation rests on, with the figure measured here and whether it is kept."""
+    return evaluate.judged(_measured(spark, d), evaluate.GATE_LEAST | evaluate.CONTRACT, evaluate.GATE_MOST)
+
+
 def service_health(spark, d):
     own = windows(spark, d).where((F.col("service") == "payment-service") & (F.col("size") == min(CFG.windows)) & F.col("window_start").between(DAY0 + 86400, DAY0 + 8 * 86400))
     return own.select(_W).orderBy("window_start").limit(200)
@@ -448,10 +526,22 @@ def latency_summary(spark, d):
 
 
 def truth_import(spark, d):
-    """Labelled incidents as records with service names, imported beside two that are already there."""
-    rows = spark.createDataFrame([(i, "outage", "training", "error_rate", str(s), str(e), r, [*a, "unknown-service"]) for i, r, a, s, e in TRUTH], src.TRUTH_SCHEMA)
-    present = rows.where("truth_incident_id IN ('t1', 't2')")
-    return src.import_truth(rows, src.services(spark), present).select("truth_incident_id", "root_id", F.array_join("affected_ids", ",").alias("affected_ids"))
+    """Each service's worst half day by errors as a labelled incident with the services that had errors then, from JSON lines, beside two that are there."""
+    half = F.floor(F.col("ts") / 43200)
+    per = logs(spark, d).where(win.is_error()).groupBy("service", half.alias("half")).agg(F.count("*").alias("n"))
+    worst = per.groupBy("service").agg(F.max(F.struct("n", (-F.col("half")).alias("h"))).alias("w")).select("service", (-F.col("w.h")).alias("half"))
+    hit = worst.join(per.select(F.col("service").alias("other"), "half"), "half").groupBy("service", "half").agg(F.array_sort(F.collect_set("other")).alias("others"))
+    iso = lambda s: F.date_format(F.timestamp_seconds(s), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    lines = hit.select(
+        F.concat(F.lit("w-"), "service").alias("truth_incident_id"), F.lit("outage").alias("type"), F.lit("training").alias("split"), F.lit("error_rate").alias("affected_metric"),
+        iso(F.col("half") * 43200).alias("start_time"), iso((F.col("half") + 1) * 43200).alias("end_time"), F.col("service").alias("root_cause_service"), F.concat("others", F.array(F.lit("unknown-service"))).alias("affected_services"),
+    )
+    path = folder(spark)
+    lines.write.json(path)
+    rows = spark.read.schema(src.TRUTH_SCHEMA).json(path)
+    present = rows.where("root_cause_service IN ('api-gateway', 'auth-service')")
+    got = src.import_truth(rows, src.services(spark), present)
+    return got.select("truth_incident_id", "root_id", "start_time", "end_time", F.array_join("affected_ids", ",").alias("affected_ids"))
 
 
 def stream_windows_append(spark, d):
@@ -463,9 +553,9 @@ QUERIES = {f.__name__: f for f in (
     watermark_positions, late_logs, windows_resumed, anomalies_page, alerts_page, alert_detail, rca_accuracy, baselines_median_mad, mad_anomalies, anomaly_counts, iforest_anomalies, normal_windows, upsert_windows, alerts_debounced, dedup_edges_same_service,
     dedup_edges_shared_trace, dedup_pairs, canonical_alerts, dedup_reasons, dedup_compression, dependencies_named, graph_closure, blast_radius, affected_callers, incident_members,
     incident_list, incident_labels, incidents_overview, incident_detail, chain_incidents, truth_matches_first_come, rca_ablation, incident_timeline, incident_briefing, rca_features, rca_rank, rca_top3, truth_window_labels, confusion_matrix, pr_curve, pr_interpolated, truth_matches,
-    overview_metrics, service_health, service_status, ingest_rate_limited, latency_summary, truth_import, stream_windows_append,
+    overview_metrics, service_health, service_status, ingest_rate_limited, latency_summary, truth_import, stream_windows_append, dedup_reconciled, overview_full, recall_interval, quality_gate,
 )}
-SQL = sql.build(CFG, DAY0, TRUTH)
+SQL = sql.build(CFG, DAY0, TRUTH, ENTRY, (EDGE_TYPE, CORE_TYPE), HELD_OUT, WEIGHTS, INTERCEPT)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..config import Config
 from ..functions.scalar import TYPES
 from ..sources.logs import EDGES, SERVICES
-from . import fold_sql
+from . import fold_sql, judged_sql
 
 ERROR = "(level IN ('ERROR', 'CRITICAL') OR coalesce(status_code >= 500, false))"
 
@@ -14,7 +14,7 @@ def _q(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
-def build(cfg: Config, day0: int, truth: list) -> dict[str, str]:
+def build(cfg: Config, day0: int, truth: list, entry: tuple, types: tuple, held_out: tuple, weights: dict, intercept: float) -> dict[str, str]:
     small, large = min(cfg.windows), max(cfg.windows)
     cte: dict[str, str] = {}
     names = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(SERVICES))
@@ -59,7 +59,11 @@ def build(cfg: Config, day0: int, truth: list) -> dict[str, str]:
     cte["edges"] = "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in EDGES) + ") AS t(upstream, downstream)"
     cte["services"] = "SELECT * FROM (VALUES " + ", ".join(f"('s{i}', '{n}')" for i, n in enumerate(SERVICES)) + ") AS t(id, name)"
     cte["reach"] = "SELECT upstream, downstream AS reached FROM edges UNION SELECT r.upstream, e.downstream FROM reach r JOIN edges e ON r.reached = e.upstream"
-    cte["truth"] = "SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{r}', [{_q(a)}], {day0 + s * 3600}, {day0 + e * 3600})" for i, r, a, s, e in truth) + ") AS t(truth_id, root, affected, start_time, end_time)"
+    cte["truth"] = "SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{r}', [{_q(a)}], {day0 + s * 3600}, {day0 + e * 3600}, '{types[0] if r in entry else types[1]}')" for i, r, a, s, e in truth) + ") AS t(truth_id, root, affected, start_time, end_time, type)"
+    cte["calls"] = "SELECT up, service AS down, count(*) AS c FROM (SELECT *, lag(service) OVER (PARTITION BY trace_id, ts // 3600 ORDER BY ts, id) AS up FROM logs WHERE trace_id IS NOT NULL) WHERE up <> service GROUP BY ALL"
+    cte["seen"] = "SELECT a.up AS upstream, a.down AS downstream FROM calls a LEFT JOIN calls b ON a.up = b.down AND a.down = b.up WHERE a.c > coalesce(b.c, 0) OR (a.c = b.c AND a.up < a.down)"
+    cte["sreach"] = "SELECT upstream, downstream AS reached FROM seen UNION SELECT r.upstream, e.downstream FROM sreach r JOIN seen e ON r.reached = e.upstream"
+    cte["svc"] = "SELECT * FROM services WHERE name IN (SELECT service FROM logs)"
     cte["lw"] = f"""SELECT b.*, CASE WHEN EXISTS (SELECT 1 FROM truth t WHERE list_contains(t.affected, b.service) AND b.window_start < t.end_time AND b.window_start + b.size > t.start_time) THEN 1 ELSE 0 END AS label,
         CASE WHEN EXISTS (SELECT 1 FROM an WHERE an.service = b.service AND an.size = b.size AND an.window_start = b.window_start) THEN 1 ELSE 0 END AS flag FROM b WHERE size = {large}"""
     cte["sc"] = "SELECT an.*, CASE WHEN EXISTS (SELECT 1 FROM truth t WHERE list_contains(t.affected, an.service) AND an.window_start < t.end_time AND an.window_start + an.size > t.start_time) THEN 1 ELSE 0 END AS label FROM an"
@@ -120,10 +124,10 @@ def build(cfg: Config, day0: int, truth: list) -> dict[str, str]:
         "dedup_edges_shared_trace": using(f"""SELECT DISTINCT a.alert_id AS a, b.alert_id AS b FROM tr a JOIN tr b ON a.trace_id = b.trace_id AND a.service <> b.service AND {near(cfg.dedup_trace)}""", until="al").replace("\nSELECT DISTINCT a.alert_id", """,
             tr AS (SELECT DISTINCT al.alert_id, al.service, al.start, al."end", l.trace_id FROM al JOIN logs l ON l.service = al.service AND l.trace_id IS NOT NULL AND l.ts BETWEEN al.start AND al."end")
             SELECT DISTINCT a.alert_id"""),
-        "dependencies_named": using("SELECT u.id AS upstream_id, d.id AS downstream_id, upstream, downstream FROM edges JOIN services u ON u.name = upstream JOIN services d ON d.name = downstream", until="services"),
-        "graph_closure": using("SELECT DISTINCT upstream, reached FROM reach WHERE upstream <> reached", until="reach"),
-        "blast_radius": using("SELECT name AS service, (SELECT count(DISTINCT reached) FROM reach WHERE upstream = name AND reached <> name) AS blast_radius FROM services", until="reach"),
-        "affected_callers": using("SELECT DISTINCT reached AS root, upstream AS affected FROM reach UNION SELECT name, name FROM services", until="reach"),
+        "dependencies_named": using("SELECT u.id AS upstream_id, d.id AS downstream_id, upstream, downstream FROM seen JOIN svc u ON u.name = upstream JOIN svc d ON d.name = downstream", until="svc"),
+        "graph_closure": using("SELECT DISTINCT upstream, reached FROM sreach WHERE upstream <> reached", until="sreach"),
+        "blast_radius": using("SELECT name AS service, (SELECT count(DISTINCT reached) FROM sreach WHERE upstream = name AND reached <> name) AS blast_radius FROM svc", until="svc"),
+        "affected_callers": using("SELECT DISTINCT reached AS root, upstream AS affected FROM sreach WHERE upstream <> reached UNION SELECT name, name FROM svc", until="svc"),
         "truth_window_labels": using("SELECT service, label, flag, count(*) AS n FROM lw GROUP BY 1, 2, 3", until="lw"),
         "confusion_matrix": using(f"""SELECT tp, fp, fn, tn, {ratio('tp', 'tp + fn')} AS recall, {ratio('fp', 'fp + tn')} AS fpr, {ratio('tp', 'tp + fp')} AS precision, {ratio('2 * tp', '2 * tp + fp + fn')} AS f1 FROM (
             SELECT count(*) FILTER (WHERE label = 1 AND flag = 1) AS tp, count(*) FILTER (WHERE label = 0 AND flag = 1) AS fp, count(*) FILTER (WHERE label = 1 AND flag = 0) AS fn, count(*) FILTER (WHERE label = 0 AND flag = 0) AS tn FROM lw)""", until="lw"),
@@ -137,5 +141,7 @@ def build(cfg: Config, day0: int, truth: list) -> dict[str, str]:
         "service_status": using(f"""SELECT service, max(window_start) AS window_start, arg_max(coalesce(error_rate, 0), window_start) * 100 AS error_percent, arg_max(coalesce(coalesce(error_rate, 0) * 100 >= 5 OR p95_latency_ms >= 500, coalesce(error_rate, 0) * 100 >= 5), window_start) AS degraded FROM b WHERE size = {large} GROUP BY 1""", until="b"),
         "ingest_rate_limited": using("SELECT ts - ts % 3600 AS window_start, left(sha256(service), 24) AS identity_hash, count(*) AS requests FROM logs GROUP BY 1, 2 HAVING count(*) > 5", until="logs"),
         "latency_summary": using("SELECT service, round(quantile_cont(latency_ms, 0.5), 4) AS p50, round(quantile_cont(latency_ms, 0.95), 4) AS p95, round(quantile_cont(latency_ms, 0.99), 4) AS p99, round(avg(latency_ms), 4) AS mean, min(latency_ms) AS least, max(latency_ms) AS most FROM logs WHERE latency_ms IS NOT NULL GROUP BY 1", until="logs"),
-        "truth_import": using("SELECT truth_id AS truth_incident_id, r.id AS root_id, string_agg(s.id, ',' ORDER BY s.id) AS affected_ids FROM (SELECT *, unnest(affected) AS one FROM truth) t JOIN services r ON r.name = root JOIN services s ON s.name = one WHERE truth_id NOT IN ('t1', 't2') GROUP BY 1, 2", until="truth"),
-    } | fold_sql.queries(cfg, using, day0 + 31 * 86400)
+        "truth_import": using("""SELECT 'w-' || r.service AS truth_incident_id, k.id AS root_id, strftime(make_timestamp(r.half * 43200 * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS start_time, strftime(make_timestamp((r.half + 1) * 43200 * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS end_time,
+            (SELECT string_agg(s.id, ',' ORDER BY s.id) FROM services s WHERE s.name IN (SELECT service FROM e WHERE e.half = r.half)) AS affected_ids
+            FROM (SELECT *, row_number() OVER (PARTITION BY service ORDER BY n DESC, half) AS k FROM e) r JOIN services k ON k.name = r.service WHERE r.k = 1 AND r.service NOT IN ('api-gateway', 'auth-service')""", until="truth").replace("\nSELECT 'w-'", f""", e AS (SELECT service, ts // 43200 AS half, count(*) AS n FROM logs WHERE {ERROR} GROUP BY 1, 2)\nSELECT 'w-'"""),
+    } | fold_sql.queries(cfg, using, day0 + 31 * 86400) | judged_sql.queries(cfg, using, ratio, now, held_out, weights, intercept)

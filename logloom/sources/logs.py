@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalar import SEVERITIES
+
 # Services, their edges, levels, field names and limits of the log format.
 SERVICES = ("api-gateway", "auth-service", "checkout-service", "payment-service", "inventory-service", "notification-service")
 #: (caller, dependency)
@@ -122,15 +124,38 @@ def as_logs(e: DataFrame) -> DataFrame:
 
 
 def filtered(rows: DataFrame, start: int | None = None, end: int | None = None, time: str = "ts", **equal: str | None) -> DataFrame:
-    """Optional equality filters, such as service, level, trace_id, metric, detector or severity, and an inclusive time range."""
+    """Optional equality filters, such as service, level, trace_id, metric, detector or severity, and an inclusive time range.
+
+    A level or severity that doesn't exist, or a range that ends before it starts, is an error.
+    """
+    known = {"level": LEVELS, "severity": SEVERITIES}
+    if start is not None and end is not None and end < start:
+        raise ValueError("the range ends before it starts")
     for name, value in equal.items():
         if value is not None:
+            if name in known and value.upper() not in known[name]:
+                raise ValueError(f"{name} must be one of {', '.join(known[name])}")
             rows = rows.where(F.col(name) == (value.upper() if name in ("level", "severity") else value))
     if start is not None:
         rows = rows.where(F.col(time) >= start)
     return rows if end is None else rows.where(F.col(time) <= end)
 
 
+def by_trace(rows: DataFrame, trace_id: str) -> DataFrame:
+    """Logs of a trace in order; a trace without any is an error."""
+    own = rows.where(F.col("trace_id") == trace_id)
+    if not own.take(1):
+        raise LookupError(f"no logs of trace {trace_id}")
+    return own.orderBy("ts", "id")
+
+
+def window_size(seconds: int) -> int:
+    """A window size that views accept, from 60 to 300 seconds; others are an error."""
+    if not 60 <= seconds <= 300:
+        raise ValueError("window size must be from 60 to 300 seconds")
+    return seconds
+
+
 def linked(edges: DataFrame, known: DataFrame, upstream: str, downstream: str) -> DataFrame:
     """edges(upstream, downstream) with one more; an unknown service, a self edge or one that is already there is an error."""
     missing = {upstream, downstream} - {r.name for r in known.where(F.col("name").isin(upstream, downstream)).select("name").distinct().collect()}

@@ -119,14 +119,16 @@ def test_labels_fall_back_to_ids(spark):
     assert sorted(map(tuple, got.collect())) == [("I1", 5, "a, sb, c +2"), ("I2", 1, "sb")]
 
 
-def test_gate_has_its_bounds():
-    good = {"mad_recall": 0.8, "forest_recall": 0.9, "mad_f1": 0.8, "compression": 0.5, "training_n": 10, "held_out_n": 6, "held_out_top1": 0.8, "held_out_top3": 1.0, "mad_fpr": 0.05, "forest_fpr": 0.01}
-    evaluate.gate(good)
-    for name, value in (("compression", 0.95), ("compression", 0.3), ("mad_fpr", 0.06), ("held_out_n", 5)):
+def test_gate_has_its_bounds(spark):
+    good = {"mad_recall": 0.8, "forest_recall": 0.9, "mad_f1": 0.8, "compression": 0.5, "training_n": 10, "held_out_n": 6, "held_out_top1": 0.8, "held_out_top3": 1.0, "mad_fpr": 0.05, "forest_fpr": 0.01} | {k: float(v) for k, v in evaluate.CONTRACT.items()}
+    frame = lambda figures: spark.createDataFrame([(k, float(v)) for k, v in figures.items()], "name string, value double")
+    assert evaluate.gate(frame(good)).where("ok").count() == len(good) + 1  # compression has two bounds
+    for name, value in (("compression", 0.95), ("compression", 0.3), ("mad_fpr", 0.06), ("held_out_n", 5), ("windows", 99), ("truths", 4)):
         with pytest.raises(AssertionError, match=name):
-            evaluate.gate(good | {name: value})
+            evaluate.gate(frame(good | {name: value}))
     with pytest.raises(AssertionError, match="mad_f1"):
-        evaluate.gate({k: v for k, v in good.items() if k != "mad_f1"})
+        evaluate.gate(frame({k: v for k, v in good.items() if k != "mad_f1"}))
+    assert evaluate.judged(frame({"x": 1}).limit(0), {"x": 1}, {"y": 2}).where("ok").count() == 0
 
 
 def test_stored_forests_score_like_fresh_ones(spark, tmp_path):

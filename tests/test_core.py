@@ -1,4 +1,6 @@
 import datetime
+import hashlib
+from math import factorial
 
 import numpy as np
 import pytest
@@ -6,7 +8,8 @@ from pyspark.sql import functions as F
 
 from logloom.config import Config
 from logloom.functions import scalar
-from logloom.operators import alerts, detect, evaluate, incidents, rootcause, upsert, windows
+from logloom.operators import alerts, detect, evaluate, graph, incidents, rootcause, upsert, windows
+from logloom.operators.quantile import exact_quantile
 from logloom.sources import logs as src
 
 LOG = "id bigint, service string, ts bigint, level string, message string, request_id bigint, trace_id string, latency_ms int, status_code int"
@@ -121,12 +124,70 @@ def test_interpolation(spark):
     assert got[("m", 0.4)] == 0.9 and got[("f", 0.8)] == 0.6333 and got[("f", 0.2)] == 0.9
 
 
-def test_gate():
-    evaluate.gate({"recall": 0.9, "fpr": 0.01}, {"recall": 0.8}, {"fpr": 0.05})
-    with pytest.raises(AssertionError):
-        evaluate.gate({"recall": 0.7}, {"recall": 0.8}, {})
-    low, high = evaluate.bootstrap_interval([1, 1, 1, 1, 1, 0])
-    assert 0 <= low < high <= 1
+def test_bootstrap_interval(spark):
+    """Against the same hashes in plain Python, in any partitioning."""
+    rng = np.random.default_rng(3)
+    rows = [(f"s{k % 2}", k, int(rng.random() < 0.7)) for k in range(60)]
+    ends = np.cumsum([np.exp(-1.0) / factorial(j) for j in range(12)]) * 2**32
+    frame = spark.createDataFrame(rows, "service string, k int, hit int")
+    for parts in (1, 5):
+        got = {r.service: r for r in evaluate.bootstrap_interval(frame.repartition(parts), "hit", F.col("k"), ["service"], 200).collect()}
+        for s in ("s0", "s1"):
+            own, means = [r for r in rows if r[0] == s], []
+            for b in range(200):
+                w = [int(sum(int(hashlib.md5(f"{b}:{k}".encode()).hexdigest()[:8], 16) >= e for e in ends)) for _, k, _ in own]
+                means.append(np.dot(w, [r[2] for r in own]) / sum(w))
+            assert (got[s].low, got[s].high) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])), abs=2e-6)
+            assert got[s].n == 30 and got[s].low < got[s].mean < got[s].high
+
+
+@pytest.mark.parametrize("few", [4096, 3])
+def test_exact_quantile(spark, few):
+    rng = np.random.default_rng(few)
+    groups = {"normal": rng.normal(size=500), "ties": rng.integers(0, 4, 300).astype(float), "one": np.array([2.5]), "same": np.full(50, -1.0), "wide": np.r_[rng.normal(size=200) * 1e-9, 1e9, -1e9], "two": np.array([1.0, 2.0])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("normal", None)]
+    frame = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    for q in (0.0, 0.31, 0.95, 1.0):
+        got = {r.g: r.quantile for r in exact_quantile(frame, "g", "v", q, bins=16, few=few).collect()}
+        assert got == pytest.approx({g: float(np.percentile(vs, 100 * q)) for g, vs in groups.items()}, rel=1e-12, abs=1e-18)
+    assert exact_quantile(frame.limit(0), "g", "v", 0.5).count() == 0
+
+
+def test_plans_join_by_keys(spark):
+    """Labels meet windows and incidents in buckets of time, without nested loops or products."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+    win_ = spark.createDataFrame([("a", 60, 0, 1.0), ("a", 60, 86_340, 1.0), ("b", 60, 600, 1.0), ("c", 3600, 80_000, 1.0)], "service string, size bigint, window_start bigint, request_count double")
+    truth = spark.createDataFrame([("t", "a", ["a", "b"], 59, 86_400), ("u", "c", ["c"], 10**6, 10**6)], "truth_id string, root string, affected array<string>, start_time bigint, end_time bigint")
+    labelled, normal = evaluate.labelled_windows(win_, truth), detect.normal_windows(win_, truth.where("truth_id = 'u'"))
+    assert sorted((r.service, r.window_start, r.label) for r in labelled.collect()) == [("a", 0, 1), ("a", 86_340, 1), ("b", 600, 1), ("c", 80_000, 0)]
+    assert normal.count() == 4 and detect.normal_windows(win_, truth).count() == 0
+    inc = spark.createDataFrame([("i", 0, 100_000, ["a"])], "incident_id string, start bigint, end bigint, services array<string>")
+    found = evaluate.match_candidates(inc, truth, 30)
+    curve = spark.createDataFrame([("x", 0.1, 0.5), ("y", 0.2, 0.5)], "detector string, recall double, precision double")
+    assert found.count() == 1
+    for df in (labelled, normal, found, evaluate.interpolated(curve)):
+        assert "NestedLoop" not in plan(df) and "Cartesian" not in plan(df) and "Join Cross" not in plan(df)
+    with pytest.raises(ValueError, match="more than 0"):
+        evaluate.match_candidates(inc, truth, 0)
+
+
+def test_edges_seen_in_traces(spark):
+    logs = spark.createDataFrame([("t1", "a", 1, 1), ("t1", "b", 2, 2), ("t1", "b", 3, 3), ("t1", "c", 4000, 4), ("t2", "b", 1, 5), ("t2", "a", 2, 6), ("t2", "b", 3, 7), (None, "c", 5, 8), (None, "a", 6, 9)], "trace_id string, service string, ts bigint, id bigint")
+    assert [tuple(r) for r in graph.observed_edges(logs).collect()] == [("a", "b", 2)]
+
+
+def test_parameters(spark):
+    rows = spark.createDataFrame([("ERROR", "HIGH", 1, "t")], "level string, severity string, ts bigint, trace_id string").withColumn("id", F.col("ts"))
+    assert src.filtered(rows, 0, 5, level="error", severity="high").count() == 1 and src.by_trace(rows, "t").count() == 1
+    for bad in ({"level": "TRACE"}, {"severity": "LOW"}, {"start": 5, "end": 4}):
+        with pytest.raises(ValueError):
+            src.filtered(rows, **bad)
+    with pytest.raises(LookupError, match="no logs"):
+        src.by_trace(rows, "x")
+    assert src.window_size(60) == 60
+    for bad in (59, 301):
+        with pytest.raises(ValueError):
+            src.window_size(bad)
 
 
 def test_validation(spark):
@@ -142,12 +203,16 @@ def test_truth_import(spark):
         src.import_truth(rows, src.services(spark)).collect()
 
 
-def test_upsert_is_idempotent(spark):
+def test_upsert_is_idempotent(spark, tmp_path):
     old = spark.createDataFrame([("a", 1, 1), ("b", 2, 2)], "k string, v int, first int")
     new = spark.createDataFrame([("b", 3, 9), ("c", 4, 9)], "k string, v int, first int")
     once = upsert.upsert(old, new, ["k"], ("first",))
     assert sorted(map(tuple, once.collect())) == [("a", 1, 1), ("b", 3, 2), ("c", 4, 9)] == sorted(map(tuple, upsert.upsert(once, new, ["k"], ("first",)).collect()))
-    assert {r.k: r.state for r in upsert.reconcile(old, new, ["k"]).collect()} == {"a": "deleted", "b": "kept", "c": "inserted"}
+    assert {r.k: r.state for r in upsert.reconciled(old, new, ["k"]).collect()} == {"a": "deleted", "b": "updated", "c": "inserted"}
+    first, counts = upsert.reconcile(old, new, ["k"], f"{tmp_path}/1")
+    again, none = upsert.reconcile(first, new, ["k"], f"{tmp_path}/2")
+    assert counts == {"inserted": 1, "updated": 1, "kept": 0, "deleted": 1} and none == {"inserted": 0, "updated": 0, "kept": 2, "deleted": 0}
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, again.collect())) == sorted(map(tuple, new.select(first.columns).collect()))
 
 
 def test_forest_finds_an_outlier(spark):
