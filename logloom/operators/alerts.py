@@ -119,7 +119,6 @@ def duplicates(alerts: DataFrame, edges: DataFrame, cfg: Config) -> DataFrame:
     own = gap_groups(own, ["component"], "start", "at", cfg.dedup_span, ["start", "alert_id"], "stretch").drop("at")
     place = own.select(F.col("alert_id").alias("a"), "component", F.col("stretch").alias("part"), F.col("start").alias("sa"))
     links = edges.join(place, "a").join(own.select(F.col("alert_id").alias("b"), F.col("stretch").alias("other"), F.col("start").alias("sb")), "b").where("part = other").drop("other")
-    links = stored(links)
 
     def fold(own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         info = {r.alert_id: r for r in own.itertuples()}

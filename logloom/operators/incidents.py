@@ -130,12 +130,13 @@ def cluster(alerts: DataFrame, pairs: DataFrame, adjacent: set[tuple[str, str]],
 
     rows = stored(folds(alerts, pairs, adjacent, cfg, segment).select("group", "start", "end", "alerts", *_PLACE))
     places = rows.select(_PLACE).distinct().withColumn("next", F.lead("segment").over(Window.partitionBy("part", "stretch").orderBy("segment")))
-    begins = stored(places.withColumn("state", F.lit("[]")))
-    folded = lambda rows, begins: stored(rows.groupBy(_PLACE).cogroup(begins.groupBy(_PLACE)).applyInPandas(fold, _FOLDED))
+    begins = places.withColumn("state", F.lit("[]"))
+    folded = lambda rows, begins: rows.groupBy(_PLACE).cogroup(begins.groupBy(_PLACE)).applyInPandas(fold, _FOLDED)
     members = [x.split()[0] for x in INCIDENT.split(", ")]
-    made = done = folded(rows, begins)
-    if not begins.where("next IS NOT NULL").take(1):
-        return done.where("state IS NULL").select(members)
+    if not rows.groupBy("part", "stretch").agg(F.min("segment").alias("low"), F.max("segment").alias("high")).where("low < high").take(1):
+        return folded(rows, begins).where("state IS NULL").select(members)
+    begins = stored(begins)
+    made = done = stored(folded(rows, begins))
     while True:
         left = made.where("state IS NOT NULL").select(*_PLACE, "state").join(begins.select(*_PLACE, "next"), _PLACE).where("next IS NOT NULL")
         left = left.select("part", "stretch", F.col("next").alias("segment"), F.col("state").alias("new"))
@@ -143,7 +144,7 @@ def cluster(alerts: DataFrame, pairs: DataFrame, adjacent: set[tuple[str, str]],
         if not todo.take(1):
             return done.where("state IS NULL").select(members)
         begins = stored(begins.join(todo.select(_PLACE), _PLACE, "left_anti").select(todo.columns).unionByName(todo))
-        made = folded(rows.join(todo.select(_PLACE), _PLACE, "left_semi"), todo)
+        made = stored(folded(rows.join(todo.select(_PLACE), _PLACE, "left_semi"), todo))
         done = stored(done.join(todo.select(_PLACE), _PLACE, "left_anti").select(made.columns).unionByName(made))
 
 
