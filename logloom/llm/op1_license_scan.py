@@ -12,6 +12,7 @@ an empty table gives no rows; other columns of the input are ignored. Whole text
 from __future__ import annotations
 
 import bisect
+import heapq
 
 import ahocorasick
 import pyarrow as pa
@@ -78,20 +79,36 @@ class Scanner:
             self.automaton.add_word(piece, (len(piece), uses))
         self.automaton.make_automaton()
 
-    def matches(self, which: int, text: str, lo: int, hi: int):
-        """All matches of a notice in a window: the best one first, then those in front of it and behind it, until none is left."""
-        _, notice, k = self.notices[which]
-        left = [(lo, hi)]
-        while left:
-            lo, hi = left.pop()
-            m = self.patterns[which].search(text, lo, hi) if hi - lo >= len(notice) - k else None
-            if m:
-                if m.end() == len(text) or text[m.end()] == " ":  # a window's end is not a word's end
-                    yield m
-                left += [(lo, m.start()), (m.end(), hi)]
+    def best(self, which: int, text: str, lo: int, hi: int) -> list[tuple]:
+        """The match of a notice with the fewest edits in text[lo:hi], the first of those, as (edits, start, end, lo, hi); or none."""
+        m = self.patterns[which].search(text, lo, hi) if hi - lo >= len(self.notices[which][1]) - self.notices[which][2] else None
+        return [(sum(m.fuzzy_counts), m.start(), m.end(), lo, hi)] if m else []
+
+    def matches(self, which: int, text: str, windows: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(start, end, edits) of matches in the windows that don't overlap each other, those with fewest edits first.
+
+        The windows' best matches wait in a heap. The least of all is taken, and its window goes on in front of it and behind it; one
+        that overlaps a match already taken only divides its window. Windows are short, so work is in proportion to their number.
+        """
+        heap = [m for lo, hi in windows for m in self.best(which, text, lo, hi)]
+        heapq.heapify(heap)
+        taken, out = [], []
+        while heap:
+            edits, start, end, lo, hi = heapq.heappop(heap)
+            k = bisect.bisect_left(taken, (start, start))
+            over = next((t for t in taken[max(0, k - 1) : k + 1] if t[0] < end and t[1] > start), None)
+            if over is None:
+                over = (start, end)
+                bisect.insort(taken, over)
+                if end == len(text) or text[end] == " ":  # a window's end is not a word's end
+                    out.append((start, end, edits))
+            for part in ((lo, over[0]), (over[1], hi)):
+                for m in self.best(which, text, *part):
+                    heapq.heappush(heap, m)
+        return out
 
     def fuzzy(self, text: str) -> list[tuple[str, int, int, int]]:
-        windows: dict[int, list[list[int]]] = {}
+        windows: dict[int, set[tuple[int, int]]] = {}
         for end, (n, uses) in self.automaton.iter(text):
             for which, at in uses:
                 _, notice, k = self.notices[which]
@@ -99,19 +116,18 @@ class Scanner:
                 lo, hi = max(0, start), start + len(notice) + 2 * k
                 behind = text.find(" ", hi, hi + LONG_WORD)
                 hi = behind if behind >= 0 else hi + LONG_WORD
-                own = windows.setdefault(which, [])
-                own.append([lo, hi])
+                windows.setdefault(which, set()).add((lo, min(hi, len(text))))
         found = set()
         for which, own in windows.items():
-            merged: list[list[int]] = []
+            # Windows that overlap are joined while they stay short; each one stays whole, so every match lies in some window.
+            joined: list[list[int]] = []
             for lo, hi in sorted(own):
-                if merged and lo <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], hi)
+                if joined and lo <= joined[-1][1] and hi - joined[-1][0] <= 3 * len(self.notices[which][1]):
+                    joined[-1][1] = max(joined[-1][1], hi)
                 else:
-                    merged.append([lo, hi])
-            for lo, hi in merged:
-                for m in self.matches(which, text, lo, min(hi, len(text))):
-                    found.add((self.notices[which][0], m.start(), m.end(), sum(m.fuzzy_counts), len(self.notices[which][1])))
+                    joined.append([lo, hi])
+            for start, end, edits in self.matches(which, text, [(lo, hi) for lo, hi in joined]):
+                found.add((self.notices[which][0], start, end, edits, len(self.notices[which][1])))
         return sorted(found, key=lambda x: (x[1], x[2], x[0], x[3]))
 
     def scan(self, text: str | None) -> tuple:
