@@ -11,8 +11,12 @@ their length: a simulation of pairs at the threshold and of random pairs gives t
 many as find a pair at the threshold with a chance of `recall`, and of all choices that do the cheapest in keys and expected
 coincidences is taken; more vectors make it sharper. Vectors of each length are a matter of their own.
 
-Equal vectors are one class with a weight, so copies make no pairs. Keys that one vector holds alone leave first, as numbers;
-then vectors travel. Keys are verified in blocks of at most about `block` vectors: a larger one is dealt into sub-blocks, and
+Vectors of one direction are one class with a weight, so copies, scaled ones too, make no pairs. Near copies in a large cluster
+are answered from a leader: where keys are larger than a block, each vector looks for a leader (a key's least id) within half the
+angle that links. Any two vectors of one leader are linked then, by the bound on angles, so they are counted by the leader's
+number of vectors, are never compared, and a key that holds them alone is left out.
+
+Keys that one vector holds alone leave first, as numbers; then vectors travel. Keys are verified in blocks of at most about `block` vectors: a larger one is dealt into sub-blocks, and
 each pair of sub-blocks is a group of its own, so no task holds an unbounded key and no pair is lost. A pair that meets in
 several keys counts in its first one. Groups return counts and one link to a local root for each vector, never the pairs;
 components follow from those links.
@@ -137,12 +141,17 @@ def candidates(unit: np.ndarray, cell: np.ndarray, sub: np.ndarray, cross: np.nd
             yield (i, j) if two else (i[i < j], j[i < j])
 
 
-def local_links(ids: np.ndarray, unit: np.ndarray, keys: np.ndarray, weight: np.ndarray, cell: np.ndarray, part: np.ndarray, sub: np.ndarray, cross: np.ndarray, cosine: float) -> pd.DataFrame:
-    """Weighted link counts and local roots of the rows of one group, which are sorted by part. A pair counts in the first cell of all it shares."""
+def local_links(ids: np.ndarray, unit: np.ndarray, keys: np.ndarray, weight: np.ndarray, leader: np.ndarray, cell: np.ndarray, part: np.ndarray, sub: np.ndarray, cross: np.ndarray, cosine: float) -> pd.DataFrame:
+    """Weighted link counts and local roots of the rows of one group, which are sorted by part. A pair counts in the first cell of all it shares.
+
+    Pairs with one leader (ids from 0 on; -1 is none) are left out, since they are counted by it.
+    """
     root, count, pairs = np.arange(len(ids)), np.zeros(len(ids), np.int64), []
     for i, j in candidates(unit, part, sub, cross, cosine):
         for at in range(0, len(i), 100_000):
             a, b = i[at : at + 100_000], j[at : at + 100_000]
+            apart = (leader[a] != leader[b]) | (leader[a] < 0)
+            a, b = a[apart], b[apart]
             exact = np.einsum("ij,ij->i", unit[a], unit[b]) >= cosine
             a, b = a[exact], b[exact]
             # Keys ascend in each row: a pair is done with where it shares an earlier key, or where earlier ones end.
@@ -173,15 +182,45 @@ def local_links(ids: np.ndarray, unit: np.ndarray, keys: np.ndarray, weight: np.
     return pd.DataFrame({"vec_id": ids[own], "links": count[own], "root": ids[root[own]]})
 
 
+def units(x: pd.Series) -> np.ndarray:
+    x = np.stack(x.to_numpy()).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)  # so that squares stay within range
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+#: Leaders that a vector tries, and bytes of vectors up to which those of leaders are broadcast.
+TRIED, SHARED_BYTES = 3, 32 << 20
+
+
+def led(entries: DataFrame, large: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
+    """vec_id and leader of vectors at most half the angle of the cosine from a leader, the least one of those tried.
+
+    entries(vec_id, cell), large(cell): cells that hold too many vectors to compare them all.
+    """
+    half = math.acos(cosine) / 2 * (1 - 1e-9)
+    held = entries.join(large, "cell")
+    heads = held.groupBy("cell").agg(F.min("vec_id").alias("leader"))
+    tried = held.join(heads, "cell").groupBy("vec_id").agg(F.slice(F.sort_array(F.collect_set("leader")), 1, TRIED).alias("leaders"))
+    vectors = classes.select(F.col("vec_id").alias("leader"), F.col("embedding").alias("other")).join(heads.select("leader").distinct(), "leader", "left_semi")
+    vectors = written(vectors)
+    size = vectors.agg(F.sum(8 * F.size("other"))).first()[0] or 0
+    own = tried.join(classes.select("vec_id", "embedding"), "vec_id").withColumn("leader", F.explode("leaders")).drop("leaders")
+    own = own.join(F.broadcast(vectors) if size <= SHARED_BYTES else vectors, "leader").where(F.size("embedding") == F.size("other"))
+
+    def near(frames):
+        for f in frames:
+            for _, x in f.groupby(f.embedding.map(len)):
+                # The chord gives small angles exactly, where the cosine doesn't.
+                chord = np.linalg.norm(units(x.embedding) - units(x.other), axis=1)
+                yield x.loc[2 * np.arcsin(np.minimum(chord / 2, 1)) <= half, ["vec_id", "leader"]]
+
+    return own.select("vec_id", "leader", "embedding", "other").mapInPandas(near, "vec_id bigint, leader bigint").groupBy("vec_id").agg(F.min("leader").alias("leader"))
+
+
 def near_links(classes: DataFrame, cosine: float, recall: float = RECALL, block: int = BLOCK, group_rows: int = 8000, seed: int = 11) -> DataFrame:
     """vec_id, links and root rows from classes(vec_id, embedding, weight) of distinct vectors."""
     plans = {dim: plan(n, dim, cosine, recall) for dim, n in lengths(classes).items()}
 
-    def units(x: pd.Series) -> np.ndarray:
-        x = np.stack(x.to_numpy()).astype(np.float64)
-        x /= np.abs(x).max(1, keepdims=True)  # so that squares stay within range
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
-
     def keyed(frames):
         for f in frames:
             for dim, own in f.groupby(f.embedding.map(len)):
@@ -189,16 +228,35 @@ def near_links(classes: DataFrame, cosine: float, recall: float = RECALL, block:
 
     entries = classes.select("vec_id", "embedding").mapInPandas(keyed, "vec_id bigint, cells array<bigint>")
     entries = written(entries.select("vec_id", F.explode(F.array_distinct("cells")).alias("cell")))
-    sizes = entries.groupBy("cell").count().where("count > 1").select("cell", F.ceil(F.col("count") / block).cast("int").alias("subs"))
-    shared = written(entries.join(sizes, "cell").groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("cell", "subs"))).alias("at")))
+    sizes = entries.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    large = sizes.where(F.col("n") > block).select("cell")
+    leaders, own = None, entries.withColumn("leader", F.lit(None).cast("bigint"))
+    if large.take(1):
+        leaders = written(led(entries, large, classes, cosine))
+        own = written(entries.join(leaders, "vec_id", "left"))
+        # Of each cell, the vectors of its most frequent leader meet only the others; they are `same`.
+        per = own.groupBy("cell", "leader").agg(F.count("*").alias("n")).groupBy("cell").agg(F.sum("n").alias("n"), F.max(F.when(F.col("leader").isNotNull(), F.struct("n", "leader"))).alias("most"))
+        sizes = per.where("n > 1").select("cell", "n", F.coalesce("most.n", F.lit(0)).alias("same"), F.col("most.leader").alias("main"))
+        sizes = sizes.where("same < n")
+    else:
+        sizes = sizes.select("cell", "n", F.lit(0).alias("same"), F.lit(None).cast("bigint").alias("main"))
+    whole = F.col("n") <= block
+    mine = F.coalesce(F.col("leader") == F.col("main"), F.lit(False))
+    others = F.ceil((F.col("n") - F.col("same")) / block).cast("int")
+    every = others + F.ceil(F.col("same") / block).cast("int")
+    # Vectors of the main leader have the numbers behind the others' and meet those alone.
+    sub = F.when(whole, 0).when(mine, others + F.pmod(F.xxhash64("vec_id", "cell"), F.greatest(every - others, F.lit(1)))).otherwise(F.pmod(F.xxhash64("vec_id", "cell"), others)).cast("int")
+    placed = own.join(sizes, "cell").select("vec_id", "cell", sub.alias("sub"), F.when(whole, 1).when(mine, others).otherwise(every).alias("meets"))
+    shared = written(placed.groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("cell", "sub", "meets"))).alias("at")))
     dropped(entries)
     # A vector goes once to each group, with those of its keys that the group answers.
     groups = max(1, -(-shared.agg(F.sum(F.size("at"))).first()[0] // group_rows)) if shared.take(1) else 1
     parts = shared.select("vec_id", F.transform("at", lambda x: x["cell"]).alias("keys"), F.explode("at").alias("at")).select("vec_id", "keys", "at.*")
-    parts = parts.withColumn("sub", F.pmod(F.xxhash64("vec_id", "cell"), F.col("subs")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)))
     parts = parts.select("vec_id", "keys", F.struct("cell", F.least("sub", "other").alias("p"), F.greatest("sub", "other").alias("q"), "sub").alias("at"))
     parts = parts.groupBy("vec_id", F.pmod(F.xxhash64("at.cell", "at.p", "at.q"), F.lit(groups)).alias("g")).agg(F.any_value("keys").alias("keys"), F.collect_list("at").alias("at"))
     rows = parts.join(classes, "vec_id")
+    rows = rows.withColumn("leader", F.lit(-1).cast("bigint")) if leaders is None else rows.join(leaders, "vec_id", "left").withColumn("leader", F.coalesce("leader", F.lit(-1)))
 
     def verify(f: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -211,18 +269,28 @@ def near_links(classes: DataFrame, cosine: float, recall: float = RECALL, block:
             for k, x in enumerate(own["keys"]):
                 keys[k, : len(x)] = x
             part = at.groupby(["cell", "p", "q"], sort=True).ngroup().to_numpy()
-            found.append(local_links(own.vec_id.to_numpy()[row], units(own.embedding)[row], keys[row], own.weight.to_numpy()[row], at.cell.to_numpy(), part, at["sub"].to_numpy(), (at.p != at.q).to_numpy(), cosine))
+            found.append(local_links(own.vec_id.to_numpy()[row], units(own.embedding)[row], keys[row], own.weight.to_numpy()[row], own.leader.to_numpy()[row], at.cell.to_numpy(), part, at["sub"].to_numpy(), (at.p != at.q).to_numpy(), cosine))
         return pd.concat(found)
 
-    return rows.groupBy("g").applyInPandas(verify, "vec_id bigint, links bigint, root bigint")
+    found = rows.groupBy("g").applyInPandas(verify, "vec_id bigint, links bigint, root bigint")
+    if leaders is None:
+        return found
+    cluster = classes.select("vec_id", "weight").join(leaders, "vec_id")
+    total = cluster.groupBy("leader").agg(F.sum("weight").alias("all"), F.min("vec_id").alias("root"), F.count("*").alias("n")).where("n > 1")
+    sure = cluster.join(total, "leader").select("vec_id", (F.col("all") - F.col("weight")).alias("links"), "root")
+    return found.unionByName(sure)
 
 
 def near_duplicates(rows: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", **how) -> DataFrame:
     """vec_id, n_links, component_id and kept for every distinct row."""
     good = usable(rows, id_col, vector_col)
-    classes = good.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"))
+    # x / max|x| is the same for scaled copies, to the last bit where their numbers are exact multiples; 0.0 takes the sign off zeros.
+    largest = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+    good = good.withColumn("way", F.transform("embedding", lambda x: x.cast("double") / largest + F.lit(0.0)))
+    good = good.withColumns({f"w{k}": F.xxhash64(F.lit(k), "way") for k in (1, 2)})
+    classes = good.groupBy("w1", "w2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"), F.min_by("embedding", "vec_id").alias("embedding"))
     found = written(near_links(classes.select("vec_id", "embedding", "weight"), cosine, **how))
-    member = good.join(classes.select("embedding", F.col("vec_id").alias("class_id"), "weight"), "embedding").select("vec_id", "class_id", "weight")
+    member = good.select("vec_id", "w1", "w2").join(classes.select("w1", "w2", F.col("vec_id").alias("class_id"), "weight"), ["w1", "w2"]).select("vec_id", "class_id", "weight")
     links = found.groupBy(F.col("vec_id").alias("class_id")).agg(F.sum("links").alias("links"))
     edges = found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")).unionByName(member.select(F.col("vec_id").alias("a"), F.col("class_id").alias("b")))
     parts = components(edges)
