@@ -188,8 +188,8 @@ def units(x: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-#: Leaders that a vector tries, and bytes of vectors up to which those of leaders are broadcast.
-TRIED, SHARED_BYTES = 3, 32 << 20
+#: Leaders that a vector tries, and bytes of leaders' vectors and number of large cells up to which those are broadcast.
+TRIED, SHARED_BYTES, SHARED_CELLS = 3, 32 << 20, 1 << 20
 
 
 def led(entries: DataFrame, large: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
@@ -198,9 +198,10 @@ def led(entries: DataFrame, large: DataFrame, classes: DataFrame, cosine: float)
     entries(vec_id, cell), large(cell): cells that hold too many vectors to compare them all.
     """
     half = math.acos(cosine) / 2 * (1 - 1e-9)
-    held = entries.join(large, "cell")
-    heads = held.groupBy("cell").agg(F.min("vec_id").alias("leader"))
-    tried = held.join(heads, "cell").groupBy("vec_id").agg(F.slice(F.sort_array(F.collect_set("leader")), 1, TRIED).alias("leaders"))
+    few = lambda cells: F.broadcast(cells) if large.count() <= SHARED_CELLS else cells
+    held = entries.join(few(large), "cell")
+    heads = written(held.groupBy("cell").agg(F.min("vec_id").alias("leader")))
+    tried = held.join(few(heads), "cell").groupBy("vec_id").agg(F.slice(F.sort_array(F.collect_set("leader")), 1, TRIED).alias("leaders"))
     vectors = classes.select(F.col("vec_id").alias("leader"), F.col("embedding").alias("other")).join(heads.select("leader").distinct(), "leader", "left_semi")
     vectors = written(vectors)
     size = vectors.agg(F.sum(8 * F.size("other"))).first()[0] or 0
@@ -226,14 +227,16 @@ def near_links(classes: DataFrame, cosine: float, recall: float = RECALL, block:
             for dim, own in f.groupby(f.embedding.map(len)):
                 yield pd.DataFrame({"vec_id": own.vec_id, "cells": list(cell_keys(units(own.embedding), *plans[dim], seed))})
 
-    entries = classes.select("vec_id", "embedding").mapInPandas(keyed, "vec_id bigint, cells array<bigint>")
-    entries = written(entries.select("vec_id", F.explode(F.array_distinct("cells")).alias("cell")))
+    base = classes.select("vec_id", "embedding").mapInPandas(keyed, "vec_id bigint, cells array<bigint>")
+    base = written(base.select("vec_id", F.array_distinct("cells").alias("cells")))
+    entries = base.select("vec_id", F.explode("cells").alias("cell"))
     sizes = entries.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    large = sizes.where(F.col("n") > block).select("cell")
+    large = sizes.where(F.col("n") > block)
     leaders, own = None, entries.withColumn("leader", F.lit(None).cast("bigint"))
+    large = written(large.select("cell"))
     if large.take(1):
         leaders = written(led(entries, large, classes, cosine))
-        own = written(entries.join(leaders, "vec_id", "left"))
+        own = base.join(leaders, "vec_id", "left").select("vec_id", F.explode("cells").alias("cell"), "leader")
         # Of each cell, the vectors of its most frequent leader meet only the others; they are `same`.
         per = own.groupBy("cell", "leader").agg(F.count("*").alias("n")).groupBy("cell").agg(F.sum("n").alias("n"), F.max(F.when(F.col("leader").isNotNull(), F.struct("n", "leader"))).alias("most"))
         sizes = per.where("n > 1").select("cell", "n", F.coalesce("most.n", F.lit(0)).alias("same"), F.col("most.leader").alias("main"))
@@ -248,7 +251,7 @@ def near_links(classes: DataFrame, cosine: float, recall: float = RECALL, block:
     sub = F.when(whole, 0).when(mine, others + F.pmod(F.xxhash64("vec_id", "cell"), F.greatest(every - others, F.lit(1)))).otherwise(F.pmod(F.xxhash64("vec_id", "cell"), others)).cast("int")
     placed = own.join(sizes, "cell").select("vec_id", "cell", sub.alias("sub"), F.when(whole, 1).when(mine, others).otherwise(every).alias("meets"))
     shared = written(placed.groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("cell", "sub", "meets"))).alias("at")))
-    dropped(entries)
+    dropped(base)
     # A vector goes once to each group, with those of its keys that the group answers.
     groups = max(1, -(-shared.agg(F.sum(F.size("at"))).first()[0] // group_rows)) if shared.take(1) else 1
     parts = shared.select("vec_id", F.transform("at", lambda x: x["cell"]).alias("keys"), F.explode("at").alias("at")).select("vec_id", "keys", "at.*")
@@ -286,9 +289,12 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     good = usable(rows, id_col, vector_col)
     # x / max|x| is the same for scaled copies, to the last bit where their numbers are exact multiples; 0.0 takes the sign off zeros.
     largest = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
-    good = good.withColumn("way", F.transform("embedding", lambda x: x.cast("double") / largest + F.lit(0.0)))
-    good = good.withColumns({f"w{k}": F.xxhash64(F.lit(k), "way") for k in (1, 2)})
+    # As the one element of an array, the largest is found once for a vector and not once for each of its numbers.
+    way = F.transform(F.array(F.struct(largest.alias("m"), F.col("embedding").alias("e"))), lambda s: F.transform(s["e"], lambda x: x.cast("double") / s["m"] + F.lit(0.0)))
+    good = good.withColumn("way", way[0])
+    good = written(good.select("vec_id", "embedding", *(F.xxhash64(F.lit(k), "way").alias(f"w{k}") for k in (1, 2))))
     classes = good.groupBy("w1", "w2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"), F.min_by("embedding", "vec_id").alias("embedding"))
+    classes = written(classes)  # read several times; most are a single vector
     found = written(near_links(classes.select("vec_id", "embedding", "weight"), cosine, **how))
     member = good.select("vec_id", "w1", "w2").join(classes.select("w1", "w2", F.col("vec_id").alias("class_id"), "weight"), ["w1", "w2"]).select("vec_id", "class_id", "weight")
     links = found.groupBy(F.col("vec_id").alias("class_id")).agg(F.sum("links").alias("links"))
