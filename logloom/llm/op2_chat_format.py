@@ -10,9 +10,10 @@ Turns are reduced to conversation, turn number and a 120-bit hash of role and te
 conversations happens on those numbers. Texts are joined to the chosen ones at the end; before that, only turns that share
 a number with a different one are looked up, since their texts decide the order.
 
-Turns are numbered in blocks of `block_turns` turn numbers: windows run inside one block of one conversation and
-over block totals, so a conversation of any length never sits in one window. A rendered conversation is one row per part of
-at most `block_turns` turns.
+Turn numbers get their start in the conversation from counts, in windows of `block_turns` turn numbers and of block totals;
+hashes roll inside blocks of `block_turns` places. So a conversation of any length never sits in one window, and neither do the
+many turns that share one number, as rows without a conv_id do: those are numbered by ranges of their order. A rendered
+conversation is one row per part of at most `block_turns` turns.
 
 Edge cases: exact repeats of a turn count once; different rows with one turn number follow in the order of role and text;
 null roles and texts render as empty but hash apart from empty ones; a null turn sorts first, and a null conv_id is an
@@ -27,6 +28,10 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 BLOCK_TURNS = 512
+#: A turn number of one conversation with more different turns than this is dealt out over tasks.
+HOT_TURNS = 4096
+SALTS = 64
+PREFIX = 128
 
 
 def numbered(turns: DataFrame) -> DataFrame:
@@ -45,19 +50,43 @@ def hashed(rows: DataFrame, value: Column, first: str, second: str) -> DataFrame
     return rows.withColumn(first, part(1)).withColumn(second, part(16))
 
 
-def positions(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
+def tie_order(rows: DataFrame) -> DataFrame:
+    """conv, at, c1, c2 and tie, the place among all rows of one conv and at, for turn numbers of any number of rows.
+
+    Spark deals the rows out by ranges of the order and sorts each range; a row's place is its place in its range and the
+    counts of the ranges before. Ranges are cut by the first PREFIX characters, so that the sample that Spark draws for them is
+    bounded; rows equal in those are sorted in one task.
+    """
+    dealt = rows.repartitionByRange("conv", "at", F.substring("role", 1, PREFIX), F.substring("text", 1, PREFIX)).sortWithinPartitions("conv", "at", "role", "text")
+    ranked = written(dealt.withColumn("id", F.monotonically_increasing_id()).withColumn("range", F.shiftright("id", 33)).drop("role", "text"))
+    ranges = ranked.groupBy("conv", "at", "range").agg(F.min("id").alias("least"), F.count("*").alias("rows"))
+    before = Window.partitionBy("conv", "at").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    return ranked.join(ranges, ["conv", "at", "range"]).select("conv", "at", "c1", "c2", (F.col("id") - F.col("least") + F.col("before") + 1).alias("tie"))
+
+
+def positions(turns: DataFrame, block_turns: int = BLOCK_TURNS, hot_turns: int = HOT_TURNS) -> DataFrame:
     """Distinct turns as conv, at, c1, c2 and block, with pos, their place in the conversation from 1."""
-    own = written(turns.groupBy("conv", "turn", "at", "c1", "c2").agg(F.lit(1).alias("one")).drop("one"))
-    tied = written(own.groupBy("conv", "at").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    own = written(turns.groupBy("conv", "at", "c1", "c2").agg(F.lit(1).alias("one")).drop("one"))
+    numbers = own.groupBy("conv", "at").agg(F.count("*").alias("n")).withColumn("span", F.floor(F.col("at") / block_turns).cast("bigint"))
+    numbers = written(numbers)
+    spans = numbers.groupBy("conv", "span").agg(F.sum("n").alias("n"))
+    before = lambda keys, order: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.select("conv", "span", before(["conv"], "span").alias("offset"))
+    starts = written(numbers.withColumn("inner", before(["conv", "span"], "at")).join(spans, ["conv", "span"]).select("conv", "at", "n", (F.col("inner") + F.col("offset")).alias("start")))
+    # A turn number with many different turns meets its start in SALTS parts, so no task takes all of them.
+    hot = starts.where(F.col("n") > hot_turns).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = own.withColumn("salt", F.pmod("c1", F.lit(SALTS)).cast("int"))
+    marked = written(salted.join(hot, ["conv", "at", "salt"], "left").drop("salt"))
+    few = marked.where("n IS NULL").drop("n", "start").join(starts, ["conv", "at"])
+    placed = written(marked.where("n IS NOT NULL").unionByName(few))
+    texts = turns.select("conv", "at", "c1", "c2", "role", "text").join(placed.where("n > 1").select("conv", "at", "c1", "c2", "n"), ["conv", "at", "c1", "c2"]).distinct()
     order = Window.partitionBy("conv", "at").orderBy(F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    ties = turns.join(tied, ["conv", "at"]).select("conv", "at", "role", "text", "c1", "c2").distinct().withColumn("tie", F.row_number().over(order)).select("conv", "at", "c1", "c2", "tie")
-    own = own.join(ties, ["conv", "at", "c1", "c2"], "left").withColumn("block", F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-(2**62))).cast("bigint"))
-    totals = own.groupBy("conv", "block").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("conv", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("conv", "block").orderBy("at", "tie")
-    placed = own.withColumn("inner", F.row_number().over(inside)).join(offsets, ["conv", "block"])
-    return placed.withColumn("pos", F.col("inner") + F.col("offset")).select("conv", "at", "c1", "c2", "block", "pos")
+    tied = written(texts)
+    ties = tied.where(F.col("n") <= hot_turns).select("conv", "at", "c1", "c2", F.row_number().over(order).cast("bigint").alias("tie"))
+    ties = ties.unionByName(tie_order(tied.where(F.col("n") > hot_turns).drop("n")))
+    placed = placed.join(ties, ["conv", "at", "c1", "c2"], "left").withColumn("pos", F.col("start") + F.coalesce("tie", F.lit(1)))
+    return placed.select("conv", "at", "c1", "c2", F.floor((F.col("pos") - 1) / block_turns).cast("bigint").alias("block"), "pos")
 
 
 def rolling(placed: DataFrame) -> DataFrame:
@@ -71,9 +100,9 @@ def rolling(placed: DataFrame) -> DataFrame:
     return inner.join(blocks, ["conv", "block"]).withColumn("h1", F.col("r1").bitwiseXOR(F.col("ox1"))).withColumn("h2", F.col("r2").bitwiseXOR(F.col("ox2")))
 
 
-def maximal(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
+def maximal(turns: DataFrame, block_turns: int = BLOCK_TURNS, hot_turns: int = HOT_TURNS) -> DataFrame:
     """conv, at, c1, c2 and pos of the turns of the maximal conversations, without texts."""
-    placed = written(positions(turns, block_turns))
+    placed = written(positions(turns, block_turns, hot_turns))
     hashes = written(rolling(placed).select("conv", "pos", "h1", "h2"))
     whole = hashes.groupBy("conv").agg(F.max(F.struct("pos", "h1", "h2")).alias("last")).select("conv", "last.*")
     proper = hashes.join(whole.select("conv", F.col("pos").alias("length")), "conv").where("pos < length").select("pos", "h1", "h2").distinct()
@@ -81,10 +110,10 @@ def maximal(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
     return placed.drop("block").join(first.join(proper, ["pos", "h1", "h2"], "left_anti").select("conv"), "conv", "left_semi")
 
 
-def collapse(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
+def collapse(turns: DataFrame, block_turns: int = BLOCK_TURNS, hot_turns: int = HOT_TURNS) -> DataFrame:
     """Turns of the maximal conversations with pos; a repeated row stays repeated, with one pos."""
     own = numbered(turns)
-    return own.join(written(maximal(own, block_turns)), ["conv", "at", "c1", "c2"]).select("conv", "conv_id", "turn", "role", "text", "pos")
+    return own.join(written(maximal(own, block_turns, hot_turns)), ["conv", "at", "c1", "c2"]).select("conv", "conv_id", "turn", "role", "text", "pos")
 
 
 def render(placed: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
