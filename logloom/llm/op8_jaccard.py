@@ -251,14 +251,18 @@ class Common:
 
 def answer_group(sets: list[np.ndarray], lead: int, sub: np.ndarray | None, weight: np.ndarray, earlier: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Weighted count of links and root (a place) of each set of a group; -1 as count where it has no link here. lead: the leader's
-    place; sub: for pairs of sub-blocks, only pairs across them count; earlier: the smaller leaders in whose groups a set is, too."""
+    place; sub: for pairs of sub-blocks, only pairs across them count; earlier: the smaller leaders in whose groups a set is, too.
+
+    What x and y share is derived from what y shares with the leader l, which is counted once: |x & y| = |l & y| - |l - x| + |dx & dy|,
+    where dx and dy are the differences of x and y from l, taken both ways. Near the leader these are short."""
     size = np.array([len(s) for s in sets])
     inter = np.array([len(np.intersect1d(s, sets[lead], assume_unique=True)) if k != lead else len(s) for k, s in enumerate(sets)])
     distance = 1 - inter / (size + size[lead] - inter)
     order = np.argsort(distance, kind="stable")
     d, n, w, far = distance[order], size[order], weight[order], 1 - percent / 100
+    held, gone = inter[order], size[lead] - inter[order]
     s = None if sub is None else sub[order]
-    tokens, others = Common([sets[k] for k in order]), Common([earlier[k] for k in order])
+    differences, others = Common([np.setxor1d(sets[k], sets[lead], assume_unique=True) for k in order]), Common([earlier[k] for k in order])
     count, linked_here, root = np.zeros(len(order), np.int64), np.zeros(len(order), bool), np.arange(len(order))
     for a in range(0, len(order), 256):
         b = min(a + 256, len(order))
@@ -266,7 +270,8 @@ def answer_group(sets: list[np.ndarray], lead: int, sub: np.ndarray | None, weig
         last = int(np.searchsorted(d, d[b - 1] + far + 1e-9, "right"))
         sure = min(max(int(np.searchsorted(d, far - d[b - 1] - 1e-9)), a), last)
         ok = np.ones((b - a, last - a), bool)
-        ok[:, sure - a :] = linked(tokens.count(a, b, sure, last), n[a:b, None], n[None, sure:last], percent)
+        shared = held[None, sure:last] - gone[a:b, None] + differences.count(a, b, sure, last)
+        ok[:, sure - a :] = linked(shared, n[a:b, None], n[None, sure:last], percent)
         ok &= np.arange(a, last)[None, :] > np.arange(a, b)[:, None]
         if s is not None:
             ok &= (s[a:b, None] != s[None, a:last]) & (s[a:b, None] >= 0) & (s[None, a:last] >= 0)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from logloom.llm import op8_jaccard
@@ -45,3 +46,20 @@ def test_links_are_all_counted(spark, copies, how):
     assert len(got) == len(copies) + 2 and [r.n_links for r in got if r.doc_id is None] == [None]
     expected = links_by_force(copies, how.get("percent", 85), how.get("words", 4))
     assert {r.doc_id: r.n_links for r in got if r.doc_id is not None} == expected and sum(expected.values()) > 500
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_counts_by_difference_from_the_leader(seed):
+    """Links of a group's sets, the leader at any place, equal those counted from the whole sets."""
+    rng = np.random.default_rng(seed)
+    base = rng.choice(10**9, 120, replace=False)
+    sets = [np.unique(np.append(rng.permutation(base)[: 120 - rng.integers(0, 25)], rng.choice(10**9, rng.integers(0, 25)))) for _ in range(320)]
+    lead = int(rng.integers(len(sets)))
+    leader = sets[lead]
+    sets = [s for s in sets if s is leader or 100 * len(np.intersect1d(s, leader)) >= 85 * len(np.union1d(s, leader))]
+    lead = next(k for k, s in enumerate(sets) if s is leader)
+    weight = rng.integers(1, 4, len(sets))
+    got, _ = op8_jaccard.answer_group(sets, lead, None, weight, [np.array([], np.int64)] * len(sets), 85)
+    for k, s in enumerate(sets):
+        others = [j for j, t in enumerate(sets) if j != k and 100 * len(np.intersect1d(s, t)) >= 85 * len(np.union1d(s, t))]
+        assert got[k] == (weight[others].sum() if others else -1)
