@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import incidents
 from ..sources import logs as src
-from ..sources.stages import folder
+from ..sources.stages import folder, stored
 from ..streaming import ingest, state
 from . import queries as q
 
@@ -65,7 +65,8 @@ def rate_decisions(spark, d):
 
 def rate_limit_stream(spark, d):
     """The limiter over a stream of requests: those that passed and those that were turned away, by window and identity."""
-    stream = _fed(spark, folder(spark), _requests(spark, d))
+    requests = stored(_requests(spark, d))
+    stream = spark.readStream.schema(requests.schema).parquet(requests.stored_path)
     got = state.run_to_parquet(state.rate_limited(stream, LIMIT, WINDOW), folder(spark), idle=False)
     return got.groupBy("window_start", "identity_hash").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("denied"))
 

@@ -129,6 +129,37 @@ def test_counts_expire_and_failures_let_through(spark, tmp_path):
     assert [r.allowed for r in limiter.handleInputRows(("h", 0), [row(1), row(2)], None)] == [True, True]
 
 
+class Counted:
+    """A count as state has it, which notes the calls to it."""
+
+    def __init__(self):
+        self.n, self.calls = None, []
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.n is not None
+
+    def get(self):
+        self.calls.append("get")
+        return (self.n,)
+
+    def update(self, value):
+        self.calls.append("update")
+        self.n = value[0]
+
+
+def test_a_count_is_read_and_written_once_for_many_requests():
+    row = lambda k: type("R", (), {"id": str(k), "at": 1000 - k})()
+    limiter = state._Limit(700, 60, 65)
+    limiter.count = Counted()
+    first = list(limiter.handleInputRows(("h", 960), (row(k) for k in range(500)), None))
+    second = list(limiter.handleInputRows(("h", 960), (row(k) for k in range(500, 1000)), None))
+    assert all(r.allowed for r in first) and sorted(int(r.id) for r in second if r.allowed) == list(range(800, 1000))
+    assert limiter.count.n == 1000 and limiter.count.calls == ["exists", "update", "exists", "get", "update"]
+    late = list(limiter.handleInputRows(("h", 960), iter([row(0)]), None))
+    assert [(r.identity_hash, r.window_start, r.allowed, r.retry_after) for r in late] == [("h", 960, False, 60)]
+
+
 def event(**changes):
     return {"timestamp": "2026-01-01T00:00:00Z", "service": " api-gateway ", "level": "INFO", "message": "request completed", "latency_ms": 42, "status_code": 200} | changes
 
