@@ -53,6 +53,15 @@ def test_many_days_are_written_by_several_tasks(spark, tmp_path):
     table = DayTable(spark, f"{tmp_path}/t", rows.schema, "at")
     table.replace(rows)
     assert table.read().count() == 60
+    # Listing them is a job of as many tasks as run at once.
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    spark.sparkContext.setJobGroup("listing", "")
+    table.read()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("listing")
+    stages = [spark.sparkContext.statusTracker().getStageInfo(s) for j in jobs for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert all(s.numTasks <= spark.sparkContext.defaultParallelism for s in stages)
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
     assert len({f.rsplit("/", 1)[1].split("-")[1] for f in table.read().inputFiles()}) > 1
 
 
